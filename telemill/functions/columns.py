@@ -86,18 +86,36 @@ def one_value(df: DataFrame, aggregate: Column) -> Column:
     return df.agg(aggregate.alias("v")).scalar()
 
 
+def _tenths(x: Column) -> Column:
+    """Number of tenths nearest to x in [1, 10), ties to even, on the exact binary value.
+
+    2**52 times such a number is an integer, so the comparison with the midpoint is exact.
+    """
+    unit = F.lit(2**52)
+    scaled = (x * float(2**52)).cast("bigint")
+    below = int_div(scaled * 10, unit)
+    twice, middle = scaled * 20, (below * 2 + 1) * unit
+    return (below + F.when(twice > middle, 1).when(twice == middle, F.pmod(below, F.lit(2)))
+            .otherwise(0))
+
+
 def sig2(x) -> Column:
     """Two significant digits, in scientific form from 100 up and below 1e-4."""
     x = col(x).cast("double")
     mag = F.abs(x)
-    plain = F.regexp_replace(
-        F.when(mag >= 10, F.format_string("%.0f", x))
-        .when(mag >= 1, F.format_string("%.1f", x))
-        .when(mag >= 0.1, F.format_string("%.2f", x))
-        .when(mag >= 0.01, F.format_string("%.3f", x))
-        .when(mag >= 0.001, F.format_string("%.4f", x))
-        .otherwise(F.format_string("%.5f", x)), r"(\.\d*?)0+$", "$1")
-    plain = F.regexp_replace(plain, r"\.$", "")
-    science = F.regexp_replace(F.format_string("%.1e", x), r"\.0e", "e")
-    return (F.when(mag == 0, F.lit("0"))
-            .when((mag >= 99.5) | (mag < 1e-4), science).otherwise(plain))
+    unit = F.when((mag >= 1) & (mag < 10), mag).otherwise(F.lit(1.0))
+    tenths = _tenths(unit)
+    ones = F.when(F.pmod(tenths, F.lit(10)) == 0, int_div(tenths, 10).cast("string")).otherwise(
+        F.concat(int_div(tenths, 10).cast("string"), F.lit("."),
+                 F.pmod(tenths, F.lit(10)).cast("string")))
+    small = F.regexp_replace(
+        F.when(mag >= 0.1, F.format_string("%.2f", mag))
+        .when(mag >= 0.01, F.format_string("%.3f", mag))
+        .when(mag >= 0.001, F.format_string("%.4f", mag))
+        .otherwise(F.format_string("%.5f", mag)), r"\.?0+$", "")
+    science = F.regexp_replace(F.format_string("%.1e", mag), r"\.0e", "e")
+    text = (F.when(mag == 0, F.lit("0"))
+            .when((mag >= 99.5) | (mag < 1e-4), science)
+            .when(mag >= 10, F.bround(mag, 0).cast("bigint").cast("string"))
+            .when(mag >= 1, ones).otherwise(small))
+    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)

@@ -58,7 +58,8 @@ def edge_health(observed: DataFrame, declared_edges: DataFrame) -> DataFrame:
 
 def declared_vs_measured(nodes: DataFrame, health: DataFrame) -> DataFrame:
     """Declared latency and error ratio beside the measured ones."""
-    return nodes.join(health, "service", "left").select(
+    measured = health.withColumnRenamed("service_name", "service")
+    return nodes.join(measured, "service", "left").select(
         "component", "service", "base_latency_ms", "error_ratio", "p50", "p99", "error_rate",
         (F.col("p50") - F.col("base_latency_ms")).alias("p50_over_declared"),
         (F.col("error_rate") - F.col("error_ratio")).alias("error_over_declared"))
