@@ -81,41 +81,59 @@ def is_error_log(number, text) -> Column:
         *C.ERROR_SEVERITY_TEXTS)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections read instead of re-deriving.
+
+    Catalyst pushes a filter through a projection by copying its expressions, which for a
+    parser means parsing again per reference.  A one-element ``inline`` is not copied.
+    """
+    return df.select("*", F.inline(F.array(F.struct(
+        *[c.alias(name) for name, c in columns.items()]))))
+
+
 def one_value(df: DataFrame, aggregate: Column) -> Column:
     """An aggregate of a whole table as a scalar subquery: no join, no collect."""
     return df.agg(aggregate.alias("v")).scalar()
 
 
+def let(value: Column, use) -> Column:
+    """Bind a value once and use it many times inside one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _tenths(x: Column) -> Column:
     """Number of tenths nearest to x in [1, 10), ties to even, on the exact binary value.
 
     2**52 times such a number is an integer, so the comparison with the midpoint is exact.
     """
     unit = F.lit(2**52)
-    scaled = (x * float(2**52)).cast("bigint")
-    below = int_div(scaled * 10, unit)
-    twice, middle = scaled * 20, (below * 2 + 1) * unit
-    return (below + F.when(twice > middle, 1).when(twice == middle, F.pmod(below, F.lit(2)))
-            .otherwise(0))
 
+    def nearest(scaled: Column) -> Column:
+        def settle(below: Column) -> Column:
+            twice, middle = scaled * 20, (below * 2 + 1) * unit
+            return (below + F.when(twice > middle, 1)
+                    .when(twice == middle, F.pmod(below, F.lit(2))).otherwise(0))
+        return let(int_div(scaled * 10, unit), settle)
 
-def sig2(x) -> Column:
-    """Two significant digits, in scientific form from 100 up and below 1e-4."""
-    x = col(x).cast("double")
+    return let((x * float(2**52)).cast("bigint"), nearest)
+
+
+def _strip(number: str, x: Column) -> Column:
+    return F.regexp_replace(F.format_string(number, x), r"\.?0+$", "")
+
+
+def _sig2(x: Column) -> Column:
     mag = F.abs(x)
-    unit = F.when((mag >= 1) & (mag < 10), mag).otherwise(F.lit(1.0))
-    tenths = _tenths(unit)
-    ones = F.when(F.pmod(tenths, F.lit(10)) == 0, int_div(tenths, 10).cast("string")).otherwise(
-        F.concat(int_div(tenths, 10).cast("string"), F.lit("."),
-                 F.pmod(tenths, F.lit(10)).cast("string")))
-    small = F.regexp_replace(
-        F.when(mag >= 0.1, F.format_string("%.2f", mag))
-        .when(mag >= 0.01, F.format_string("%.3f", mag))
-        .when(mag >= 0.001, F.format_string("%.4f", mag))
-        .otherwise(F.format_string("%.5f", mag)), r"\.?0+$", "")
-    science = F.regexp_replace(F.format_string("%.1e", mag), r"\.0e", "e")
-    text = (F.when(mag == 0, F.lit("0"))
+    tenths = _tenths(F.when((mag >= 1) & (mag < 10), mag).otherwise(F.lit(1.0)))
+    science = F.regexp_replace(F.format_string("%.1e", x), r"\.0e", "e")
+    return (F.when(mag == 0, F.lit("0"))
             .when((mag >= 99.5) | (mag < 1e-4), science)
-            .when(mag >= 10, F.bround(mag, 0).cast("bigint").cast("string"))
-            .when(mag >= 1, ones).otherwise(small))
-    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
+            .when(mag >= 10, F.bround(x, 0).cast("bigint").cast("string"))
+            .when(mag >= 1, _strip("%.1f", F.signum(x) * tenths / 10.0))
+            .when(mag >= 0.1, _strip("%.2f", x)).when(mag >= 0.01, _strip("%.3f", x))
+            .when(mag >= 0.001, _strip("%.4f", x)).otherwise(_strip("%.5f", x)))
+
+
+def sig2(x) -> Column:
+    """Two significant digits, in scientific form from 100 up and below 1e-4."""
+    return let(col(x).cast("double"), _sig2)

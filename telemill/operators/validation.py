@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telemill import contract as C
-from telemill.functions.columns import has_key
+from telemill.functions.columns import computed_once, has_key
 
 # Error codes, in the order the rules are checked.
 INVALID_SEMVER = "invalid_semver"
@@ -72,7 +72,7 @@ def validate(signals: DataFrame, required=C.REQUIRED_RESOURCE_KEYS,
     )
     if "parse_error" in signals.columns:
         code = F.when(F.col("parse_error").isNull(), code)
-    return signals.withColumn("error_code", code)
+    return computed_once(signals, error_code=code)
 
 
 # -- policies -----------------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from telemill import contract as C
-from telemill.functions.columns import int_div
+from telemill.functions.columns import computed_once, int_div
 from telemill.operators import mapping, silver as SV
 from telemill.session import configure
 
@@ -184,7 +184,7 @@ def signal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(_every(83), F.regexp_replace(text_line, '"attributes":\\{',
                                                '"attributes":{"n":1,'))
             .otherwise(text_line))
-    return b.select("event_id", line.alias("value"))
+    return computed_once(b, line_text=line).select("event_id", F.col("line_text").alias("value"))
 
 
 def _kv(key: str, **value: Column) -> Column:
@@ -213,7 +213,8 @@ def _otlp_attributes() -> Column:
 def _request(b: DataFrame, outer: str, scope: str, records: str, items: Column) -> DataFrame:
     scopes = F.array(F.struct(items.alias(records)))
     body = F.array(F.struct(_otlp_resource().alias("resource"), scopes.alias(scope)))
-    return b.select("event_id", F.to_json(F.struct(body.alias(outer))).alias("value"))
+    return computed_once(b, value_text=F.to_json(F.struct(body.alias(outer)))).select(
+        "event_id", F.col("value_text").alias("value"))
 
 
 def otlp_lines(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from telemill.functions.columns import computed_once
+
 _STRINGS = ("signal_type", "contract_version", "severity_text", "service_name", "body",
             "trace_id", "span_id", "parent_span_id", "name", "status_code", "type")
 _LONGS = ("time_unix_nano", "start_unix_nano", "end_unix_nano")
@@ -60,20 +62,17 @@ def parse_signals(lines: DataFrame, column: str = "value") -> DataFrame:
     be read (``malformed``, ``signal_type``, ``field:<name>``, ``status_code``, ``type``).
     Blank lines are skipped, bad lines stay as rows so that they can be counted and kept.
     """
-    raw = (
-        lines.filter(F.trim(F.col(column)) != "")
-        .withColumn("_json", F.when(F.trim(F.col(column)).endswith("}"),
-                                    F.try_parse_json(F.col(column))))
-    )
-    typed = raw.select(
-        "*",
-        *[F.expr(f"try_variant_get(_json, '$.{f}', 'string')").alias(f) for f in _STRINGS],
-        *[F.expr(f"try_variant_get(_json, '$.{f}', 'bigint')").alias(f) for f in _LONGS],
-        F.expr("try_variant_get(_json, '$.severity_number', 'int')").alias("severity_number"),
-        F.expr("try_variant_get(_json, '$.value', 'double')").alias("value_num"),
-        *[F.expr(f"try_variant_get(_json, '$.{f}', 'map<string,string>')").alias(f)
-          for f in _MAPS],
-    )
+    raw = computed_once(
+        lines.filter(F.trim(F.col(column)) != ""),
+        _json=F.when(F.trim(F.col(column)).endswith("}"), F.try_parse_json(F.col(column))))
+    typed = raw.withColumnRenamed(column, "line")
+    typed = computed_once(
+        typed,
+        **{f: F.expr(f"try_variant_get(_json, '$.{f}', 'string')") for f in _STRINGS},
+        **{f: F.expr(f"try_variant_get(_json, '$.{f}', 'bigint')") for f in _LONGS},
+        severity_number=F.expr("try_variant_get(_json, '$.severity_number', 'int')"),
+        value=F.expr("try_variant_get(_json, '$.value', 'double')"),
+        **{f: F.expr(f"try_variant_get(_json, '$.{f}', 'map<string,string>')") for f in _MAPS})
 
     reasons = [
         F.when(F.col("_json").isNull() | ~F.coalesce(
@@ -93,9 +92,4 @@ def parse_signals(lines: DataFrame, column: str = "value") -> DataFrame:
                           & ~F.col("status_code").isin(*STATUS_DOMAIN), F.lit("status_code")))
     reasons.append(F.when((F.col("signal_type") == "metric")
                           & ~F.col("type").isin(*METRIC_TYPE_DOMAIN), F.lit("type")))
-    out = typed.withColumn("parse_error", F.coalesce(*reasons)).drop("_json")
-    if column == "value":
-        out = out.withColumnRenamed("value", "line")
-    elif column != "line":
-        out = out.withColumnRenamed(column, "line")
-    return out.withColumnRenamed("value_num", "value")
+    return computed_once(typed, parse_error=F.coalesce(*reasons)).drop("_json")

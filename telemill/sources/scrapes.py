@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from telemill.functions.columns import computed_once
+
 # The text exposition format.
-LINE_NAME = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{[^}]*\})?\s+[^\s]+"
-LINE_LABELS = r"^[a-zA-Z_:][a-zA-Z0-9_:]*\{([^}]*)\}\s+[^\s]+"
-LINE_VALUE = r"^[a-zA-Z_:][a-zA-Z0-9_:]*(?:\{[^}]*\})?\s+([^\s]+)"
+LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+([^\s]+).*$"
 LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
+_CUT = "\x01"
 NUMBER = r"(?i)^[+-]?(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)$"
 
 
@@ -30,22 +31,31 @@ def label_key(labels) -> Column:
                     lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
 
 
+def _pair(text: Column) -> Column:
+    key = F.substring_index(text, '="', 1)
+    quoted = F.substr(text, F.length(key) + 3, F.length(text) - F.length(key) - 3)
+    return F.struct(key.alias("key"), quoted.alias("value"))
+
+
 def read_scrapes(lines: DataFrame) -> DataFrame:
     """Parse; comments, blanks and unreadable values are skipped.
 
     With a ``line_no`` column a series repeated inside one scrape keeps its last line.
     """
     text = F.trim(F.col("line"))
-    rows = lines.withColumn("line", text).filter(
-        (F.col("line") != "") & ~F.col("line").startswith("#"))
-    block = F.regexp_extract("line", LINE_LABELS, 1)
-    samples = rows.select(
-        *[c for c in ("instance", "scrape_ts", "line_no") if c in lines.columns],
-        F.regexp_extract("line", LINE_NAME, 1).alias("name"),
-        F.map_from_arrays(F.regexp_extract_all(block, F.lit(LABEL), 1),
-                          F.regexp_extract_all(block, F.lit(LABEL), 2)).alias("labels"),
-        to_number(F.regexp_extract("line", LINE_VALUE, 1)).alias("value"),
-    ).filter((F.col("name") != "") & F.col("value").isNotNull())
+    rows = lines.select(*[c for c in ("instance", "scrape_ts", "line_no") if c in lines.columns],
+                        text.alias("line"))
+    rows = rows.filter((F.col("line") != "") & ~F.col("line").startswith("#")
+                       & F.col("line").rlike(LINE))
+    # One pass of the line pattern, and one of the label pattern, per line.
+    rows = computed_once(rows, _part=F.split(F.regexp_replace(
+        "line", LINE, f"$1{_CUT}$2{_CUT}$3"), _CUT))
+    samples = computed_once(
+        rows, name=F.col("_part")[0],
+        labels=F.map_from_entries(F.transform(
+            F.regexp_extract_all(F.col("_part")[1], F.lit(LABEL), 0), _pair)),
+        value=to_number(F.col("_part")[2])).filter(F.col("value").isNotNull()).drop(
+        "line", "_part")
     samples = samples.withColumn("label_key", label_key("labels"))
     if "line_no" not in lines.columns:
         return samples

@@ -97,10 +97,28 @@ def read_silver(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, root, t) for t in C.SILVER_TABLES}
 
 
+def stage(df: DataFrame, root: str, name: str) -> DataFrame:
+    """Write an intermediate once and read it back.
+
+    Several outputs then share one evaluation of the input, and a lost executor costs a
+    re-read of columnar files, not a re-parse.  Writing the same name again replaces it.
+    """
+    path = f"{root}/_staging/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(spark: SparkSession, root: str, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_staging/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_bronze(signals: DataFrame, root: str, piece: str) -> None:
     """Split a mixed set of accepted signals by destination and write four tables."""
-    for table, rows in mapping.to_bronze(signals).items():
+    staged = stage(signals, root, f"signals-{piece}")
+    for table, rows in mapping.to_bronze(staged).items():
         write_piece(rows, root, table, piece)
+    unstage(signals.sparkSession, root, f"signals-{piece}")
 
 
 def retain(df: DataFrame, as_of, days: int = C.RETENTION_DAYS, date: str = "event_date"):
@@ -141,6 +159,7 @@ def compact(spark: SparkSession, root: str, table: str, compaction_id: str, date
         (merge(rows) if merge else rows).write.mode("overwrite").parquet(staging)
     write_piece(spark.read.parquet(staging), root, table, compaction_id)
     drop_pieces(spark, root, table, dates, keep=compaction_id)
+    unstage(spark, root, f"{table}-{compaction_id}")
 
 
 def drop_pieces(spark: SparkSession, root: str, table: str, dates: list[str],

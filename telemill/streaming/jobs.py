@@ -10,7 +10,6 @@ and nothing is lost.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from telemill import contract as C
 from telemill.operators import edges, mapping, silver as SV, validation
@@ -27,28 +26,21 @@ def piece_of(batch_id: int, stream: str = "stream") -> str:
 def write_batch(signals: DataFrame, root: str, piece: str, policy: str = "warn",
                 required=C.REQUIRED_RESOURCE_KEYS) -> None:
     """Everything one batch of parsed signals causes, as one idempotent piece."""
-    checked = validation.validate(signals, required).persist(StorageLevel.DISK_ONLY)
-    try:
-        kept = validation.apply_policy(checked, policy)
-        bronze = mapping.to_bronze(kept)
-        for table, rows in bronze.items():
+    spark = signals.sparkSession
+    checked = TB.stage(validation.validate(signals, required), root, f"batch-{piece}")
+    bronze = mapping.to_bronze(validation.apply_policy(checked, policy))
+    base = SV.to_silver(bronze)
+    for models in (bronze, base, rollups.all_rollups(base)):
+        for table, rows in models.items():
             TB.write_piece(rows, root, table, piece)
-        base = SV.to_silver(bronze)
-        for table, rows in base.items():
-            TB.write_piece(rows, root, table, piece)
-        for table, rows in rollups.all_rollups(base).items():
-            TB.write_piece(rows, root, table, piece)
-        bad = checked.filter(F.col("error_code").isNotNull()
-                             | (F.col("parse_error").isNotNull()
-                                if "parse_error" in checked.columns else F.lit(False)))
-        reason = (F.coalesce("parse_error", "error_code")
-                  if "parse_error" in checked.columns else F.col("error_code"))
-        text = F.col("line") if "line" in checked.columns else F.to_json(F.struct("*"))
-        (bad.select(text.alias("line"), reason.alias("reason"), F.lit(piece).alias(TB.PIECE))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(TB.PIECE).parquet(f"{root}/{QUARANTINE}"))
-    finally:
-        checked.unpersist()
+    parse_error = F.col("parse_error") if "parse_error" in checked.columns else F.lit(None)
+    text = F.col("line") if "line" in checked.columns else F.to_json(F.struct("*"))
+    (checked.select(text.alias("line"), F.coalesce(parse_error, "error_code").alias("reason"),
+                    F.lit(piece).alias(TB.PIECE))
+     .filter(F.col("reason").isNotNull())
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(TB.PIECE).parquet(f"{root}/{QUARANTINE}"))
+    TB.unstage(spark, root, f"batch-{piece}")
 
 
 def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, *,
