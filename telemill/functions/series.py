@@ -1,74 +1,57 @@
 """Previous-row and trailing-row access on long series.
 
-A plain ``lag`` over (series, time) sorts one whole series in one task.  Here a series is
-cut into time chunks; each chunk receives the few rows of its past it needs and the window
+A plain window over (series, time) sorts one whole series in one task.  Here a series is cut
+into time chunks; each chunk also receives copies of the last rows before it and the window
 then runs per (series, chunk).  Results are the same as those of the plain window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CHUNK = "hour"
 
 
+def with_past(df: DataFrame, series: list[str], ts: str, k: int,
+              chunk: str = CHUNK) -> tuple[DataFrame, list[str]]:
+    """Rows plus, per chunk, copies of the ``k`` rows before it; and the window keys.
+
+    Copies carry ``_copy`` = true and have to be filtered out after windowing with frames
+    that reach back at most ``k`` rows.  Only the last ``k`` rows of each chunk travel, so
+    the global step sees k rows per chunk, whatever the sampling rate.
+    """
+    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
+    end = W.partitionBy(*series, "_chunk").orderBy(F.desc(ts))
+    tails = rows.withColumn("_rn", F.row_number().over(end)).filter(F.col("_rn") <= k).drop("_rn")
+    ahead = W.partitionBy(*series).orderBy(ts).rowsBetween(1, k)
+    copies = (
+        tails.withColumn("_next", F.collect_set("_chunk").over(ahead))
+        .withColumn("_to", F.explode(F.array_except("_next", F.array("_chunk"))))
+        .withColumn("_chunk", F.col("_to")).drop("_to", "_next"))
+    both = rows.withColumn("_copy", F.lit(False)).unionByName(
+        copies.withColumn("_copy", F.lit(True)))
+    return both, [*series, "_chunk"]
+
+
+def originals(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("_copy")).drop("_copy", "_chunk")
+
+
 def lagged(df: DataFrame, series: list[str], ts: str, columns: list[str],
            chunk: str = CHUNK) -> DataFrame:
     """Add ``prev_<c>`` for every column and ``prev_<ts>``; null on the first row."""
+    rows, keys = with_past(df, series, ts, 1, chunk)
+    w = W.partitionBy(*keys).orderBy(ts)
     wanted = [ts, *[c for c in columns if c != ts]]
-    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts))).withColumn(
-        "_carry", F.lit(False))
-    last = rows.groupBy(*series, "_chunk").agg(
-        F.max_by(F.struct(*[F.col(c) for c in wanted]), F.col(ts)).alias("_last"))
-    following = W.partitionBy(*series).orderBy("_chunk")
-    carried = (
-        last.withColumn("_next", F.lead("_chunk").over(following))
-        .filter(F.col("_next").isNotNull())
-        .select(*series, F.col("_next").alias("_chunk"), F.lit(True).alias("_carry"),
-                *[F.col("_last")[c].alias(c) for c in wanted])
-    )
-    both = rows.unionByName(carried, allowMissingColumns=True)
-    w = W.partitionBy(*series, "_chunk").orderBy(ts)
-    for c in wanted:
-        both = both.withColumn(f"prev_{c}", F.lag(c).over(w))
-    return both.filter(~F.col("_carry")).drop("_chunk", "_carry")
-
-
-def numbered(df: DataFrame, series: list[str], ts: str, chunk: str = CHUNK) -> DataFrame:
-    """Add ``seq``, the 1-based position of the row in its series."""
-    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
-    before = W.partitionBy(*series).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    sizes = (
-        rows.groupBy(*series, "_chunk").agg(F.count("*").alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
-    )
-    local = W.partitionBy(*series, "_chunk").orderBy(ts)
-    return (
-        rows.join(sizes, [*series, "_chunk"])
-        .withColumn("seq", F.col("_offset") + F.row_number().over(local))
-        .drop("_chunk", "_offset")
-    )
-
+    return originals(rows.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in wanted]))
 
-def trailing(df: DataFrame, series: list[str], seq: str, k: int, aggregates: dict,
-             block: int = 4096) -> DataFrame:
-    """Aggregates over the row and its ``k`` predecessors, block by block.
 
-    ``df`` has gapless 1-based ``seq`` numbers per series.  The last ``k`` rows of a block
-    are copied into the next one, so every window is complete inside its own block.
-    """
-    if k >= block:
-        raise ValueError("the trailing window has to be shorter than a block")
-    own = F.floor((F.col(seq) - 1) / block)
-    tail = F.pmod(F.col(seq) - 1, F.lit(block)) >= block - k
-    copies = df.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.when(tail, F.array(F.col("_own"), F.col("_own") + 1))
-                            .otherwise(F.array(F.col("_own")))))
-    w = W.partitionBy(*series, "_block").orderBy(seq).rowsBetween(-k, 0)
-    for name, aggregate in aggregates.items():
-        copies = copies.withColumn(name, aggregate.over(w))
-    return copies.filter(F.col("_block") == F.col("_own")).drop("_own", "_block")
+def trailing(df: DataFrame, series: list[str], ts: str, k: int, aggregates: dict[str, Column],
+             chunk: str = CHUNK) -> DataFrame:
+    """Aggregates over each row and its ``k`` predecessors."""
+    rows, keys = with_past(df, series, ts, k, chunk)
+    w = W.partitionBy(*keys).orderBy(ts).rowsBetween(-k, 0)
+    return originals(rows.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()]))
 
 
 def newest(df: DataFrame, series: list[str], ts: str, k: int) -> DataFrame:

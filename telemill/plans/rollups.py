@@ -101,14 +101,16 @@ def _fold_keys(counted: DataFrame, keys: list[str]) -> DataFrame:
 def resource_key_presence_1m(silver: dict[str, DataFrame], width: str = "minute") -> DataFrame:
     """Rows per bucket and, per attribute key, the rows that carry it.
 
-    Every row also emits one null key, which counts the rows themselves, so a row with an
-    empty map is still counted and no second pass or join is needed.
+    Rows with the same set of keys collapse first (producers use few shapes), so only
+    counts are spread over keys.  Every shape also emits one null key, which counts the rows
+    themselves: a row with an empty map is still counted, without a second pass or a join.
     """
-    rows = _all_signals(silver, width, "resource_attributes")
-    present = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(
-        F.map_keys("resource_attributes"), F.array().cast("array<string>")))
-    counted = (rows.select(*VOLUME_KEYS, F.explode(present).alias("key"))
-               .groupBy(*VOLUME_KEYS, "key").agg(F.count("*").alias("n")))
+    rows = _all_signals(silver, width, F.array_sort(F.coalesce(
+        F.map_keys("resource_attributes"), F.array().cast("array<string>"))).alias("shape"))
+    shapes = rows.groupBy(*VOLUME_KEYS, "shape").agg(F.count("*").alias("c"))
+    present = F.concat(F.array(F.lit(None).cast("string")), F.col("shape"))
+    counted = (shapes.select(*VOLUME_KEYS, "c", F.explode(present).alias("key"))
+               .groupBy(*VOLUME_KEYS, "key").agg(F.sum("c").alias("n")))
     return _dated(_fold_keys(counted, VOLUME_KEYS))
 
 

@@ -9,6 +9,8 @@ from telemill.functions.columns import computed_once
 _STRINGS = ("signal_type", "contract_version", "severity_text", "service_name", "body",
             "trace_id", "span_id", "parent_span_id", "name", "status_code", "type")
 _LONGS = ("time_unix_nano", "start_unix_nano", "end_unix_nano")
+_SCALARS = ", ".join([*(f"{f} string" for f in _STRINGS), *(f"{f} bigint" for f in _LONGS),
+                      "severity_number int", "value double"])
 _MAPS = ("attributes", "resource_attributes")
 
 _REQUIRED = {
@@ -32,7 +34,7 @@ def read_signals_ndjson(spark: SparkSession, path, column: str = "value") -> Dat
 
 def _kind(field: str) -> Column:
     """JSON type of a top-level field; SQL NULL when absent."""
-    return F.expr(f"schema_of_variant(try_variant_get(_json, '$.{field}', 'variant'))")
+    return F.try_element_at("_kinds", F.lit(field))
 
 
 def _all_strings(field: str) -> Column:
@@ -46,9 +48,7 @@ def _well_typed(field: str) -> Column:
     kind = F.coalesce(_kind(field), F.lit(""))
     if field in _STRINGS:
         return kind == "STRING"
-    if field in _LONGS:
-        return (kind == "BIGINT") & F.col(field).isNotNull()
-    if field == "severity_number":
+    if field in _LONGS or field == "severity_number":
         return (kind == "BIGINT") & F.col(field).isNotNull()
     if field == "value":
         return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
@@ -62,22 +62,19 @@ def parse_signals(lines: DataFrame, column: str = "value") -> DataFrame:
     be read (``malformed``, ``signal_type``, ``field:<name>``, ``status_code``, ``type``).
     Blank lines are skipped, bad lines stay as rows so that they can be counted and kept.
     """
-    raw = computed_once(
-        lines.filter(F.trim(F.col(column)) != ""),
-        _json=F.when(F.trim(F.col(column)).endswith("}"), F.try_parse_json(F.col(column))))
-    typed = raw.withColumnRenamed(column, "line")
+    text = F.when(F.trim(F.col(column)).endswith("}"), F.col(column))
+    raw = computed_once(lines.filter(F.trim(F.col(column)) != ""), _json=F.try_parse_json(text))
+    raw = raw.withColumnRenamed(column, "line")
+    # Scalars come from the typed reader; types and maps from the parsed record.
+    typed = raw.select("*", F.inline(F.array(F.from_json("line", _SCALARS))))
     typed = computed_once(
         typed,
-        **{f: F.expr(f"try_variant_get(_json, '$.{f}', 'string')") for f in _STRINGS},
-        **{f: F.expr(f"try_variant_get(_json, '$.{f}', 'bigint')") for f in _LONGS},
-        severity_number=F.expr("try_variant_get(_json, '$.severity_number', 'int')"),
-        value=F.expr("try_variant_get(_json, '$.value', 'double')"),
+        _kinds=F.expr("transform_values(try_variant_get(_json, '$', 'map<string,variant>'),"
+                      " (k, v) -> schema_of_variant(v))"),
         **{f: F.expr(f"try_variant_get(_json, '$.{f}', 'map<string,string>')") for f in _MAPS})
 
     reasons = [
-        F.when(F.col("_json").isNull() | ~F.coalesce(
-            F.expr("schema_of_variant(_json)").startswith("OBJECT"), F.lit(False)),
-            F.lit("malformed")),
+        F.when(F.col("_kinds").isNull(), F.lit("malformed")),
         F.when(~F.coalesce(F.col("signal_type").isin(*_REQUIRED), F.lit(False))
                | (_kind("signal_type") != "STRING"), F.lit("signal_type")),
     ]
@@ -92,4 +89,4 @@ def parse_signals(lines: DataFrame, column: str = "value") -> DataFrame:
                           & ~F.col("status_code").isin(*STATUS_DOMAIN), F.lit("status_code")))
     reasons.append(F.when((F.col("signal_type") == "metric")
                           & ~F.col("type").isin(*METRIC_TYPE_DOMAIN), F.lit("type")))
-    return computed_once(typed, parse_error=F.coalesce(*reasons)).drop("_json")
+    return computed_once(typed, parse_error=F.coalesce(*reasons)).drop("_json", "_kinds")

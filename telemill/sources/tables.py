@@ -48,10 +48,15 @@ def table_ddl(table: str) -> str:
 
 
 def write_piece(df: DataFrame, root: str, table: str, piece: str) -> None:
-    """Write one piece of a table; repeating it replaces it, other pieces stay."""
+    """Write one piece of a table; repeating it replaces it, other pieces stay.
+
+    The rebalance hint gathers each date into few files and still lets AQE split a date
+    that is much larger than the others.
+    """
     date = date_column(table)
     writer = (
         df.withColumn(PIECE, F.lit(piece))
+        .hint("rebalance", F.col(date))
         .sortWithinPartitions(date, *LAYOUT[table])
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(date, PIECE)
