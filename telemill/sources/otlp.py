@@ -11,14 +11,15 @@ _ZERO = r"^0*$"
 
 def number_text(d) -> Column:
     """Plain decimal form of a double: 1.0 -> ``1``, 0.5 -> ``0.5``; never an exponent."""
-    whole = F.floor(d) == d
+    whole = F.rint(d) == d
+    small = F.regexp_replace(d.try_cast("decimal(38,20)").cast("string"), "0+$", "")
     return (
         F.when(F.isnan(d), F.lit("NaN"))
         .when(F.abs(d) == float("inf"), F.when(d > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when(whole & (F.abs(d) < 1e18), d.cast("bigint").cast("string"))
-        .when(whole, d.cast("decimal(38,0)").cast("string"))
+        .when(whole & (F.abs(d) < 1e18), d.try_cast("bigint").cast("string"))
+        .when(whole, F.coalesce(d.try_cast("decimal(38,0)").cast("string"), d.cast("string")))
         .when((F.abs(d) >= 1e-3) & (F.abs(d) < 1e7), d.cast("string"))
-        .otherwise(F.regexp_replace(d.cast("decimal(38,20)").cast("string"), "0+$", ""))
+        .otherwise(small)
     )
 
 
