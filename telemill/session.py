@@ -14,6 +14,8 @@ _RUNTIME = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # A repeated attribute key inside one JSON object is legal; the last one wins.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Small per-group buffers (sets of services, bucket lists): hash more groups before sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # Hot keys in plain shuffle joins are split at run time.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
