@@ -10,7 +10,7 @@ def row_hash(df: DataFrame) -> Column:
     parts = []
     for f in sorted(df.schema.fields, key=lambda f: f.name):
         c = F.col(f"`{f.name}`")
-        parts.append(F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c)
+        parts.append(F.sort_array(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c)
     return F.xxhash64(*parts)
 
 

@@ -35,12 +35,12 @@ def is_true(attributes, key: str) -> Column:
 
 def sorted_map(m) -> Column:
     """Same map with its entries in key order."""
-    return F.map_from_entries(F.array_sort(F.map_entries(col(m))))
+    return F.map_from_entries(F.sort_array(F.map_entries(col(m))))
 
 
 def map_text(m) -> Column:
     """``k=v`` pairs in key order: a comparable, hashable form of a map."""
-    pairs = F.transform(F.array_sort(F.map_entries(col(m))),
+    pairs = F.transform(F.sort_array(F.map_entries(col(m))),
                         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return F.array_join(pairs, ",")
 

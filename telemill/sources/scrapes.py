@@ -27,7 +27,7 @@ def label_key(labels) -> Column:
     """Canonical text of a label set: ``k="v"`` pairs in name order."""
     labels = F.col(labels) if isinstance(labels, str) else labels
     return F.array_join(
-        F.transform(F.array_sort(F.map_entries(labels)),
+        F.transform(F.sort_array(F.map_entries(labels)),
                     lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
 
 
