@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from telemill.llm import simhash as SH
-from telemill.llm.shared import prepare, table
+from telemill.llm import packing as PK, simhash as SH, token_file as TF
+from telemill.llm.shared import folder, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,3 +23,17 @@ def op10_simhash_near_dedup(spark, sf_dir):
     prepare(spark)
     return SH.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", SH.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_rans_token_file(spark, sf_dir):
+    prepare(spark)
+    path = folder(spark, "token-file")
+    TF.write(table(spark, sf_dir, "documents"), path)
+    return TF.read_checksums(spark, path)
+
+
+@query
+def op4_shortest_pack_first(spark, sf_dir):
+    prepare(spark)
+    return PK.pack(table(spark, sf_dir, "documents"), with_ids=False)
