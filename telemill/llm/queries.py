@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from telemill.llm import packing as PK, simhash as SH, token_file as TF
+from telemill.llm import decontaminate as DC, packing as PK, quality as QC, simhash as SH, token_file as TF, toxicity as TX
 from telemill.llm.shared import folder, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,57 @@ def op2_rans_token_file(spark, sf_dir):
 def op4_shortest_pack_first(spark, sf_dir):
     prepare(spark)
     return PK.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op5_suffix_array_decontamination(spark, sf_dir):
+    prepare(spark)
+    return DC.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", DC.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), DC.contaminated().alias("contaminated"))
+
+
+# Windows of items, occurrences by equality of the joined words, words covered by any of them.
+ORACLE["op5_suffix_array_decontamination"] = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM documents),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, grams.n, i FROM grams JOIN windows USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT docs.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query
+def op8_pu_quality(spark, sf_dir):
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = QC.fit(docs, labels.where(~QC.held_out()))
+    return QC.score(docs, model).select(
+        "doc_id", QC.held_out().alias("held_out"), "score", (F.col("score") >= QC.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op9_toxic_segments(spark, sf_dir):
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = TX.fit(docs, labels.where(~TX.held_out()))
+    return TX.score(docs, model).select(
+        "doc_id", TX.held_out().alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TX.THRESHOLD).cast("int").alias("predicted"))
