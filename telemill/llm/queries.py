@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from telemill.llm import decontaminate as DC, packing as PK, quality as QC, simhash as SH, token_file as TF, toxicity as TX
+from telemill.llm import (
+    decontaminate as DC, edit_embedding as EE, packing as PK, quality as QC, simhash as SH, token_file as TF,
+    toxicity as TX, warc as WA)
 from telemill.llm.shared import folder, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +93,37 @@ def op9_toxic_segments(spark, sf_dir):
     return TX.score(docs, model).select(
         "doc_id", TX.held_out().alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= TX.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op3_warc(spark, sf_dir):
+    prepare(spark)
+    path = folder(spark, "warc")
+    WA.write_pages(table(spark, sf_dir, "pages"), path)
+    records = WA.read(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    return records.select(
+        WA.page_id_of("record_id").alias("page_id"), "payload_bytes",
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type",
+        WA.page_id_of("refers_to").alias("refers_to"))
+
+
+def _base32_sql(sha: str) -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    value = [f"CAST(('0x' || substr({sha}, {5 * i + 1}, 5)) AS BIGINT)" for i in range(8)]
+    return " || ".join(f"substr({letters}, CAST((({v}) >> {s}) & 31 AS BIGINT) + 1, 1)" for v in value for s in (15, 10, 5, 0))
+
+
+ORACLE["op3_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_base32_sql('sha')} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (sha)
+"""
+
+
+@query
+def op1_edit_embedding(spark, sf_dir):
+    prepare(spark)
+    return EE.fingerprint_edits(table(spark, sf_dir, "documents"))
