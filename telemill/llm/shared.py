@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -51,3 +52,12 @@ def whole(column: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are done and staged.
+
+    It acts when the driver collects its garbage, which a driver with a large heap seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
