@@ -1,9 +1,9 @@
 """Token ids of many texts by the tokenizers library, each distinct chunk of text encoded once per worker.
 
-White space always ends a token of the word vocabulary, so a text's ids are the ids of its blank-separated
-chunks in turn.  Chunks of plain letters and punctuation go to the library's model word by word; every
-other chunk goes through the library's whole path.  A text in which Python and the library might see
-different white space is encoded whole.
+White space always ends a token of the word vocabulary and case is dropped, so a text's ids are the ids of its
+lower-case, blank-separated chunks in turn.  Chunks of plain letters and punctuation go to the library's model
+word by word; every other chunk goes through the library's whole path.  A text in which Python and the library
+might see different white space or lower case is encoded whole.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 
-_PLAIN = re.compile(r"([.,;:!?|%$&*#()]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|%$&*#()]*)")
-#: White space to one of the two sides only, or the start of a special token.
-_DOUBTFUL = (*map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)), "<|")
+_PLAIN = re.compile(r"([.,;:!?|%$&*#()]*)([a-zß-öø-ÿ]*)([.,;:!?|%$&*#()]*)")
+_MARKS = frozenset(".,;:!?|%$&*#()")
+#: White space to one of the two sides only, the start of a special token, letters with two lower-case forms.
+_DOUBTFUL = (*map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)), "<|", "Σ", "İ")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -27,7 +28,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, room: int = 400_000) -> Encoder:
+def encoder(path: str, room: int = 800_000) -> Encoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
     if (path, room) not in _ENCODERS:
         _ENCODERS[path, room] = Encoder(path, room)
@@ -37,7 +38,7 @@ def encoder(path: str, room: int = 400_000) -> Encoder:
 class Encoder:
     """Encodes lists of texts.  ``room`` bounds the chunks remembered; a full memory starts anew."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
@@ -54,27 +55,37 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _piece(self, text: str) -> tuple[int, ...]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            shown = text if text.isascii() else self.byte_level.pre_tokenize_str(text)[0][0]
-            ids = tuple(t.id for t in self.library.model.tokenize(shown))
-            if len(self.pieces) >= self.room:
-                self.pieces.clear()
-            self.pieces[text] = ids
+        shown = text if text.isascii() else self.byte_level.pre_tokenize_str(text)[0][0]
+        ids = tuple(t.id for t in self.library.model.tokenize(shown))
+        if len(self.pieces) >= self.room:
+            self.pieces.clear()
+        self.pieces[text] = ids
         return ids
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a lower-case chunk that is more than an ASCII word."""
         plain = _PLAIN.fullmatch(chunk)
         if plain is None:
             return tuple(self.library.encode(chunk, add_special_tokens=False).ids)
         ids: tuple[int, ...] = ()
         for part in plain.groups():
             if part:
-                ids += self._piece(part.lower())
+                ids += self.pieces.get(part) or self._piece(part)
         return ids
 
-    def _learn(self, chunks: set[str]) -> None:
-        found = [self._chunk(c) for c in chunks]
+    def _learn(self, chunks: list[str]) -> None:
+        known, piece = self.pieces.get, self._piece
+        found = []
+        for chunk in chunks:
+            if chunk.isascii():
+                if chunk.isalpha():
+                    found.append(known(chunk) or piece(chunk))
+                    continue
+                word, mark = chunk[:-1], chunk[-1]
+                if word.isalpha() and mark in _MARKS:
+                    found.append((known(word) or piece(word)) + (known(mark) or piece(mark)))
+                    continue
+            found.append(self._chunk(chunk))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         base = len(self.flat)
         self.rows.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(found))))
@@ -92,7 +103,7 @@ class Encoder:
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
             out.append(np.zeros(0, np.uint32))
-            words = text.split()
+            words = text.lower().split()
             group.append((len(out) - 1, words))
             size += len(words)
             if size >= 1 << 18:
@@ -112,7 +123,7 @@ class Encoder:
         rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, total)
         missing = np.nonzero(rows < 0)[0]
         if len(missing):
-            self._learn({words[i] for i in missing})
+            self._learn(list({words[i] for i in missing}))
             get = self.rows.__getitem__
             rows[missing] = [get(words[i]) for i in missing]
         sizes = self.sizes[rows]
