@@ -1,8 +1,65 @@
-"""Corpus pipeline: each stage reads the previous stage's Parquet output as its documents."""
+"""Corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing.
 
-STAGES = []
+Each stage is a function ``(spark, docs, sf_dir)`` over all that the one before kept.  ``run`` writes each stage's rows
+as Parquet in the shared folder and reads them again as the next one's documents; all but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from telemill.llm import decontaminate, lines, packing, simhash, toxicity
+from telemill.llm.shared import prepare, stage, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; the lexicon is learned from these documents and the labels not held out."""
+    prepare(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines whose group of similar lines occurs earlier; ``n_chars`` follows the text."""
+    prepare(spark)
+    kept = lines.keep_first(docs)
+    count = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", count).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    prepare(spark)
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark windows do not cover to a twentieth or more."""
+    prepare(spark)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids and their places in sequences."""
+    prepare(spark)
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+# Learned scores, SimHash bits and token ids are beyond SQL; tests/llm compares the rows with a brute-force pipeline.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return docs
