@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill.llm import (
-    decontaminate as DC, edit_embedding as EE, lines as LN, packing as PK, quality as QC, simhash as SH, token_file as TF,
+    decontaminate as DC, edit_embedding as EE, lines as LN, packing as PK, quality as QC, repeats as RP, simhash as SH, token_file as TF,
     toxicity as TX, warc as WA)
 from telemill.llm.shared import folder, prepare, table
 
@@ -134,3 +134,10 @@ def op7_fuzzy_lines(spark, sf_dir):
     prepare(spark)
     return LN.keep_first(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_removed"), "text")
+
+
+@query
+def op6_repeated_strings(spark, sf_dir):
+    prepare(spark)
+    return RP.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
