@@ -229,8 +229,17 @@ def same_structure(a: DataFrame, b: DataFrame) -> bool:
     return shape(a) == shape(b)
 
 
-def _rebuild(spark, root, table, phase, run_id, days, sources, build) -> None:
-    names = [n for n in sources]
+def _rebuild(spark, root, table, phase, run_id, days, names, build) -> None:
+    """Rebuild some days of a table from exactly the source pieces that are stored now.
+
+    A writer gives one batch the same piece name in all its tables, sources before models.
+    The target's pieces are listed before the sources', so a batch that lands meanwhile is
+    either in both lists or its model pieces stay; those of a batch whose source pieces were
+    read but whose model pieces come later are recorded as folded.
+    """
+    old = TB.list_pieces(spark, root, table, days)
+    listed = {n: TB.list_pieces(spark, root, n, days) for n in names}
+    sources = {n: TB.read_pieces(spark, root, n, listed[n]) for n in names}
     before = _counts({n: _in_range(sources[n], n, days) for n in names})
     common = {"run_id": run_id, "phase": phase, "target_table": table}
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -263,7 +272,11 @@ def _rebuild(spark, root, table, phase, run_id, days, sources, build) -> None:
     if done:
         piece = f"backfill-{run_id}"
         TB.write_piece(_in_range(staged, table, done), root, table, piece)
-        TB.drop_pieces(spark, root, table, done, keep=piece)
+        covered = {x for part in [old, *listed.values()] for x in part
+                   if x[0] in done and x[1] != piece}
+        TB.mark_folded(spark, root, table, sorted(covered), piece)
+        now = TB.list_pieces(spark, root, table, done)
+        TB.drop_pieces(spark, root, table, [x for x in now if x in covered])
     _record(spark, root, ledger)
     if bad:
         raise BackfillFailed(f"{table}: days differ from the expected content: {', '.join(bad)}")
@@ -286,7 +299,7 @@ def backfill_base(spark: SparkSession, root: str, from_day: str, to_day: str, as
     for table in ("log_events", "operation_executions", "metric_observations"):
         if days:
             _rebuild(spark, root, table, PHASE_1, run_id, days,
-                     {n: bronze[n] for n in _SOURCES[table]}, build[table])
+                     _SOURCES[table], build[table])
     return days
 
 
@@ -313,7 +326,6 @@ def backfill_rollups(spark: SparkSession, root: str, from_day: str, to_day: str,
              "resource_key_presence_1m": rollups.resource_key_presence_1m, **(builders or {})}
     for table in C.ROLLUP_TABLES:
         if days:
-            used = ({"metric_observations": silver["metric_observations"]}
-                    if table == "metric_stats_1m" else silver)
+            used = ("metric_observations",) if table == "metric_stats_1m" else C.SILVER_TABLES
             _rebuild(spark, root, table, PHASE_2, run_id, days, used, build[table])
     return days

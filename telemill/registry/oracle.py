@@ -493,7 +493,7 @@ O["reconcile_counts"] = silver("""
 SELECT signal, service_name, count(*) FILTER (is_synthetic) AS rolled, count(*) AS base
 FROM everything GROUP BY 1, 2 HAVING count(*) FILTER (is_synthetic) <> count(*)""")
 _DAYS = """days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS partition_id, day(ts) AS d
-  FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25')"""
+  FROM events)"""
 O["partitions_present"] = f"WITH {_DAYS} SELECT partition_id FROM days"
 O["missing_backfill_partitions"] = f"WITH {_DAYS} SELECT partition_id FROM days WHERE d % 4 = 0"
 O["rollup_ready_gate"] = f"""WITH {_DAYS} SELECT count(*) FILTER (d % 4 = 0) = 0 AS ready,

@@ -382,8 +382,16 @@ def _ledger(spark, sf):
         .alias("status")).distinct()
 
 
+def _day_range(spark, sf) -> tuple[str, str]:
+    """The first and the last day of the data."""
+    row = bridge.read_events(spark, sf).agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("a"),
+                                            F.date_format(F.max("ts"), "yyyy-MM-dd").alias("b"))
+    return tuple(row.first())
+
+
 def _base_days(spark, sf):
-    return BF.partitions_present(bridge.bronze(spark, sf), "2024-01-05", "2024-01-25")
+    first, last = _day_range(spark, sf)
+    return BF.partitions_present(bridge.bronze(spark, sf), first, last)
 
 
 @query
@@ -911,10 +919,11 @@ def backfill(spark, sf):
     for table, rows in bridge.bronze(spark, sf).items():
         TB.write_piece(rows, root, table, "all")
     last = bridge.read_events(spark, sf).agg(
+        F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first"),
         F.date_format(F.max("ts"), "yyyy-MM-dd").alias("d"),
         F.date_format(F.date_sub(F.max("ts"), 1), "yyyy-MM-dd").alias("y")).first()
-    BF.backfill_base(spark, root, "2024-01-01", last["y"], last["d"], "r1")
-    BF.backfill_rollups(spark, root, "2024-01-01", last["y"], last["d"], "r2")
+    BF.backfill_base(spark, root, last["first"], last["y"], last["d"], "r1")
+    BF.backfill_rollups(spark, root, last["first"], last["y"], last["d"], "r2")
     ledger = BF.read_ledger(spark, root).filter(F.col("status") == "ok")
     return ledger.select("phase", "target_table", "partition_id", "silver_rows_written",
                          (F.col("content_hash") == F.col("expected_hash")).alias("agrees"))

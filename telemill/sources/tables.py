@@ -50,10 +50,15 @@ def table_ddl(table: str) -> str:
 def write_piece(df: DataFrame, root: str, table: str, piece: str) -> None:
     """Write one piece of a table; repeating it replaces it, other pieces stay.
 
-    The rebalance hint gathers each date into few files and still lets AQE split a date
-    that is much larger than the others.
+    Days on which the piece has already been folded into another are left out, so a batch
+    replayed after a compaction or backfill does not double its rows.  The rebalance hint
+    gathers each date into few files and still lets AQE split a date that is much larger
+    than the others.
     """
     date = date_column(table)
+    folded = folded_days(df.sparkSession, root, table, piece)
+    if folded:
+        df = df.filter(~F.col(date).cast("string").isin(folded))
     writer = (
         df.withColumn(PIECE, F.lit(piece))
         .hint("rebalance", F.col(date))
@@ -94,6 +99,52 @@ def _split(ddl: str) -> list[str]:
     return [*parts, current.strip()]
 
 
+def list_pieces(spark: SparkSession, root: str, table: str,
+                dates: list[str]) -> list[tuple[str, str]]:
+    """``(date, piece)`` of the pieces stored now; names only, no data is read."""
+    jvm, found = spark._jvm, []
+    for day in dates:
+        base = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{date_column(table)}={day}")
+        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(base):
+            names = [status.getPath().getName() for status in fs.listStatus(base)]
+            found += [(day, n[len(PIECE) + 1:]) for n in names if n.startswith(f"{PIECE}=")]
+    return sorted(found)
+
+
+def read_pieces(spark: SparkSession, root: str, table: str,
+                listed: list[tuple[str, str]]) -> DataFrame:
+    """Exactly the listed pieces; what arrives later is not read."""
+    if not listed:
+        return spark.createDataFrame([], table_ddl(table))
+    columns = [f.split()[0] for f in _split(table_ddl(table))]
+    rows = spark.read.schema(f"{table_ddl(table)}, {PIECE} string").parquet(f"{root}/{table}")
+    wanted = spark.createDataFrame(listed, f"_day string, {PIECE} string")
+    dates = sorted({day for day, _ in listed})
+    return (rows.filter(F.col(date_column(table)).cast("string").isin(dates))
+            .withColumn("_day", F.col(date_column(table)).cast("string"))
+            .join(wanted, ["_day", PIECE], "left_semi").select(*columns))
+
+
+def mark_folded(spark: SparkSession, root: str, table: str, listed: list[tuple[str, str]],
+                into: str) -> None:
+    """Record which pieces another one now stands for."""
+    rows = [(day, piece, into) for day, piece in listed if piece != into]
+    if rows:
+        spark.createDataFrame(rows, "day string, folded string, into string").coalesce(
+            1).write.mode("append").parquet(f"{root}/_folded/{table}")
+
+
+def folded_days(spark: SparkSession, root: str, table: str, piece: str) -> list[str]:
+    """Days on which a piece is part of another one."""
+    path = f"{root}/_folded/{table}"
+    if not exists(spark, path):
+        return []
+    rows = spark.read.schema("day string, folded string, into string").parquet(path)
+    return [r["day"] for r in rows.filter(F.col("folded") == piece).select("day").distinct()
+            .collect()]
+
+
 def read_bronze(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, root, t) for t in C.BRONZE_TABLES}
 
@@ -131,13 +182,6 @@ def retain(df: DataFrame, as_of, days: int = C.RETENTION_DAYS, date: str = "even
     return df.filter(F.col(date) >= F.date_sub(F.to_date(F.lit(as_of)), days))
 
 
-def expired_dates(df: DataFrame, as_of, days: int = C.RETENTION_DAYS,
-                  date: str = "event_date") -> DataFrame:
-    """Date partitions that retention drops."""
-    return df.select(date).distinct().filter(
-        F.col(date) < F.date_sub(F.to_date(F.lit(as_of)), days))
-
-
 def apply_column_map(signals: DataFrame, kind: str, columns: dict[str, str] | None = None):
     """Canonical fields of one signal kind under their configured column names."""
     columns = columns or C.COLUMN_MAP[kind]
@@ -152,31 +196,66 @@ def apply_column_map(signals: DataFrame, kind: str, columns: dict[str, str] | No
 
 def compact(spark: SparkSession, root: str, table: str, compaction_id: str, dates: list[str],
             merge=None) -> None:
-    """Fold all pieces of some dates into one, merging partial aggregates when told how.
+    """Fold the pieces some dates have now into one, merging partial aggregates when told how.
 
-    The folded rows are staged first.  A run that dies later resumes from its finished
-    staging folder and never recomputes from half-removed pieces.
+    The list of pieces is stored first, then exactly these are read, staged, recorded as
+    folded and deleted; a piece that arrives at any time after the listing stays.  A run that
+    dies later resumes from its list and its finished staging folder.
     """
     staging = f"{root}/_staging/{table}-{compaction_id}"
-    if not exists(spark, f"{staging}/_SUCCESS"):
-        rows = read_table(spark, root, table).filter(
-            F.col(date_column(table)).cast("string").isin(*dates))
-        (merge(rows) if merge else rows).write.mode("overwrite").parquet(staging)
-    write_piece(spark.read.parquet(staging), root, table, compaction_id)
-    drop_pieces(spark, root, table, dates, keep=compaction_id)
+    listing = f"{root}/_staging/{table}-{compaction_id}-pieces"
+    if not exists(spark, f"{listing}/_SUCCESS"):
+        spark.createDataFrame(list_pieces(spark, root, table, dates), "day string, folded string"
+                              ).coalesce(1).write.mode("overwrite").parquet(listing)
+    listed = [(r["day"], r["folded"]) for r in spark.read.schema(
+        "day string, folded string").parquet(listing).collect()]
+    if listed:
+        if not exists(spark, f"{staging}/_SUCCESS"):
+            rows = read_pieces(spark, root, table, listed)
+            (merge(rows) if merge else rows).write.mode("overwrite").parquet(staging)
+        write_piece(spark.read.schema(table_ddl(table)).parquet(staging), root, table,
+                    compaction_id)
+        mark_folded(spark, root, table, listed, compaction_id)
+        drop_pieces(spark, root, table, [x for x in listed if x[1] != compaction_id])
     unstage(spark, root, f"{table}-{compaction_id}")
+    unstage(spark, root, f"{table}-{compaction_id}-pieces")
 
 
-def drop_pieces(spark: SparkSession, root: str, table: str, dates: list[str],
-                keep: str | None = None) -> None:
-    """Remove the partition folders of some dates, except one piece."""
-    jvm = spark._jvm
-    date = date_column(table)
-    for day in dates:
-        base = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{date}={day}")
-        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            continue
-        for status in fs.listStatus(base):
-            if keep is None or status.getPath().getName() != f"{PIECE}={keep}":
-                fs.delete(status.getPath(), True)
+def drop_pieces(spark: SparkSession, root: str, table: str,
+                listed: list[tuple[str, str]]) -> None:
+    """Remove exactly the listed pieces."""
+    jvm, date = spark._jvm, date_column(table)
+    for day, piece in listed:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{date}={day}/{PIECE}={piece}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dates_of(spark: SparkSession, root: str, table: str) -> list[str]:
+    """The date partitions a table has, by name."""
+    jvm, date = spark._jvm, date_column(table)
+    base = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+    return sorted(n[len(date) + 1:] for n in names if n.startswith(f"{date}="))
+
+
+def drop_expired(spark: SparkSession, root: str, as_of,
+                 days: dict[str, int] | None = None) -> list[tuple[str, str]]:
+    """Delete the date partitions past retention; returns ``(table, date)`` of what went.
+
+    Every table keeps ``RETENTION_DAYS``, call edges ``EDGE_RETENTION_DAYS``; ``days`` may say
+    otherwise for single tables.  Nothing inside a kept date is touched.
+    """
+    gone = []
+    for table in LAYOUT:
+        keep = (days or {}).get(table, C.EDGE_RETENTION_DAYS if table == C.EDGE_TABLE
+                                else C.RETENTION_DAYS)
+        first = spark.range(1).select(
+            F.date_sub(F.to_date(F.lit(as_of)), keep).cast("string")).first()[0]
+        for day in dates_of(spark, root, table):
+            if day < first:
+                path = spark._jvm.org.apache.hadoop.fs.Path(
+                    f"{root}/{table}/{date_column(table)}={day}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                gone.append((table, day))
+    return gone

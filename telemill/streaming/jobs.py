@@ -44,8 +44,8 @@ def write_batch(signals: DataFrame, root: str, piece: str, policy: str = "warn",
 
 
 def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, *,
-                  policy: str = "warn", interval: str = "500 milliseconds",
-                  max_files: int | None = None, once: bool = False, stream: str = "stream"):
+                  policy: str = "warn", interval: str = "1 minute",
+                  max_files: int | None = 1000, once: bool = False, stream: str = "stream"):
     """NDJSON files under ``source`` -> bronze, silver and rollup tables under ``root``."""
     reader = spark.readStream
     if max_files:
@@ -76,6 +76,13 @@ def compact_rollups(spark: SparkSession, root: str, dates: list[str], compaction
         TB.compact(spark, root, table, compaction_id, dates, merge)
 
 
+def compact_tables(spark: SparkSession, root: str, dates: list[str], compaction_id: str):
+    """Fold the pieces of bronze and silver tables too; their rows stay as they are."""
+    for table in (*C.BRONZE_TABLES, *C.SILVER_TABLES):
+        TB.compact(spark, root, table, compaction_id, dates)
+    compact_rollups(spark, root, dates, compaction_id)
+
+
 def refresh_call_edges(spark: SparkSession, root: str, as_of,
                        minutes: int = C.EDGE_WINDOW_MINUTES) -> None:
     """Recompute the trailing day of edges and replace it.
@@ -86,12 +93,13 @@ def refresh_call_edges(spark: SparkSession, root: str, as_of,
     """
     since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))
     rows = edges.call_edges_1m(TB.read_table(spark, root, "operation_executions"), since)
+    old = {(day, "refresh") for day in TB.dates_of(spark, root, C.EDGE_TABLE)}
     TB.write_piece(rows.withColumn("event_date", F.to_date("window_start")), root,
                    C.EDGE_TABLE, "refresh")
-    stale = TB.read_table(spark, root, C.EDGE_TABLE).select("event_date").distinct().filter(
-        F.col("event_date") < F.to_date(since))
-    TB.drop_pieces(spark, root, C.EDGE_TABLE,
-                   [str(r["event_date"]) for r in stale.collect()])
+    # Dates before the window go, and dates inside it that have no edge any more.
+    kept = {(str(r[0]), "refresh") for r in rows.select(
+        F.to_date("window_start")).distinct().collect()}
+    TB.drop_pieces(spark, root, C.EDGE_TABLE, sorted(old - kept))
 
 
 def stream_volume_windows(signals: DataFrame, lateness: str = "10 minutes",

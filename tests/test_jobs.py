@@ -168,3 +168,89 @@ def test_tampered_day_is_not_swapped(spark, folder):
         BF.backfill_base(spark, folder, "2024-01-01", "2024-01-02", "2024-01-05", "r3",
                          builders={"log_events": lambda b: SV.log_events(b["otel_logs"]).drop(
                              "body")})
+
+
+def _logs(spark):
+    return SV.log_events(bridge.bronze(spark, SF)["otel_logs"])
+
+
+def test_compaction_keeps_pieces_that_arrive_meanwhile(spark, folder, monkeypatch):
+    rows = _logs(spark)
+    a, b, late = (rows.filter(F.pmod(F.xxhash64("trace_id", "event_time_ns"), F.lit(3)) == i)
+                  for i in range(3))
+    TB.write_piece(a, folder, "log_events", "p1")
+    TB.write_piece(b, folder, "log_events", "p2")
+    days = TB.dates_of(spark, folder, "log_events")
+    write = TB.write_piece
+
+    def and_late(df, root, table, piece):
+        write(df, root, table, piece)
+        if piece == "c1":
+            write(late, root, table, "p3")
+    monkeypatch.setattr(TB, "write_piece", and_late)
+    TB.compact(spark, folder, "log_events", "c1", days)
+    monkeypatch.undo()
+    got = TB.read_table(spark, folder, "log_events")
+    assert content_checksum(got).first() == content_checksum(rows).first()
+    assert {p for _, p in TB.list_pieces(spark, folder, "log_events", days)} <= {"c1", "p3"}
+    TB.write_piece(b, folder, "log_events", "p2")          # a batch replayed after the fold
+    TB.write_piece(late, folder, "log_events", "p3")       # and one that was not folded
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == (
+        content_checksum(rows).first())
+    TB.compact(spark, folder, "log_events", "c1", days)    # the same id again folds the rest
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == (
+        content_checksum(rows).first())
+    assert {p for _, p in TB.list_pieces(spark, folder, "log_events", days)} == {"c1"}
+
+
+def test_compaction_resumes_from_its_list(spark, folder, monkeypatch):
+    rows = _logs(spark)
+    early, late = rows.filter("severity_number < 13"), rows.filter("severity_number >= 13")
+    TB.write_piece(early, folder, "log_events", "p1")
+    days = TB.dates_of(spark, folder, "log_events")
+
+    def die(*_):
+        raise RuntimeError("lost driver")
+    monkeypatch.setattr(TB, "mark_folded", die)
+    with pytest.raises(RuntimeError):
+        TB.compact(spark, folder, "log_events", "c1", days)
+    monkeypatch.undo()
+    TB.write_piece(late, folder, "log_events", "p2")       # lands during the outage
+    TB.compact(spark, folder, "log_events", "c1", days)
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == (
+        content_checksum(rows).first())
+
+
+def test_backfill_keeps_late_batches_and_doubles_none(spark, folder, monkeypatch):
+    bronze = bridge.bronze(spark, SF)
+    logs = bronze["otel_logs"].filter("TimestampDate <= '2024-01-02'")
+    early, late = logs.filter("SeverityNumber < 13"), logs.filter("SeverityNumber >= 13")
+    TB.write_piece(early, folder, "otel_logs", "s1")
+    record = BF._record
+    landed = []
+
+    def and_late(s, root, entries):
+        if not landed and entries[0]["status"] == "running":
+            landed.append(1)      # after the lists were taken
+            TB.write_piece(late, folder, "otel_logs", "s2")
+            TB.write_piece(SV.log_events(late), folder, "log_events", "s2")
+        record(s, root, entries)
+    monkeypatch.setattr(BF, "_record", and_late)
+    BF.backfill_base(spark, folder, "2024-01-01", "2024-01-02", "2024-01-05", "r1")
+    monkeypatch.undo()
+    assert landed
+    TB.write_piece(SV.log_events(early), folder, "log_events", "s1")   # its model part comes late
+    want = content_checksum(SV.log_events(logs)).first()
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == want
+
+
+def test_expired_dates_are_deleted(spark, folder):
+    rows = _logs(spark)
+    TB.write_piece(rows, folder, "log_events", "p1")
+    days = TB.dates_of(spark, folder, "log_events")
+    gone = TB.drop_expired(spark, folder, days[-1], {"log_events": 3})
+    left = TB.dates_of(spark, folder, "log_events")
+    assert left and len(gone) == len(days) - len(left)
+    first = rows.select(F.date_sub(F.lit(days[-1]).cast("date"), 3)).first()[0]
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == (
+        content_checksum(rows.filter(F.col("event_date") >= F.lit(first))).first())
