@@ -1,5 +1,12 @@
 """The telemetry contract: every value that has to be equal for results to be equal."""
 
+import os
+
+#: What the attribute keys and metric families of the own producers begin with.  Data written
+#: under other names are read by setting these two variables before the library is imported.
+KEY_PREFIX = os.environ.get("TELEMILL_KEY_PREFIX", "pipeline")
+FAMILY_PREFIX = os.environ.get("TELEMILL_FAMILY_PREFIX", "intake")
+
 # ---------------------------------------------------------------------------
 # Fixed values.  They are part of the wire data (attribute keys, metric family
 # names, enumerations) and of the published verdict rules, so they are stated
@@ -7,9 +14,9 @@
 # ---------------------------------------------------------------------------
 CONTRACT_VERSION = "1.0.0"
 
-KEY_SYNTHETIC = "sentinel.synthetic"
-KEY_SCENARIO = "sentinel.scenario"
-KEY_RUN_ID = "sentinel.run_id"
+KEY_SYNTHETIC = f"{KEY_PREFIX}.synthetic"
+KEY_SCENARIO = f"{KEY_PREFIX}.scenario"
+KEY_RUN_ID = f"{KEY_PREFIX}.run_id"
 KEY_PROVIDER = "cloud.provider"
 KEY_SERVICE = "service.name"
 KEY_CONTRACT_VERSION = "contract_version"
@@ -22,14 +29,14 @@ UNKNOWN_SERVICE = "unknown_service"
 ERROR_SEVERITY_NUMBER = 17
 ERROR_SEVERITY_TEXTS = ("ERROR", "FATAL")
 
-METRIC_INGESTED = "sentinel_signals_ingested_total"
-METRIC_ACCEPTED = "sentinel_signals_accepted_total"
-METRIC_REJECTED = "sentinel_signals_rejected_total"
-METRIC_STORAGE = "sentinel_storage_signals_total"
-METRIC_FLUSH_COUNT = "sentinel_batch_flush_size_count"
-METRIC_FLUSH_SUM = "sentinel_batch_flush_size_sum"
-METRIC_EXPORT_ERRORS = "sentinel_export_errors_total"
-METRIC_LATENCY = "sentinel_export_latency_seconds"
+METRIC_INGESTED = f"{FAMILY_PREFIX}_signals_ingested_total"
+METRIC_ACCEPTED = f"{FAMILY_PREFIX}_signals_accepted_total"
+METRIC_REJECTED = f"{FAMILY_PREFIX}_signals_rejected_total"
+METRIC_STORAGE = f"{FAMILY_PREFIX}_storage_signals_total"
+METRIC_FLUSH_COUNT = f"{FAMILY_PREFIX}_batch_flush_size_count"
+METRIC_FLUSH_SUM = f"{FAMILY_PREFIX}_batch_flush_size_sum"
+METRIC_EXPORT_ERRORS = f"{FAMILY_PREFIX}_export_errors_total"
+METRIC_LATENCY = f"{FAMILY_PREFIX}_export_latency_seconds"
 
 SIGNAL_LANES = ("logs", "trace", "metrics")
 REJECT_REASONS = ("contract", "backpressure")
@@ -60,22 +67,6 @@ EDGE_RETENTION_DAYS = 2
 EDGE_WINDOW_MINUTES = 24 * 60
 COVERAGE_READINGS = 7
 
-# Declared topology: component, type, service, upstream components, base rate,
-# base latency in ms, error ratio.
-TOPOLOGY = (
-    ("orchestration.daily_etl", "orchestration", "cloud-composer-etl", (), 2.0, 250.0, 0.01),
-    ("compute.spark_batch", "compute", "dataproc-spark-batch",
-     ("orchestration.daily_etl", "messaging.ingestion_topic"), 10.0, 1800.0, 0.02),
-    ("compute.spark_streaming", "compute", "dataproc-spark-streaming",
-     ("messaging.ingestion_topic",), 25.0, 400.0, 0.01),
-    ("storage.raw_bucket", "storage", "gcs-raw-bucket", ("compute.spark_batch",), 15.0, 80.0, 0.005),
-    ("storage.processed_bucket", "storage", "gcs-processed-bucket",
-     ("compute.spark_batch", "compute.spark_streaming"), 12.0, 75.0, 0.005),
-    ("messaging.ingestion_topic", "messaging", "pubsub-ingestion-topic", (), 50.0, 30.0, 0.003),
-    ("kubernetes.api_gateway", "kubernetes", "k8s-api-gateway",
-     ("compute.spark_batch", "compute.spark_streaming"), 20.0, 120.0, 0.01),
-)
-
 # Canonical field -> stored column, per signal kind.
 COLUMN_MAP = {
     "log": {

@@ -20,3 +20,10 @@ def content_checksum(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return hashed.groupBy(*(by or [])).agg(
         F.count("*").alias("rows"),
         F.coalesce(F.sum("_h"), F.lit(0)).cast("decimal(38,0)").alias("content_hash"))
+
+
+def text_checksum(*columns: str) -> Column:
+    """Sum over rows of 32 bits of the md5 of some columns' text, which any engine can compute."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")),
+                      F.lit(0))

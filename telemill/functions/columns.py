@@ -66,10 +66,6 @@ def bucket(ts, width: str = "minute") -> Column:
     return F.date_trunc(width, col(ts))
 
 
-def count_if(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def rate_of(part, whole) -> Column:
     """part / whole, 0.0 where there is nothing to divide by."""
     whole = col(whole)

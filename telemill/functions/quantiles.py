@@ -94,17 +94,3 @@ def exact_quantiles(
     if maximum:
         extra.append(F.max("_max").alias(maximum))
     return ranked.groupBy(*keys).agg(F.max("_n").alias(count), *extra, *pick)
-
-
-def rank_quantile(df: DataFrame, keys: list[str], value: str, num: int, den: int,
-                  name: str) -> DataFrame:
-    """Same definition for groups of bounded size (such as one row per time bucket)."""
-    order = W.partitionBy(*keys).orderBy(value)
-    whole = W.partitionBy(*keys)
-    return (
-        df.withColumn("_pos", F.row_number().over(order) - 1)
-        .withColumn("_n", F.count("*").over(whole))
-        .groupBy(*keys)
-        .agg(F.max(F.when(F.col("_pos") == F.least(int_div(F.col("_n") * num, den),
-                                                   F.col("_n") - 1), F.col(value))).alias(name))
-    )

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from telemill import contract as C
 
-# States and reasons.
+# States are fixed values; reasons are codes, followed by the numbers they rest on.
 FAIL, WARN, PASSING = "fail", "warn", "passing"
 UNMONITORED, UNKNOWN = "unmonitored", "unknown"
-NO_DISPERSION = "no dispersion to model"
-NO_BAND = "no band fits this window — the series is not single-mode"
+NO_DISPERSION = "flat_series"
+NO_BAND = "band_misses_own_window"
 STATE_RANK = {FAIL: 0, WARN: 1, UNMONITORED: 2, UNKNOWN: 3, PASSING: 4}
 
 
@@ -66,10 +66,8 @@ def volume_state(band: DataFrame) -> DataFrame:
         F.round(share, 3).alias("oob"),
         F.when(~fits, F.lit(UNMONITORED)).when(F.col("_z") >= C.Z_ERROR, F.lit(FAIL))
         .when(F.col("_z") >= C.Z_WARN, F.lit(WARN)).otherwise(F.lit(PASSING)).alias("state"),
-        F.when(~enough, F.concat(F.lit("only "), F.col("estate").cast("string"),
-                                 F.lit(" buckets in the window")))
-        .when(fits, F.concat(F.format_string("%.1f", "_z"), F.lit("σ from a median of "),
-                             F.format_string("%.0f", F.col("median").cast("double"))))
+        F.when(~enough, F.concat(F.lit("too_few_buckets n="), F.col("estate").cast("string")))
+        .when(fits, F.format_string("distance z=%.1f median=%.0f", F.col("_z"), F.col("median").cast("double")))
         .when((F.col("mad") <= 0) & (F.col("sd") <= 0), F.lit(NO_DISPERSION))
         .otherwise(F.lit(NO_BAND)).alias("why"))
 

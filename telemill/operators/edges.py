@@ -64,7 +64,12 @@ def call_edges(traces: DataFrame, since=None, limit: int | None = 24,
 
 def call_edges_from_rollup(edges_1m: DataFrame, since=None, limit: int | None = 24) -> DataFrame:
     """The same board from the minute model; that model keeps self-edges."""
-    rows = edges_1m if since is None else edges_1m.filter(F.col("window_start") > F.lit(since))
+    rows = edges_1m
+    if since is not None:
+        first = F.lit(since).cast("timestamp")
+        rows = rows.filter(F.col("window_start") > first)
+        if "event_date" in rows.columns:
+            rows = rows.filter(F.col("event_date") >= F.to_date(first))
     return _top(rows.groupBy(F.col("src_service").alias("src"), F.col("dst_service").alias("dst"))
                 .agg(F.sum("spans").alias("spans"), F.sum("errors").alias("errors")), limit)
 

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from telemill.functions.columns import attr, bucket
 
 
-def _between(df: DataFrame, ts: str, since, until) -> DataFrame:
+def _between(df: DataFrame, ts: str, since, until, date: str = "TimestampDate") -> DataFrame:
+    """A time range, and the date range around it, which prunes partitions."""
     if since is not None:
-        df = df.filter(F.col(ts) >= F.lit(since))
+        df = df.filter((F.col(ts) >= F.lit(since)) & (F.col(date) >= F.to_date(F.lit(since))))
     if until is not None:
-        df = df.filter(F.col(ts) < F.lit(until))
+        df = df.filter((F.col(ts) < F.lit(until)) & (F.col(date) <= F.to_date(F.lit(until))))
     return df
 
 
@@ -19,15 +20,8 @@ def log_search(logs: DataFrame, *, text: str | None = None, pattern: str | None
                service: str | None = None, severity: str | None = None,
                attributes: dict[str, str] | None = None, since=None, until=None,
                limit: int | None = None) -> DataFrame:
-    """Filter logs by time, producer, severity, body text or pattern, and attributes.
-
-    A time range also becomes a date predicate, which prunes partitions.
-    """
+    """Filter logs by time, producer, severity, body text or pattern, and attributes."""
     rows = _between(logs, "Timestamp", since, until)
-    if since is not None:
-        rows = rows.filter(F.col("TimestampDate") >= F.to_date(F.lit(since)))
-    if until is not None:
-        rows = rows.filter(F.col("TimestampDate") <= F.to_date(F.lit(until)))
     if service is not None:
         rows = rows.filter(F.col("ServiceName") == service)
     if severity is not None:

@@ -8,6 +8,7 @@ from telemill import contract as C
 from telemill.functions import verdicts as V
 from telemill.functions.columns import (
     attr, bucket, has_key, int_div, missing_any, one_value, rate_of, sorted_set)
+from telemill.schemas import BRONZE_DATE
 
 _SHORT = {"otel_logs": "logs", "otel_traces": "traces", "otel_metrics_gauge": "gauge",
           "otel_metrics_sum": "sums"}
@@ -148,7 +149,9 @@ def contract_violations(bronze: dict[str, DataFrame], keys=C.REQUIRED_RESOURCE_K
     """
     def slim(t, df):
         if since is not None:
-            df = df.filter(F.col("TimeUnix" if "metrics" in t else "Timestamp") >= F.lit(since))
+            time = F.col("TimeUnix" if "metrics" in t else "Timestamp")
+            first = F.lit(since).cast("timestamp")
+            df = df.filter((time >= first) & (F.col(BRONZE_DATE[t]) >= F.to_date(first)))
         return df.select(F.col("ServiceName").alias("service"), "ResourceAttributes")
 
     rows = _union(slim(t, df) for t, df in bronze.items())
@@ -294,16 +297,15 @@ def producer_health(verdicts: DataFrame, violations: DataFrame,
     worst = F.element_at(F.array(*[F.lit(s) for s in V.STATE_RANK]), rank + 1)
     reasons = F.filter(F.array(
         F.when(watched & F.col("state").isin(V.WARN, V.FAIL),
-               F.concat(F.lit("volume "), F.col("z").cast("string"), F.lit("σ off median"))),
-        F.when(silent, F.concat(F.lit("silent in "), F.col("absent").cast("string"),
-                                F.lit(" of "), F.col("estate").cast("string"),
-                                F.lit(" buckets"))),
-        F.when(violating, F.concat(F.col("violating").cast("string"), F.lit(" rows missing "),
-                                   F.col("keys_missing").cast("string"),
-                                   F.lit(f" of {required} contract keys")))),
+               F.concat(F.lit("volume_out_of_band z="), F.col("z").cast("string"))),
+        F.when(silent, F.concat(F.lit("silent buckets="), F.col("absent").cast("string"),
+                                F.lit("/"), F.col("estate").cast("string"))),
+        F.when(violating, F.concat(F.lit("keys_missing rows="), F.col("violating").cast("string"),
+                                   F.lit(" keys="), F.col("keys_missing").cast("string"),
+                                   F.lit(f"/{required}")))),
         lambda r: r.isNotNull())
-    fallback = F.when(watched, F.col("why")).otherwise(F.lit("no volume data for this producer"))
+    fallback = F.when(watched, F.col("why")).otherwise(F.lit("no_volume"))
     return both.select(
         "service", worst.alias("state"),
-        F.when(F.size(reasons) > 0, F.array_join(reasons, " · ")).otherwise(fallback)
+        F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise(fallback)
         .alias("why"))

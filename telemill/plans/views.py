@@ -16,7 +16,23 @@ def trace_id_ts(traces: DataFrame) -> DataFrame:
         F.min("Timestamp").alias("Start"), F.max("Timestamp").alias("End"))
 
 
+def trace_id_ts_partials(traces: DataFrame) -> DataFrame:
+    """The same per date, as one batch adds it to the stored look-up."""
+    return traces.filter(F.col("TraceId") != "").groupBy(
+        "TraceId", F.col("TimestampDate").alias("event_date")).agg(
+        F.min("Timestamp").alias("Start"), F.max("Timestamp").alias("End")).select(
+        "TraceId", "Start", "End", "event_date")
+
+
+def merge_trace_id_partials(partials: DataFrame) -> DataFrame:
+    """Pieces folded, still per date: what a compaction stores."""
+    return partials.groupBy("TraceId", "event_date").agg(
+        F.min("Start").alias("Start"), F.max("End").alias("End")).select(
+        "TraceId", "Start", "End", "event_date")
+
+
 def merge_trace_id_ts(partials: DataFrame) -> DataFrame:
+    """The look-up as readers see it: all pieces and dates merged per trace."""
     return partials.groupBy("TraceId").agg(F.min("Start").alias("Start"),
                                            F.max("End").alias("End"))
 
@@ -40,21 +56,6 @@ def service_health_1m(operations: DataFrame, width: str = "minute",
         *ms, (F.col("hi") / 1000000.0).alias("latency_max_ms"))
 
 
-def service_health_approx_1m(operations: DataFrame, width: str = "minute",
-                             accuracy: int = 10000) -> DataFrame:
-    """Opt-in cheaper form: one pass, approximate quantiles, exact counts."""
-    q = F.percentile_approx("duration_ms", [0.5, 0.95, 0.99], accuracy)
-    return (
-        operations.withColumn("window_start", bucket("event_time", width))
-        .groupBy(*HEALTH_KEYS)
-        .agg(F.count("*").alias("operation_count"), F.count_if("is_error").alias("error_count"),
-             q.alias("q"), F.max("duration_ms").alias("latency_max_ms"))
-        .select(*HEALTH_KEYS, "operation_count", "error_count",
-                (F.col("error_count") / F.col("operation_count")).alias("error_rate"),
-                F.col("q")[0].alias("latency_p50_ms"), F.col("q")[1].alias("latency_p95_ms"),
-                F.col("q")[2].alias("latency_p99_ms"), "latency_max_ms"))
-
-
 def log_health_1m(logs: DataFrame, width: str = "minute") -> DataFrame:
     """The empty trace id counts as one value, so the distinct count is over all rows."""
     return (
@@ -165,23 +166,6 @@ def service_health(health: DataFrame, since=None, limit: int | None = 12) -> Dat
     return out if limit is None else out.orderBy(F.desc("ops"), "service_name").limit(limit)
 
 
-def register_views(silver: dict[str, DataFrame], partials: DataFrame | None = None,
-                   width: str = "minute") -> None:
-    """Expose the read views to ``spark.sql`` under their own names."""
-    for name, df in silver.items():
-        df.createOrReplaceTempView(name)
-    stats = (metric_rollup_views(silver, partials, width))
-    for name, df in {
-        "metric_rollup_1m": stats,
-        "service_health_1m": service_health_1m(silver["operation_executions"], width),
-        "log_health_1m": log_health_1m(silver["log_events"], width),
-        "trace_summary": trace_summary(silver["operation_executions"]),
-        "telemetry_coverage_1m": telemetry_coverage_1m(silver, width),
-        "run_summary": run_summary(silver),
-    }.items():
-        df.createOrReplaceTempView(name)
-
-
 def metric_rollup_views(silver: dict[str, DataFrame], partials: DataFrame | None,
                         width: str = "minute") -> DataFrame:
     """Merged view when partials are complete, direct view until then."""

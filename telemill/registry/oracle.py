@@ -442,12 +442,12 @@ edges AS (SELECT date_trunc('{W}', c.event_time) AS window_start, p.src AS src_s
 pairs AS (SELECT src_service AS src, dst_service AS dst, CAST(sum(spans) AS BIGINT) AS spans,
     CAST(sum(errors) AS BIGINT) AS errors FROM edges GROUP BY 1, 2),
 observed AS (SELECT * FROM pairs WHERE src <> dst)"""
-_SERVICE_OF = {c[0]: c[2] for c in C.TOPOLOGY}
-_DECLARED = [(_SERVICE_OF[up], c[2]) for c in C.TOPOLOGY for up in c[3]]
+_SERVICE_OF = {c[0]: c[2] for c in bridge.DECLARED}
+_DECLARED = [(_SERVICE_OF[up], c[2]) for c in bridge.DECLARED for up in c[3]]
 DECLARED = ("declared(src, dst) AS (VALUES " + ", ".join(
     f"('{a}', '{b}')" for a, b in _DECLARED) + ")")
 NODES = ("nodes(component, service, base_latency_ms, error_ratio) AS (VALUES " + ", ".join(
-    f"('{c[0]}', '{c[2]}', {c[5]}::DOUBLE, {c[6]}::DOUBLE)" for c in C.TOPOLOGY) + ")")
+    f"('{c[0]}', '{c[2]}', {c[5]}::DOUBLE, {c[6]}::DOUBLE)" for c in bridge.DECLARED) + ")")
 
 
 def graph(select: str) -> str:
@@ -627,9 +627,9 @@ verdict AS (SELECT service, median, mad, round(sd, 6) AS sd, seen, latest, lates
       END AS oob,
     CASE WHEN s IS NULL THEN 'unmonitored' WHEN abs(latest - median) / s >= {C.Z_ERROR} THEN 'fail'
       WHEN abs(latest - median) / s >= {C.Z_WARN} THEN 'warn' ELSE 'passing' END AS state,
-    CASE WHEN estate < {C.MIN_BUCKETS} THEN 'only ' || estate || ' buckets in the window'
-      WHEN s IS NOT NULL THEN format('{{:.1f}}', abs(latest - median) / s)
-        || 'σ from a median of ' || format('{{:.0f}}', median)
+    CASE WHEN estate < {C.MIN_BUCKETS} THEN 'too_few_buckets n=' || estate
+      WHEN s IS NOT NULL THEN 'distance z=' || format('{{:.1f}}', abs(latest - median) / s)
+        || ' median=' || format('{{:.0f}}', median)
       WHEN mad <= 0 AND sd <= 0 THEN '{V.NO_DISPERSION}' ELSE '{V.NO_BAND}' END AS why
   FROM scaled)"""
 O["volume_state"] = more(VERDICT, "SELECT * FROM verdict")
@@ -656,12 +656,12 @@ O["producer_health"] = more(f"{VERDICT},{VIOLATIONS}", f"""
 SELECT service,
   CASE WHEN vstate = 'fail' THEN 'fail' WHEN vstate = 'warn' OR silent OR bad THEN 'warn'
     ELSE coalesce(vstate, 'unknown') END AS state,
-  CASE WHEN vstate IN ('warn', 'fail') OR silent OR bad THEN concat_ws(' · ',
-    CASE WHEN vstate IN ('warn', 'fail') THEN 'volume ' || z || 'σ off median' END,
-    CASE WHEN silent THEN 'silent in ' || absent || ' of ' || estate || ' buckets' END,
-    CASE WHEN bad THEN violating || ' rows missing ' || len(string_split(missing_keys, ','))
-      || ' of 5 contract keys' END)
-  ELSE coalesce(vwhy, 'no volume data for this producer') END AS why
+  CASE WHEN vstate IN ('warn', 'fail') OR silent OR bad THEN concat_ws('; ',
+    CASE WHEN vstate IN ('warn', 'fail') THEN 'volume_out_of_band z=' || z END,
+    CASE WHEN silent THEN 'silent buckets=' || absent || '/' || estate END,
+    CASE WHEN bad THEN 'keys_missing rows=' || violating || ' keys='
+      || len(string_split(missing_keys, ',')) || '/5' END)
+  ELSE coalesce(vwhy, 'no_volume') END AS why
 FROM joined""")
 O["base_coverage"] = silver("""
 SELECT 'operation_executions' AS tbl, min(event_time) AS oldest FROM ops
@@ -678,9 +678,12 @@ UNION ALL SELECT 'volume_1m', (SELECT CAST(count(*) AS VARCHAR) FROM (SELECT DIS
 UNION ALL SELECT m, NULL, false FROM (VALUES ('metric_stats_1m'), ('resource_key_presence_1m'),
   ('call_edges_1m')) v(m)""")
 O["content_checksum"] = silver("""
-SELECT 'operation_executions' AS tbl, count(*) AS rows, true AS stable FROM ops
-UNION ALL SELECT 'log_events', count(*), true FROM logs
-UNION ALL SELECT 'metric_observations', count(*), true FROM mets""")
+SELECT tbl, count(*) AS rows, true AS stable, CAST(sum(CAST('0x' || substr(md5(concat_ws('|',
+    event_time_ns, service_name, scenario, component_name)), 1, 8) AS BIGINT)) AS BIGINT) AS text_hash
+FROM (SELECT 'operation_executions' AS tbl, event_time_ns, service_name, scenario, component_name
+      FROM ops UNION ALL SELECT 'log_events', event_time_ns, service_name, scenario, component_name
+      FROM logs UNION ALL SELECT 'metric_observations', event_time_ns, service_name, scenario,
+        component_name FROM mets) GROUP BY tbl""")
 O["coverage_gate"] = """
 WITH c AS (SELECT min(ts) AS oldest, max(ts) AS as_of FROM events),
 cases(name, minutes, longest) AS (VALUES ('volume 60 min', 60, NULL),
@@ -904,15 +907,15 @@ SELECT instance, scrape_ts,
   CASE WHEN drop_rate > 0 OR errors_since > 0 THEN 'fail'
     WHEN backpressure_rate > 0 OR contract_rate > 0 OR p99 > {C.LATENCY_CEILING_MS} THEN 'warn'
     WHEN ingest_rate <= 0 THEN 'idle' ELSE 'ok' END AS state,
-  CASE WHEN drop_rate > 0 OR errors_since > 0 THEN format('{{:.2g}}', drop_rate::DOUBLE)
-      || '/s dropped · ' || format('{{:.0f}}', export_errors) || ' batches lost'
-    WHEN backpressure_rate > 0 THEN format('{{:.2g}}', backpressure_rate::DOUBLE)
-      || '/s refused — buffer saturated, producer told to retry'
-    WHEN contract_rate > 0 THEN format('{{:.2g}}', contract_rate::DOUBLE)
-      || '/s failing the contract · exported anyway'
-    WHEN p99 > {C.LATENCY_CEILING_MS} THEN 'export p99 ' || format('{{:.0f}}', p99)
-      || ' ms over {C.LATENCY_CEILING_MS:.0f} ms'
-    WHEN ingest_rate <= 0 THEN 'no traffic' ELSE 'flowing, nothing rejected or lost' END AS note
+  CASE WHEN drop_rate > 0 OR errors_since > 0 THEN 'lost per_s=' ||
+      format('{{:.2g}}', drop_rate::DOUBLE) || ' batches=' || format('{{:.0f}}', export_errors)
+    WHEN backpressure_rate > 0 THEN 'pushed_back per_s=' ||
+      format('{{:.2g}}', backpressure_rate::DOUBLE)
+    WHEN contract_rate > 0 THEN 'off_contract per_s=' ||
+      format('{{:.2g}}', contract_rate::DOUBLE) || ' action=exported'
+    WHEN p99 > {C.LATENCY_CEILING_MS} THEN 'slow_export p99_ms=' || format('{{:.0f}}', p99)
+      || ' limit_ms={C.LATENCY_CEILING_MS:.0f}'
+    WHEN ingest_rate <= 0 THEN 'nothing_arrived' ELSE 'healthy' END AS note
 FROM metrics""")
 O["strict_counterfactual"] = ticks("""
 SELECT instance, scrape_ts, 'warn' AS policy, ingest_rate, contract_rate,

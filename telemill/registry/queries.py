@@ -411,23 +411,23 @@ def rollup_ready_gate(spark, sf):
 
 @query
 def undeclared_edges(spark, sf):
-    return G.undeclared_edges(_observed(spark, sf), topology.read_topology(spark)[1])
+    return G.undeclared_edges(_observed(spark, sf), topology.read_topology(spark, bridge.declared(spark))[1])
 
 
 @query
 def undeclared_producers(spark, sf):
-    return G.undeclared_producers(bridge.bronze(spark, sf), topology.read_topology(spark)[0])
+    return G.undeclared_producers(bridge.bronze(spark, sf), topology.read_topology(spark, bridge.declared(spark))[0])
 
 
 @query
 def declared_vs_observed_edges(spark, sf):
-    out = G.declared_vs_observed_edges(_observed(spark, sf), topology.read_topology(spark)[1])
+    out = G.declared_vs_observed_edges(_observed(spark, sf), topology.read_topology(spark, bridge.declared(spark))[1])
     return _round(out, "error_rate")
 
 
 @query
 def edge_health(spark, sf):
-    out = G.edge_health(_observed(spark, sf), topology.read_topology(spark)[1])
+    out = G.edge_health(_observed(spark, sf), topology.read_topology(spark, bridge.declared(spark))[1])
     return _round(out, "share_of_peak", "error_rate")
 
 
@@ -435,7 +435,7 @@ def edge_health(spark, sf):
 def declared_vs_measured(spark, sf):
     health = VW.service_health(VW.service_health_1m(
         bridge.silver(spark, sf)["operation_executions"], WIDTH), limit=None)
-    out = G.declared_vs_measured(topology.read_topology(spark)[0], health)
+    out = G.declared_vs_measured(topology.read_topology(spark, bridge.declared(spark))[0], health)
     return _round(out, "p50_over_declared", "error_over_declared")
 
 
@@ -666,13 +666,16 @@ def model_counts(spark, sf):
 
 @query
 def content_checksum(spark, sf):
-    """Row count per table, and whether the hash is blind to row order and file layout."""
+    """Row count and text hash per table, and whether the row hash is blind to the layout."""
     parts = []
     for table, df in bridge.silver(spark, sf).items():
         here = checksum.content_checksum(df)
-        moved = checksum.content_checksum(df.repartition("service_name"))
+        moved = checksum.content_checksum(df.repartition(13))
+        text = one_value(df, checksum.text_checksum("event_time_ns", "service_name", "scenario",
+                                                    "component_name"))
         parts.append(here.select(F.lit(table).alias("tbl"), "rows", (
-            F.col("content_hash") == one_value(moved, F.max("content_hash"))).alias("stable")))
+            F.col("content_hash") == one_value(moved, F.max("content_hash"))).alias("stable"),
+            text.alias("text_hash")))
     return _union(parts)
 
 
@@ -888,7 +891,7 @@ def check_key_presence(spark, sf):
 def check_call_edges(spark, sf):
     return Q.check_call_edges(spark, _edges(spark, sf),
                               bridge.silver(spark, sf)["operation_executions"],
-                              topology.read_topology(spark)[1])
+                              topology.read_topology(spark, bridge.declared(spark))[1])
 
 
 @query

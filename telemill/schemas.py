@@ -72,6 +72,8 @@ ROLLUP_DDL = {
         "window_start timestamp, service_name string, signal string, rows bigint,"
         "key_counts map<string,bigint>, event_date date"),
 }
+LOOKUP_DDL = {
+    "trace_id_ts": "TraceId string, Start timestamp, End timestamp, event_date date"}
 EDGE_DDL = ("window_start timestamp, src_service string, dst_service string, spans bigint,"
             "errors bigint, event_date date")
 LEDGER_DDL = (

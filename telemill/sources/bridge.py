@@ -14,10 +14,22 @@ from telemill import contract as C
 from telemill.functions.columns import computed_once, int_div
 from telemill.operators import mapping, silver as SV
 from telemill.session import configure
+from telemill.sources import topology
 
 # Fixed values of the derivation.
 FOREIGN_SERVICE = "third-party-agent"
-SERVICES = (*(c[2] for c in C.TOPOLOGY), FOREIGN_SERVICE)
+# What the example producers declare: component, kind, service, upstream components, base
+# rate, base latency in ms, error ratio.
+DECLARED = (
+    ("edge.web", "gateway", "web-intake", (), 40.0, 20.0, 0.004),
+    ("edge.partner", "gateway", "partner-intake", (), 8.0, 60.0, 0.012),
+    ("bus.events", "queue", "event-bus", ("edge.web", "edge.partner"), 48.0, 5.0, 0.001),
+    ("work.clean", "compute", "record-cleaner", ("bus.events",), 45.0, 130.0, 0.015),
+    ("work.places", "compute", "place-finder", ("work.clean",), 30.0, 320.0, 0.03),
+    ("keep.lake", "storage", "lake-writer", ("work.clean", "work.places"), 18.0, 90.0, 0.006),
+    ("show.reports", "serving", "report-server", ("keep.lake",), 6.0, 700.0, 0.02),
+)
+SERVICES = (*(c[2] for c in DECLARED), FOREIGN_SERVICE)
 SCENARIOS = ("baseline", "latency_spike", "error_burst")
 COMPONENT_TYPES = ("compute", "storage", "messaging")
 LATENCY_BUCKETS = (("0.005", 1), ("0.01", 4), ("0.02", 9), ("0.04", 15), ("0.08", 18),
@@ -30,6 +42,13 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts", F.col("ts").cast("timestamp"))
 
 
+def declared(spark: SparkSession) -> DataFrame:
+    """The declaration of the example producers, as a table."""
+    return spark.createDataFrame(
+        [(n, k, s, list(up), rate, ms, err) for n, k, s, up, rate, ms, err in DECLARED],
+        topology.DDL)
+
+
 def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 

@@ -62,8 +62,9 @@ def parse_signals(lines: DataFrame, column: str = "value") -> DataFrame:
     be read (``malformed``, ``signal_type``, ``field:<name>``, ``status_code``, ``type``).
     Blank lines are skipped, bad lines stay as rows so that they can be counted and kept.
     """
-    text = F.when(F.trim(F.col(column)).endswith("}"), F.col(column))
-    raw = computed_once(lines.filter(F.trim(F.col(column)) != ""), _json=F.try_parse_json(text))
+    # White space of any kind may follow a record, and a line of nothing else is blank.
+    text = F.when(F.regexp_replace(column, r"\s+$", "").endswith("}"), F.col(column))
+    raw = computed_once(lines.filter(F.col(column).rlike(r"\S")), _json=F.try_parse_json(text))
     raw = raw.withColumnRenamed(column, "line")
     # Scalars come from the typed reader; types and maps from the parsed record.
     typed = raw.select("*", F.inline(F.array(F.from_json("line", _SCALARS))))

@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from telemill.functions.columns import computed_once
 
-# The text exposition format.
-LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+([^\s]+).*$"
-LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
+# The published grammar of the text exposition format: a metric name, labels in braces whose
+# values are quoted with backslash escapes (so a brace inside a value is text), a value and
+# perhaps a time stamp.
+QUOTED = r'"(?:[^"\\]++|\\.)*+"'
+LABEL = rf"[A-Za-z_]\w*+\s*+=\s*+{QUOTED}"
+LINE = (r"^([A-Za-z_:][\w:]*+)(?:\s*+\{((?:" + rf'[^"}}]++|{QUOTED}' + r")*+)\}\s*+|\s++)"
+        r"(\S++)(?:\s.*+)?$")
 _CUT = "\x01"
 NUMBER = r"(?i)^[+-]?(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)$"
 
@@ -31,10 +35,28 @@ def label_key(labels) -> Column:
                     lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
 
 
-def _pair(text: Column) -> Column:
-    key = F.substring_index(text, '="', 1)
-    quoted = F.substr(text, F.length(key) + 3, F.length(text) - F.length(key) - 3)
-    return F.struct(key.alias("key"), quoted.alias("value"))
+def _canonical(text: Column) -> Column:
+    """The label pairs of a line in name order, values as they are written there."""
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(LABEL), 0), lambda p: F.struct(
+        F.trim(F.substring_index(p, "=", 1)).alias("name"),
+        F.ltrim(F.substr(p, F.instr(p, "=") + 1)).alias("quoted")))
+    return F.array_join(F.transform(F.sort_array(pairs), lambda p: F.concat(
+        p["name"], F.lit("="), p["quoted"])), ",")
+
+
+def _value(quoted: Column) -> Column:
+    """A quoted label value without its quotes and escapes."""
+    inner = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    for escape, plain in (("\\\\", _CUT), ('\\"', '"'), ("\\n", "\n"), (_CUT, "\\")):
+        inner = F.replace(inner, F.lit(escape), F.lit(plain))
+    return inner
+
+
+def _labels(canonical: Column) -> Column:
+    return F.map_from_entries(F.transform(
+        F.regexp_extract_all(canonical, F.lit(LABEL), 0), lambda p: F.struct(
+            F.substring_index(p, "=", 1).alias("key"),
+            _value(F.substr(p, F.instr(p, "=") + 1)).alias("value"))))
 
 
 def read_scrapes(lines: DataFrame) -> DataFrame:
@@ -51,15 +73,13 @@ def read_scrapes(lines: DataFrame) -> DataFrame:
     rows = computed_once(rows, _part=F.split(F.regexp_replace(
         "line", LINE, f"$1{_CUT}$2{_CUT}$3"), _CUT))
     samples = computed_once(
-        rows, name=F.col("_part")[0],
-        labels=F.map_from_entries(F.transform(
-            F.regexp_extract_all(F.col("_part")[1], F.lit(LABEL), 0), _pair)),
+        rows, name=F.col("_part")[0], label_key=_canonical(F.col("_part")[1]),
         value=to_number(F.col("_part")[2])).filter(F.col("value").isNotNull()).drop(
         "line", "_part")
-    samples = samples.withColumn("label_key", label_key("labels"))
-    if "line_no" not in lines.columns:
-        return samples
-    return samples.groupBy("instance", "scrape_ts", "name", "label_key").agg(
-        F.max_by(F.struct("labels", "value"), "line_no").alias("s")
-    ).select("instance", "scrape_ts", "name", F.col("s.labels").alias("labels"), "label_key",
-             F.col("s.value").alias("value"))
+    if "line_no" in lines.columns:
+        # Only flat values are aggregated; the label map follows from the key.
+        samples = samples.groupBy("instance", "scrape_ts", "name", "label_key").agg(
+            F.max_by("value", "line_no").alias("value"))
+    keys = [c for c in ("instance", "scrape_ts") if c in samples.columns]
+    return samples.select(*keys, "name", _labels(F.col("label_key")).alias("labels"),
+                          "label_key", "value")

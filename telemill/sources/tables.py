@@ -30,10 +30,12 @@ LAYOUT = {
     "volume_1m": ("window_start", "service_name", "signal"),
     "resource_key_presence_1m": ("window_start", "service_name", "signal"),
     "call_edges_1m": ("window_start", "src_service", "dst_service"),
+    "trace_id_ts": ("TraceId",),
 }
 # Point look-ups by id profit from a bloom filter in the footers.
 _BLOOM = {"otel_logs": "TraceId", "otel_traces": "TraceId",
-          "operation_executions": "trace_id", "log_events": "trace_id"}
+          "operation_executions": "trace_id", "log_events": "trace_id",
+          "trace_id_ts": "TraceId"}
 
 
 def date_column(table: str) -> str:
@@ -41,7 +43,7 @@ def date_column(table: str) -> str:
 
 
 def table_ddl(table: str) -> str:
-    for source in (S.BRONZE_DDL, S.SILVER_DDL, S.ROLLUP_DDL):
+    for source in (S.BRONZE_DDL, S.SILVER_DDL, S.ROLLUP_DDL, S.LOOKUP_DDL):
         if table in source:
             return source[table]
     return S.EDGE_DDL

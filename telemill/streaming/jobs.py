@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill import contract as C
 from telemill.operators import edges, mapping, silver as SV, validation
-from telemill.plans import rollups
+from telemill.plans import rollups, views
 from telemill.sources import ndjson, tables as TB
 
 QUARANTINE = "quarantine"
@@ -30,14 +30,17 @@ def write_batch(signals: DataFrame, root: str, piece: str, policy: str = "warn",
     checked = TB.stage(validation.validate(signals, required), root, f"batch-{piece}")
     bronze = mapping.to_bronze(validation.apply_policy(checked, policy))
     base = SV.to_silver(bronze)
-    for models in (bronze, base, rollups.all_rollups(base)):
+    lookup = {"trace_id_ts": views.trace_id_ts_partials(bronze["otel_traces"])}
+    for models in (bronze, base, rollups.all_rollups(base), lookup):
         for table, rows in models.items():
             TB.write_piece(rows, root, table, piece)
     parse_error = F.col("parse_error") if "parse_error" in checked.columns else F.lit(None)
+    # Under ``off`` nothing is checked; only lines that cannot be read are kept aside.
     text = F.col("line") if "line" in checked.columns else F.to_json(F.struct("*"))
     (checked.select(text.alias("line"), F.coalesce(parse_error, "error_code").alias("reason"),
-                    F.lit(piece).alias(TB.PIECE))
-     .filter(F.col("reason").isNotNull())
+                    parse_error.alias("_unread"), F.lit(piece).alias(TB.PIECE))
+     .filter(F.col("reason").isNotNull() & (F.lit(policy != "off") | F.col("_unread").isNotNull()))
+     .drop("_unread")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(TB.PIECE).parquet(f"{root}/{QUARANTINE}"))
     TB.unstage(spark, root, f"batch-{piece}")
@@ -68,11 +71,13 @@ def stream_silver_base(signals: DataFrame) -> dict[str, DataFrame]:
 
 def merge_on_read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Rollup tables as readers see them: all pieces merged per key."""
-    return {t: merge(TB.read_table(spark, root, t)) for t, merge in rollups.MERGERS.items()}
+    out = {t: merge(TB.read_table(spark, root, t)) for t, merge in rollups.MERGERS.items()}
+    out["trace_id_ts"] = views.merge_trace_id_ts(TB.read_table(spark, root, "trace_id_ts"))
+    return out
 
 
 def compact_rollups(spark: SparkSession, root: str, dates: list[str], compaction_id: str):
-    for table, merge in rollups.MERGERS.items():
+    for table, merge in {**rollups.MERGERS, "trace_id_ts": views.merge_trace_id_partials}.items():
         TB.compact(spark, root, table, compaction_id, dates, merge)
 
 

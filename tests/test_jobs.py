@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from telemill import contract as C
 from telemill.functions.checksum import content_checksum
 from telemill.operators import backfill as BF, edges as E, silver as SV
-from telemill.plans import rollups as R
+from telemill.plans import rollups as R, views as VW
 from telemill.sources import bridge, tables as TB
 from telemill.streaming import jobs
 
@@ -55,6 +55,9 @@ def test_stream_equals_batch_and_replay_does_not_double(spark, folder):
     assert mapping.to_bronze(accepted)["otel_logs"].count() == TB.read_table(
         spark, f"{folder}/out", "otel_logs").count()
 
+    traces = TB.read_table(spark, f"{folder}/out", "otel_traces")
+    assert same(merged["trace_id_ts"], VW.trace_id_ts(traces))
+
     # The same batch written again under its own id changes nothing.
     before = TB.read_table(spark, f"{folder}/out", "volume_1m").count()
     batch = ndjson.parse_signals(spark.read.text(f"{folder}/in/1.txt"))

@@ -53,27 +53,33 @@ def test_repeated_parents_do_not_multiply_children(spark):
 
 def test_edge_boards(spark):
     observed = spark.createDataFrame(
-        [("cloud-composer-etl", "dataproc-spark-batch", 100, 1),
-         ("pubsub-ingestion-topic", "dataproc-spark-batch", 200, 10), ("x", "y", 5, 0)],
-        "src string, dst string, spans bigint, errors bigint")
-    nodes, edges = topology.read_topology(spark)
-    assert nodes.count() == 7 and edges.count() == 8
+        [("web-intake", "event-bus", 100, 1), ("partner-intake", "event-bus", 200, 10),
+         ("x", "y", 5, 0)], "src string, dst string, spans bigint, errors bigint")
+    nodes, edges = topology.read_topology(spark, bridge.declared(spark))
+    assert nodes.count() == 7 and edges.count() == 7
     health = {(r.src, r.dst): r for r in G.edge_health(observed, edges).collect()}
-    assert len(health) == 8
-    a = health[("cloud-composer-etl", "dataproc-spark-batch")]
+    assert len(health) == 7
+    a = health[("web-intake", "event-bus")]
     assert (a["class"], a.share_of_peak) == ("warn", 0.5)
-    assert health[("pubsub-ingestion-topic", "dataproc-spark-batch")]["class"] == "fail"
-    assert health[("dataproc-spark-batch", "gcs-raw-bucket")]["class"] == "declared-only"
+    assert health[("partner-intake", "event-bus")]["class"] == "fail"
+    assert health[("lake-writer", "report-server")]["class"] == "declared-only"
     assert [tuple(r)[:2] for r in G.undeclared_edges(observed, edges).collect()] == [("x", "y")]
     status = G.declared_vs_observed_edges(observed, edges).groupBy("status").count().collect()
-    assert {r.status: r["count"] for r in status} == {"both": 2, "declared-only": 6,
+    assert {r.status: r["count"] for r in status} == {"both": 2, "declared-only": 5,
                                                       "observed-only": 1}
 
 
-def test_unknown_dependency_is_dropped(spark):
-    _, edges = topology.read_topology(spark, [("a", "k", "sa", ("ghost",), 1.0, 1.0, 0.0),
-                                              ("b", "k", "sb", ("a",), 1.0, 1.0, 0.0)])
-    assert [(r.src_service, r.dst_service) for r in edges.collect()] == [("sa", "sb")]
+def test_topology_from_files(spark, folder):
+    rows = [("a", "k", "sa", ["ghost"], 1.0, 1.0, 0.0), ("b", "k", "sb", ["a"], 1.0, 1.0, 0.0),
+            ("c", "k", "sc", None, 1.0, 1.0, 0.0)]
+    declared = spark.createDataFrame(rows, topology.DDL)
+    declared.write.json(f"{folder}/declared")
+    declared.write.parquet(f"{folder}/declared.parquet")
+    for path in (f"{folder}/declared", f"{folder}/declared.parquet"):
+        nodes, edges = topology.read_topology(spark, path)
+        assert [(r.src_service, r.dst_service) for r in edges.collect()] == [("sa", "sb")]
+        assert {r.component: r.is_root for r in nodes.collect()} == {
+            "a": False, "b": False, "c": True}
 
 
 def test_direct_and_merged_rollups_agree(spark):
@@ -134,9 +140,9 @@ def test_checks_hold_and_fail_fast(spark):
     silver = bridge.silver(spark, SF)
     volume = R.volume_1m(silver)
     Q.assert_all(Q.check_volume(spark, volume, silver))
-    lossy = volume.filter(F.col("service_name") != "gcs-raw-bucket")
+    lossy = volume.filter(F.col("service_name") != "lake-writer")
     gone = Q.reconcile_counts(lossy, silver).collect()
-    assert {(r.service_name, r.rolled) for r in gone} == {("gcs-raw-bucket", 0)}
+    assert {(r.service_name, r.rolled) for r in gone} == {("lake-writer", 0)}
     try:
         Q.assert_all(Q.check_volume(spark, lossy, silver))
     except AssertionError as exc:

@@ -39,7 +39,7 @@ def test_flat_series(spark):
 
 def test_short_window_and_absence(spark):
     short = verdict(spark, seen=3, estate=3, latest=99999)
-    assert short.state == "unmonitored" and short.why == "only 3 buckets in the window"
+    assert short.state == "unmonitored" and short.why == "too_few_buckets n=3"
     gone = verdict(spark, seen=18, estate=30)
     assert (gone.state, gone.absent) == ("passing", 12)
 
@@ -71,8 +71,8 @@ def test_producer_health_takes_the_worst(spark):
     c = spark.createDataFrame([("other", 5, "a,b")],
                               "service string, violating bigint, missing_keys string")
     out = {r.service: r for r in B.producer_health(v, c).collect()}
-    assert (out["svc"].state, out["svc"].why) == ("warn", "silent in 12 of 30 buckets")
-    assert (out["other"].state, out["other"].why) == ("warn", "5 rows missing 2 of 5 contract keys")
+    assert (out["svc"].state, out["svc"].why) == ("warn", "silent buckets=12/30")
+    assert (out["other"].state, out["other"].why) == ("warn", "keys_missing rows=5 keys=2/5")
 
 
 @pytest.mark.parametrize("x", [0.0, 0.5, 1.25, 1.15, 1.35, 1.45, 9.96, 3.0, 12.5, 10.5, 99.4, 100.0,
@@ -94,16 +94,16 @@ def state(spark, policy="warn", **over):
 
 
 def test_delivery_rules_in_order(spark):
-    assert state(spark) == ("ok", "flowing, nothing rejected or lost")
-    assert state(spark, collector_up=False, drop_rate=1.0) == ("fail", "collector unreachable")
+    assert state(spark) == ("ok", "healthy")
+    assert state(spark, collector_up=False, drop_rate=1.0) == ("fail", "collector_down")
     assert state(spark, store_up=False)[0] == "fail"
     assert state(spark, drop_rate=0.5, export_errors=3.0) == (
-        "fail", "0.5/s dropped · 3 batches lost")
-    assert "saturated" in state(spark, backpressure_rate=1.0, contract_rate=9.0)[1]
-    assert state(spark, contract_rate=3.0) == ("warn", "3/s failing the contract · exported anyway")
+        "fail", "lost per_s=0.5 batches=3")
+    assert "pushed_back" in state(spark, backpressure_rate=1.0, contract_rate=9.0)[1]
+    assert state(spark, contract_rate=3.0) == ("warn", "off_contract per_s=3 action=exported")
     assert state(spark, "strict", contract_rate=3.0)[1].endswith("discarded")
-    assert state(spark, latency_p99=120.0) == ("warn", "export p99 120 ms over 80 ms")
-    assert state(spark, ingest_rate=0.0) == ("idle", "no traffic")
+    assert state(spark, latency_p99=120.0) == ("warn", "slow_export p99_ms=120 limit_ms=80")
+    assert state(spark, ingest_rate=0.0) == ("idle", "nothing_arrived")
 
 
 def test_delivery_mode_thresholds(spark):
