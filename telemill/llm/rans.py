@@ -62,37 +62,37 @@ def encode(ids: np.ndarray, table: Table) -> list[bytes]:
     if not n:
         return []
     blocks = -(-n // BLOCK)
-    steps = -(-min(n, BLOCK) // LANES)
-    padded = np.zeros((blocks, steps * LANES if blocks == 1 else BLOCK), np.int64)
-    steps = padded.shape[1] // LANES
-    sizes = np.full(blocks, BLOCK if blocks > 1 else n, np.int64)
+    steps = -(-n // LANES) if blocks == 1 else BLOCK // LANES
+    sizes = np.full(blocks, BLOCK, np.int64)
     sizes[-1] = n - (blocks - 1) * BLOCK
-    for b in range(blocks):
-        padded[b, :sizes[b]] = ids[b * BLOCK:b * BLOCK + sizes[b]]
-    padded = padded.reshape(blocks, steps, LANES)
-    lane = np.arange(LANES)
-    state = np.full((blocks, LANES), _LOW, np.uint64)
+    # Places after the end take all slots from 0: coding them changes nothing.
+    room = blocks * steps * LANES
+    freqs, starts = np.full(room, 1 << SCALE, np.uint64), np.zeros(room, np.uint64)
+    freqs[:n], starts[:n] = table.freqs[ids], table.starts[ids]
+    by_step = lambda x: np.ascontiguousarray(x.reshape(blocks, steps, LANES).transpose(1, 0, 2)).reshape(steps, -1)
+    freqs, starts = by_step(freqs), by_step(starts)
+    limits = freqs << np.uint64(63 - SCALE)
+    state = np.full(blocks * LANES, _LOW, np.uint64)
     out, where = [], []
-    emitted = np.zeros(blocks, np.int64)
+    emitted, counted = np.zeros(blocks, np.int64), 0
     marks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     scale = np.uint64(SCALE)
     for t in range(steps - 1, -1, -1):
-        live = t * LANES + lane < sizes[:, None]
-        symbol = padded[:, t]
-        freq = np.where(live, table.freqs[symbol], np.uint64(1 << SCALE))
-        start = np.where(live, table.starts[symbol], np.uint64(0))
-        full = live & (state >= freq << np.uint64(63 - SCALE))
-        b, k = np.nonzero(full)
-        out.append(state[b, k].astype(np.uint32))
-        where.append(b)
-        emitted += full.sum(1)
-        state = np.where(full, state >> _U32, state)
+        freq = freqs[t]
+        full = np.nonzero(state >= limits[t])[0]
+        top = state[full]
+        out.append(top.astype(np.uint32))
+        where.append(full)
+        state[full] = top >> _U32
         quotient = state // freq
-        state = np.where(live, (quotient << scale) + (state - quotient * freq) + start, state)
+        state = (quotient << scale) + (state - quotient * freq) + starts[t]
         if t % INTERVAL == 0:
-            marks[t] = (state.copy(), emitted.copy())
-    words, of = np.concatenate(out[::-1]), np.concatenate(where[::-1])
-    order = np.argsort(of, kind="stable")
+            new = np.concatenate(where[counted:]) // LANES
+            counted = len(where)
+            emitted = emitted + np.bincount(new, minlength=blocks)
+            marks[t] = (state.reshape(blocks, LANES).copy(), emitted)
+    words, of = np.concatenate(out[::-1]), np.concatenate(where[::-1]) // LANES
+    order = np.argsort(of.astype(np.uint16 if blocks <= 1 << 16 else np.int64), kind="stable")
     words, cuts = words[order], np.concatenate([[0], np.cumsum(emitted)])
     frames = []
     for b in range(blocks):
@@ -133,17 +133,25 @@ def decode(frames: list[bytes], table: Table) -> np.ndarray:
     steps = -(-int(count.max()) // LANES)
     out = np.zeros((len(count), steps, LANES), np.uint32)
     scale, mask = np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
+    always = int(count.min()) // LANES  # steps in which every lane of every section is live
     for t in range(steps):
-        live = t * LANES + lane < count[:, None]
         slot = state & mask
         symbol = table.symbols[slot.astype(np.int64)]
         out[:, t] = symbol
-        state = np.where(live, table.freqs[symbol] * (state >> scale) + slot - table.starts[symbol], state)
-        empty = live & (state < _LOW)
-        nth = np.cumsum(empty, axis=1)
-        got = stream[np.minimum(place[:, None] + nth - 1, len(stream) - 1)]
-        state = np.where(empty, (state << _U32) | got, state)
-        place = place + nth[:, -1]
+        new = table.freqs[symbol] * (state >> scale) + slot - table.starts[symbol]
+        if t < always:
+            state = new
+            empty = state < _LOW
+        else:
+            live = t * LANES + lane < count[:, None]
+            state = np.where(live, new, state)
+            empty = live & (state < _LOW)
+        section, k = np.nonzero(empty)
+        sizes = np.bincount(section, minlength=len(count))
+        ends = np.cumsum(sizes)
+        got = stream[place[section] + np.arange(len(section)) - (ends - sizes)[section]]
+        state[section, k] = (state[section, k] << _U32) | got
+        place = place + sizes
     flat = out.reshape(len(count), -1)
     ids = np.concatenate([row[:n] for row, n in zip(flat, count)])
     at = 0

@@ -25,7 +25,7 @@ from telemill.llm.shared import partitions, stage, whole
 from telemill.llm.tokens import encoder, vocabulary_path
 
 END_ID = 1
-SEGMENT = 1 << 19
+SEGMENT = 1 << 20
 
 _STAGED = "part int, nth int, ahead long, doc_ids array<long>, counts array<long>, ids binary"
 _STORED = "start long, n_tokens long, doc_ids array<long>, counts array<long>, blocks array<binary>"
