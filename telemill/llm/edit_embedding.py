@@ -173,9 +173,12 @@ def _in_buckets(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = 4 * partitions(spark)
     bounds = sorted(set(docs.approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    splits = [-float("inf"), *bounds, float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(docs).drop("at").withColumn(
-        "range", F.col("range").cast("int"))
+    if bounds:
+        splits = [-float("inf"), *bounds, float("inf")]
+        docs = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(docs)
+    else:
+        docs = docs.withColumn("range", F.lit(0))
+    dealt = docs.drop("at").withColumn("range", F.col("range").cast("int"))
     heads = [(r["range"], r["head"]) for r in dealt.groupBy("range").agg(F.min("doc_id").alias("head")).orderBy(
         "range").collect()]
     if not heads:

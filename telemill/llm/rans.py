@@ -152,6 +152,9 @@ def decode(frames: list[bytes], table: Table) -> np.ndarray:
         got = stream[place[section] + np.arange(len(section)) - (ends - sizes)[section]]
         state[section, k] = (state[section, k] << _U32) | got
         place = place + sizes
+    last = np.cumsum([len(s) for s in states]) - 1
+    if (state[last] != _LOW).any():
+        raise ValueError("a block does not end where it began")
     flat = out.reshape(len(count), -1)
     ids = np.concatenate([row[:n] for row, n in zip(flat, count)])
     at = 0
