@@ -6,7 +6,6 @@ import re
 
 import duckdb
 import numpy as np
-import regex
 from xxhash import xxh64_intdigest
 
 from telemill.llm import decontaminate as DC, lines as LN, repeats as RP, simhash as SH
@@ -119,7 +118,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 def norm(line):
-    return regex.sub(r"[^\p{L}\p{N}]+", " ", line).lower().strip(" ")
+    return re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", line.lower()).strip(" ")
 
 
 def edit_distance(a, b):
