@@ -18,6 +18,7 @@ Equal texts are one text with the smallest ``doc_id``; of a later copy all bytes
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ LENGTH = 50
 GRAM = 16
 CROWD = 1000
 #: Bytes of snippets merged together, and in one shard.
-GROUP, SHARD = 1 << 20, 1 << 18
+GROUP, SHARD = 1 << 18, 1 << 16
 
 _FIRST = -(1 << 63)
 
@@ -60,11 +61,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``(text, anchor, first start, number of starts)`` of every run of strings with one anchor."""
+    """``(text, anchor, first start, number of starts, anchor's place)`` of every run of strings with one anchor."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     hashes = _gram_hashes(data, gram)
     low = np.uint64(0xFFFFF)
     placed = (hashes & ~low) | (np.arange(len(hashes), dtype=np.uint64) & low)
@@ -74,23 +75,24 @@ def anchor_runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     ok = np.arange(len(least)) + length <= ends[text]
     at = np.nonzero(ok)[0]
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     value, own = least[at], text[at]
     cut = np.nonzero(np.r_[True, (value[1:] != value[:-1]) | (own[1:] != own[:-1])])[0]
     count = np.diff(np.r_[cut, len(at)])
-    return own[cut], (value[cut] >> np.uint64(20)).astype(np.int64), at[cut] - (ends - sizes)[own[cut]], count
+    # The place's low bits stand in the value; it lies less than a string's length after the start.
+    place = ((value[cut] & low).astype(np.int64) - at[cut]) % (1 << 20)
+    return own[cut], (value[cut] >> np.uint64(20)).astype(np.int64), at[cut] - (ends - sizes)[own[cut]], count, place
 
 
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, anchor, start, count = anchor_runs(
+            text, anchor, start, count, place = anchor_runs(
                 [t.as_py() for t in batch.column("data")], length, gram)
-            at = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), batch.column("version").take(at), batch.column("doc").take(at),
-                 pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["anchor", "version", "doc", "start", "count"])
+                [pa.array(anchor), batch.column("version").take(pa.array(text)), pa.array(start.astype(np.int32)),
+                 pa.array(count.astype(np.int16)), pa.array(place.astype(np.int16))],
+                names=["anchor", "version", "start", "count", "place"])
 
     return run
 
@@ -99,10 +101,10 @@ def _anchors(length: int, gram: int):
 
 
 def transform(snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and Burrows-Wheeler transform of some strings, each with an end mark smaller than any byte.
+    """Suffix order and text of some strings, each with an end mark smaller than any byte.
 
     Characters are bytes plus 1, end marks 0 and ordered by string.  Positions are those in the joined strings
-    with their marks.
+    with their marks.  The Burrows-Wheeler transform is what stands before each suffix in this order.
     """
     sizes = np.array([len(s) for s in snippets], np.int64)
     text = np.zeros(int(sizes.sum()) + len(snippets), np.uint16)
@@ -137,32 +139,47 @@ def transform(snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         order[at], head[at] = own, new
         rank[own] = at[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))] + 1
         size *= 2
-    before = np.concatenate([[0], text[:-1]]).astype(np.uint16)
-    return order, before[order]
+    return order, text
 
 
-def merge(transforms: list[np.ndarray], marks: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of transforms refined ``rounds`` times, and the block of every suffix.
+def merge(orders: list[np.ndarray], texts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' transforms, refined until suffixes are ordered by ``rounds`` characters.
 
     Returns, for the suffixes of all shards one shard after another, their places in the merged order, and for
-    each place its block.  In round k the suffixes of a block agree in k characters.
+    each place its block: suffixes of one block agree in ``rounds`` characters.  Each step goes back over two
+    characters at once where the shards' alphabet allows it.  A string with an end mark in it is alone in its block,
+    so the order among such strings is of no account.
     """
-    flat = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms]).astype(np.uint16)
-    fixed = np.repeat(np.arange(len(transforms)), marks).astype(np.uint16)
-    m = len(fixed)
-    block = np.zeros(len(flat), np.int64)
-    char = np.empty(len(flat), np.uint16)
+    symbols = np.unique(np.concatenate(texts))
+    two = len(symbols) ** 2 <= 1 << 16 and rounds % 2 == 0
+    flat, marked = [], []
+    for order, text in zip(orders, texts):
+        code = np.searchsorted(symbols, text).astype(np.uint32)
+        ends = np.nonzero(text == 0)[0]
+        begin = np.concatenate([[0], ends[:-1] + 1])
+        back = np.concatenate([[0], np.arange(len(text) - 1)])
+        back[begin] = ends  # before a string's beginning stands its own mark
+        one = code[back]
+        pair = code[back[back]] * np.uint32(len(symbols)) + one if two else one
+        ended = (one == 0) | (code[back[back]] == 0) if two else one == 0
+        flat.append(pair[order].astype(np.uint16))
+        marked.append(ended[order])
+    flat, marked = np.concatenate(flat), np.concatenate(marked)
+    shard = np.repeat(np.arange(len(texts)), [len(t) for t in texts]).astype(np.uint16)
+    block = np.zeros(len(flat), np.int32)
+    char, ended = np.empty(len(flat), np.uint16), np.empty(len(flat), bool)
     new = np.ones(len(flat), bool)
-    for _ in range(rounds):
-        char[np.argsort(shard, kind="stable")] = flat
+    for _ in range(rounds // 2 if two else rounds):
+        at = np.argsort(shard, kind="stable")
+        char[at], ended[at] = flat, marked
         order = np.argsort(char, kind="stable")
         shard, was, by = shard[order], block[order], char[order]
-        shard[:m] = fixed  # end marks are in order of strings
         np.not_equal(was[1:], was[:-1], out=new[1:])
         new[1:] |= by[1:] != by[:-1]
-        new[:m + 1] = True
-        block = np.cumsum(new)
+        alone = ended[order]
+        new |= alone
+        new[1:] |= alone[:-1]
+        block = np.cumsum(new, dtype=np.int32)
     return np.argsort(shard, kind="stable"), block
 
 
@@ -175,15 +192,12 @@ def earlier(snippets: list[bytes], counts: np.ndarray, owners: np.ndarray, lengt
             held = 0
         shards[-1].append(i)
         held += len(s)
-    orders, transforms, base = [], [], 0
-    for own in shards:
-        order, bwt = transform([snippets[i] for i in own])
-        orders.append(order + base)
-        transforms.append(bwt)
-        base += len(order)
-    places, block = merge(transforms, [len(s) for s in shards], length)
+    made = [transform([snippets[i] for i in own]) for own in shards]
+    places, block = merge([order for order, _ in made], [text for _, text in made], length)
+    shift = np.cumsum([0, *(len(text) for _, text in made)])
+    base = int(shift[-1])
     suffix = np.empty(base, np.int64)
-    suffix[places] = np.concatenate(orders)  # in merged order
+    suffix[places] = np.concatenate([order + at for (order, _), at in zip(made, shift)])  # in merged order
     sizes = np.array([len(s) + 1 for s in snippets], np.int64)
     begin = np.cumsum(sizes) - sizes
     within = np.arange(base) - np.repeat(begin, sizes)
@@ -191,50 +205,105 @@ def earlier(snippets: list[bytes], counts: np.ndarray, owners: np.ndarray, lengt
     first = np.minimum.reduceat(owner, np.nonzero(np.r_[True, block[1:] != block[:-1]])[0])
     least = np.empty(base, np.int64)
     least[suffix] = first[block - block[0]]
-    return [least[b:b + c] for b, c in zip(begin, counts)]
+    return [least[b:b + c] for b, c in zip(begin.tolist(), counts.tolist())]
 
 
-def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist())
+def _spans(least: list[np.ndarray], kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts whose string has a smaller owner: ``(row, first, after the last)`` for rows ``(kind, doc)``."""
+    sizes = np.array([len(x) for x in least], np.int64)
+    flat = np.concatenate([*least, [0]])
+    begin = np.cumsum(sizes) - sizes
+    own = sizes[kind] + 1  # one more place parts the rows
+    ends = np.cumsum(own)
+    row = np.repeat(np.arange(len(kind)), own)
+    within = np.arange(int(ends[-1])) - (ends - own)[row]
+    inside = within < sizes[kind][row]
+    flags = inside & (flat[np.where(inside, begin[kind][row] + within, len(flat) - 1)] < doc[row])
+    edge = np.diff(np.concatenate([[0], flags.astype(np.int8)]))
+    first, after = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    return row[first], within[first], within[first] + after - first
+
+
+def _partners(rows: list[tuple], length: int, gram: int) -> list[bool]:
+    """Whether each of some different snippets of one anchor can share a string with another of them.
+
+    A string has ``length - gram`` bytes beside the anchor, so half of them or more on one side: one of the two
+    pieces of that size next to the anchor must occur in another snippet too.
+    """
+    reach = -(-(length - gram) // 2)
+    sides = []
+    for place, snippet in rows:
+        left = snippet[place - reach:place] if place >= reach else None
+        right = snippet[place + gram:place + gram + reach]
+        sides.append((left, right if len(right) == reach else None))
+    seen = [Counter(s[i] for s in sides) for i in (0, 1)]
+    return [any(s[i] is not None and seen[i][s[i]] > 1 for i in (0, 1)) for s in sides]
 
 
-def _merged(length: int, group: int, shard: int):
+def _merged(length: int, gram: int, group: int, shard: int):
     schema = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        kinds: dict[bytes, int] = {}
-        owners: list[int] = []
-        at = []
-        for _, doc, _, _, snippet in rows:  # equal snippets once, with their smallest owner
-            k = kinds.setdefault(snippet, len(kinds))
-            if k == len(owners):
-                owners.append(doc)
-            else:
-                owners[k] = min(owners[k], doc)
-            at.append(k)
-        snippets = list(kinds)
+    def solve(kinds: list[tuple[bytes, int, list]]) -> list[tuple]:
+        """Spans of snippets ``(snippet, smallest owner, rows)`` that need the merge."""
+        if not kinds:
+            return []
+        snippets = [k[0] for k in kinds]
         counts = np.array([len(s) - length + 1 for s in snippets], np.int64)
-        least = earlier(snippets, counts, np.array(owners, np.int64), length, shard)
-        out: list[list] = [[], [], [], []]
-        for (_, doc, version, start, _), k in zip(rows, at):
-            for a, b in _runs(least[k] < doc):
-                for column, value in zip(out, (doc, version, start + a, start + b - 1 + length)):
-                    column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+        least = earlier(snippets, counts, np.array([k[1] for k in kinds], np.int64), length, shard)
+        rows = [(doc, version, start, i) for i, k in enumerate(kinds) for doc, version, start in k[2]]
+        doc, version, start, kind = (np.array(c, np.int64) for c in zip(*rows))
+        row, first, after = _spans(least, kind, doc)
+        return list(zip(doc[row].tolist(), version[row].tolist(), (start[row] + first).tolist(),
+                        (start[row] + after - 1 + length).tolist()))
+
+    def batch_of(spans: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*spans)) if spans else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    def close(rows: list[tuple], waiting: list) -> tuple[list[tuple], int]:
+        """Rows of one anchor: equal snippets are one; what cannot meet another is settled at once."""
+        kinds: dict[tuple[int, bytes], list] = {}
+        for _, doc, version, start, place, snippet in rows:
+            own = kinds.setdefault((place, snippet), [snippet, doc, []])
+            own[1] = min(own[1], doc)
+            own[2].append((doc, version, start))
+        spans, size = [], 0
+        meets = _partners(list(kinds), length, gram) if len(kinds) > 1 else [False]
+        for own, more in zip(kinds.values(), meets):
+            if more:
+                waiting.append(own)
+                size += len(own[0])
+            else:
+                spans += [(doc, version, start, start + len(own[0])) for doc, version, start in own[2] if own[1] < doc]
+        return spans, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        waiting: list = []
+        spans: list[tuple] = []
         held = 0
+
+        def finish() -> int:
+            found, size = close(rows, waiting)
+            spans.extend(found)
+            rows.clear()
+            return size
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held >= group and row[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, held = [], 0
+                if rows and row[0] != rows[-1][0]:
+                    held += finish()
+                    if held >= group:
+                        spans.extend(solve(waiting))
+                        waiting.clear()
+                        held = 0
                 rows.append(row)
-                held += len(row[4])
+            if spans:
+                yield batch_of(spans)
+                spans = []
         if rows:
-            yield solve(rows)
+            finish()
+        yield batch_of(spans + solve(waiting))
 
     return run
 
@@ -255,26 +324,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """
     spark = docs.sparkSession
     texts = _bytes(docs)
-    found = texts.where(F.octet_length("data") >= length).mapInArrow(
-        _anchors(length, gram), "anchor long, version long, doc long, start int, count int")
+    found = texts.where(F.octet_length("data") >= length).select("data", "version").mapInArrow(
+        _anchors(length, gram), "anchor long, version long, start int, count short, place short")
     dealt = found.repartition(partitions(spark), "anchor")
+    # The minima of the other columns let both sides of the join read one exchange; the shared anchors of a
+    # partition are few beside its rows, so they are hashed and the rows are not sorted.
     shared = dealt.groupBy("anchor").agg(
-        F.min("version").alias("low"), F.max("version").alias("high"), F.count("*").alias("crowd")).where("low <> high")
-    # Both sides lie by anchor already.
-    kept = stage(dealt.join(shared.select("anchor", "crowd"), "anchor").groupBy("anchor", "version", "start", "count").agg(
-        F.min("doc").alias("doc"), F.max("crowd").alias("crowd")), "anchors")
+        F.min("version").alias("low"), F.max("version").alias("high"), F.count("*").alias("crowd"),
+        F.min("start").alias("a"), F.min("count").alias("b"), F.min("place").alias("c")).where(
+        "low <> high and a >= 0 and b >= 0 and c >= 0").select("anchor", "crowd")
+    kept = stage(dealt.join(shared.hint("shuffle_hash"), "anchor").groupBy("anchor", "version", "start", "count", "place").agg(
+        F.max("crowd").alias("crowd")), "anchors")
     del found, dealt, shared
     release(spark)
-    own = kept.groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "start", "count", "crowd")).alias("own"))
-    cut = texts.join(own, ["doc", "version"])
-    snippet = lambda a: F.substring(F.col("data"), a["start"] + 1, a["count"] + (length - 1))
+    own = kept.groupBy("version").agg(F.collect_list(F.struct("anchor", "start", "count", "place", "crowd")).alias("own"))
+    first = texts.groupBy("version").agg(F.min("doc").alias("doc"))
+    cut = texts.join(own.join(first, "version"), ["doc", "version"])
+    snippet = lambda a: F.substring(F.col("data"), a["start"] + 1, a["count"] + (length - 1))
     pieces = stage(cut.select("doc", "version", F.explode(F.transform("own", lambda a: F.struct(
-        a["anchor"].alias("anchor"), a["start"].alias("start"), (a["crowd"] > crowd).alias("crowded"),
-        snippet(a).alias("snippet")))).alias("p")).select("doc", "version", "p.*"), "snippets")
+        a["anchor"].alias("anchor"), a["start"].alias("start"), a["place"].alias("place"),
+        (a["crowd"] > crowd).alias("crowded"), snippet(a).alias("snippet")))).alias("p")).select(
+        "doc", "version", "p.*"), "snippets")
     release(spark)
     few = pieces.where(~F.col("crowded")).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").select(
-        "anchor", "doc", "version", F.col("start").cast("long").alias("start"), "snippet")
-    spans = few.mapInArrow(_merged(length, GROUP, SHARD), "doc long, version long, `from` long, `to` long")
+        "anchor", "doc", "version", F.col("start").cast("long").alias("start"), F.col("place").cast("long").alias("place"), "snippet")
+    spans = few.mapInArrow(_merged(length, gram, GROUP, SHARD), "doc long, version long, `from` long, `to` long")
     many = pieces.where("crowded").select("doc", "version", F.explode(F.transform(
         F.sequence(F.lit(0), F.octet_length("snippet") - length), lambda i: F.struct(
             (F.col("start") + i).alias("from"), F.substring(F.col("snippet"), i + 1, F.lit(length)).alias("string")))).alias(

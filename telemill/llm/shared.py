@@ -57,7 +57,9 @@ def partitions(spark: SparkSession) -> int:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps that are done and staged.
 
-    It acts when the driver collects its garbage, which a driver with a large heap seldom does.
+    It acts when the driver collects its garbage, which a driver with a large heap seldom does.  Spark's listeners
+    hold the plan that ran last, so a query of one row runs before.
     """
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.java.lang.System.gc()
