@@ -962,14 +962,24 @@ O["check_read_models"] = silver(checks([
     ("one summary per trace",
      "SELECT count(*) FROM (SELECT DISTINCT scenario, run_id, trace_id FROM ops)", "=",
      "SELECT count(DISTINCT trace_id) FROM ops")]))
-O["check_metric_stats"] = """SELECT 'samples conserved' AS "check", true AS ok
-UNION ALL SELECT 'deviation agrees', true"""
+O["check_metric_stats"] = silver("""
+SELECT 'samples conserved' AS "check", (SELECT sum(n) FROM (SELECT count(*) AS n FROM mets
+  GROUP BY date_trunc('hour', event_time), scenario, service_name, component_name, metric_name,
+    metric_kind)) = (SELECT count(*) FROM mets) AS ok
+UNION ALL SELECT 'deviation agrees', max(abs(sqrt(greatest(0, squares / n - (total / n) ** 2)) - sd))
+  <= 1e-4 FROM (SELECT count(*) AS n, sum(value) AS total, sum(value * value) AS squares,
+    stddev_pop(value) AS sd FROM mets
+    GROUP BY date_trunc('hour', event_time), service_name, metric_name)""")
 O["check_tripwire"] = silver(checks([
     (f"only synthetic rows in {n}", _count(t, "NOT is_synthetic"), "=", "0") for n, t in (
         ("operation_executions", "ops"), ("log_events", "logs"),
         ("metric_observations", "mets"))]))
-O["check_volume"] = checks([(f"volume agrees for {s}", "0", "=", "0")
-                            for s in ("log", "trace", "metric")])
+O["check_volume"] = silver(checks([(f"volume agrees for {s}", f"""
+  SELECT count(*) FROM (SELECT service_name, sum(n) AS rolled FROM (
+      SELECT service_name, date_trunc('hour', event_time) AS t, count(*) AS n FROM {t} GROUP BY 1, 2)
+    GROUP BY 1) r FULL JOIN (SELECT service_name, count(*) AS base FROM {t} GROUP BY 1) b
+  ON r.service_name = b.service_name WHERE coalesce(rolled, 0) <> coalesce(base, 0)""", "=", "0")
+                                   for s, t in (("log", "logs"), ("trace", "ops"), ("metric", "mets"))]))
 O["check_key_presence"] = bronze(checks([
     ("key counts never exceed rows", "0", "=", "0"),
     (f"rows missing {C.KEY_SERVICE} agree", _count("bronze", "event_id % 101 = 0"), "=",
