@@ -83,7 +83,11 @@ def exact_quantiles(
     same = F.lit(True)
     for k in [*keys, "_slot"]:
         same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    joined = values.select(*keys, "_slot", "_v", "_w").join(hits, same, "inner")
+    # Both sides ask for the same columns, so that the source is read and shuffled once.
+    counted = values
+    for name in flags:
+        counted = counted.filter(F.col(f"_f_{name}") >= 0)
+    joined = counted.select(*keys, "_slot", "_v", "_w").join(hits, same, "inner")
     ranked = joined.withColumn("_end", F.col("_before") + F.sum("_w").over(within))
     pick = [
         F.max(F.when((F.col("_end") - F.col("_w") <= F.col(f"_p_{name}"))

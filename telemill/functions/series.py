@@ -12,18 +12,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 CHUNK = "hour"
 
 
-def with_past(df: DataFrame, series: list[str], ts: str, k: int,
-              chunk: str = CHUNK) -> tuple[DataFrame, list[str]]:
+def with_past(df: DataFrame, series: list[str], ts: str, k: int, chunk: str = CHUNK,
+              ties: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Rows plus, per chunk, copies of the ``k`` rows before it; and the window keys.
 
     Copies carry ``_copy`` = true and have to be filtered out after windowing with frames
     that reach back at most ``k`` rows.  Only the last ``k`` rows of each chunk travel, so
-    the global step sees k rows per chunk, whatever the sampling rate.
+    the global step sees k rows per chunk, whatever the sampling rate.  Rows of one time are
+    in the order of the ``ties`` columns.
     """
     rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
-    end = W.partitionBy(*series, "_chunk").orderBy(F.desc(ts))
+    end = W.partitionBy(*series, "_chunk").orderBy(F.desc(ts), *[F.desc(c) for c in ties])
     tails = rows.withColumn("_rn", F.row_number().over(end)).filter(F.col("_rn") <= k).drop("_rn")
-    ahead = W.partitionBy(*series).orderBy(ts).rowsBetween(1, k)
+    ahead = W.partitionBy(*series).orderBy(ts, *ties).rowsBetween(1, k)
     copies = (
         tails.withColumn("_next", F.collect_set("_chunk").over(ahead))
         .withColumn("_to", F.explode(F.array_except("_next", F.array("_chunk"))))
@@ -39,10 +40,14 @@ def originals(df: DataFrame) -> DataFrame:
 
 def lagged(df: DataFrame, series: list[str], ts: str, columns: list[str],
            chunk: str = CHUNK) -> DataFrame:
-    """Add ``prev_<c>`` for every column and ``prev_<ts>``; null on the first row."""
-    rows, keys = with_past(df, series, ts, 1, chunk)
-    w = W.partitionBy(*keys).orderBy(ts)
+    """Add ``prev_<c>`` for every column and ``prev_<ts>``; null on the first row.
+
+    Rows of one series and time follow each other in the order of ``columns``.
+    """
     wanted = [ts, *[c for c in columns if c != ts]]
+    ties = tuple(wanted[1:])
+    rows, keys = with_past(df, series, ts, 1, chunk, ties)
+    w = W.partitionBy(*keys).orderBy(ts, *ties)
     return originals(rows.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in wanted]))
 
 

@@ -191,3 +191,23 @@ def test_hot_span_join_is_split_at_run_time(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_equal_times_are_ordered_by_value(spark):
+    from telemill.functions.series import lagged
+
+    rows = [("s", "2024-01-01 00:59:59", 3.0), ("s", "2024-01-01 00:59:59", 1.0),
+            ("s", "2024-01-01 00:59:59", 2.0), ("s", "2024-01-01 01:00:01", 9.0)]
+    for given in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(given, "k string, t string, v double").withColumn(
+            "t", F.col("t").cast("timestamp"))
+        got = sorted((r.v, r.prev_v) for r in lagged(df, ["k"], "t", ["v"]).collect())
+        assert got == [(1.0, None), (2.0, 1.0), (3.0, 2.0), (9.0, 3.0)]
+
+
+def test_quantiles_read_their_source_once(spark):
+    ops = bridge.silver(spark, SF)["operation_executions"]
+    health = VW.service_health_1m(ops)
+    health.collect()
+    plan = health._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
