@@ -29,7 +29,7 @@ from telemill.llm.shared import partitions, release, stage, whole
 
 LENGTH = 50
 GRAM = 16
-CROWD = 1000
+CROWD = 20_000
 #: Bytes of snippets merged together, and in one shard.
 GROUP, SHARD = 1 << 18, 1 << 16
 
