@@ -132,7 +132,7 @@ def op1_edit_embedding(spark, sf_dir):
 @query
 def op7_fuzzy_lines(spark, sf_dir):
     prepare(spark)
-    return LN.keep_first(table(spark, sf_dir, "documents")).select(
+    return LN.keep_first(table(spark, sf_dir, "documents"), None).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_removed"), "text")
 
 

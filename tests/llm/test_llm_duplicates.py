@@ -191,6 +191,49 @@ def test_lines_edges(edge, none, spark):
     assert [r.text for r in LN.keep_first(two).orderBy("doc_id").collect()] == [long, "end"]
 
 
+def brute_similar(rows):
+    """As ``brute_lines``, by edit similarity alone."""
+    keys = list(dict.fromkeys(k for _, t in rows for line in t.split("\n") if (k := norm(line))))
+    words, groups = [k.split(" ") for k in keys], Groups()
+    for i, a in enumerate(words):
+        for j in range(i + 1, len(words)):
+            n = max(len(a), len(words[j]))
+            if abs(len(a) - len(words[j])) <= n // 5 and edit_distance(a, words[j]) <= n // 5:
+                groups.join(i, j)
+    at, seen, out = {k: i for i, k in enumerate(keys)}, set(), {}
+    for d, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            group = groups.find(at[k]) if (k := norm(line)) else None
+            if group is None or group not in seen:
+                kept.append(line)
+            seen.add(group)
+        out[d] = "\n".join(kept)
+    return out
+
+
+def test_lines_by_similarity_alone(spark):
+    draw = random.Random(4)
+    rows = variants(16)
+    for n in (4, 5, 9, 10, 30):
+        for _ in range(2):
+            base = [f"v{draw.randrange(60)}" for _ in range(n)]
+            for _ in range(5):
+                own = list(base)
+                for _ in range(draw.randrange(n // 5 + 3)):
+                    k = draw.randrange(len(own))
+                    own[k:k + draw.randrange(2)] = [f"v{draw.randrange(60)}"] * draw.randrange(2)
+                    own = own or ["v"]
+                rows.append((len(rows) + 1, " ".join(own) + "\nthe the the the " + "of " * draw.randrange(4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_similar(rows)
+    assert {r.doc_id: r.text for r in LN.keep_first(docs, None).collect()} == want
+    assert any(want[d] != t for (d, _), t in brute_lines(rows).items())
+    # A repeated row has fuzzy partners like any other.
+    twice = spark.createDataFrame([(1, "a b c d e f")] * 2 + [(2, "a b c d e g\nend")], "doc_id long, text string")
+    assert sorted(r.text for r in LN.keep_first(twice, None).collect()) == ["a b c d e f"] * 2 + ["end"]
+
+
 def test_line_simhash_equals_brute_force(spark):
     draw = random.Random(1)
     rows = [(i, " ".join(f"x{draw.randrange(50)}" for _ in range(n))) for i, n in enumerate((1, 2, 3, 40, 127, 128, 300, 16383, 16384))]
