@@ -1,7 +1,8 @@
 """Quality by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are labelled rows of class 1.  Unlabelled web text is drawn from all documents.  A linear
-scorer minimises ``prior * R_p+ + max(0, R_u- - prior * R_p-)`` with the logistic loss; a batch whose second term
+Trusted positives are labelled rows of class 1.  Unlabelled web text is every document: each step sums its risk and
+gradient over all of them, in whole numbers, so that the order of rows and tasks does not matter.  A linear
+scorer minimises ``prior * R_p+ + max(0, R_u- - prior * R_p-)`` with the logistic loss; a step whose second term
 falls below 0 is stepped back (Kiryo et al.).  The class prior is the share of class 1 among the labelled training
 rows, all of them.  A last one-dimensional logistic fit on the training labels turns margins into probabilities.
 
@@ -21,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telemill.llm.logistic import calibrate, sigmoid
-from telemill.llm.shared import whole
+from telemill.llm.shared import stage, whole
 
-#: At most about so many labelled rows, and so many unlabelled documents, are drawn by hash to fit the scorer.
+#: At most about so many labelled rows are drawn by hash to fit the scorer.
 LABELLED_ROWS = 8_000
-UNLABELLED_ROWS = 8_000
+#: Steps over all documents, and the first step's size.
+STEPS = 30
+RATE = 0.2
+#: Parts of one in sums over documents.
+_UNIT = float(1 << 24)
 THRESHOLD = 0.3
 EPOCHS = 40
 BATCH = 512
@@ -124,6 +129,65 @@ def train(positive: Rows, unlabelled: Rows, prior: float, epochs: int = EPOCHS,
     return w[:-1], float(w[-1])
 
 
+def _sums(index: np.ndarray, value: np.ndarray, row: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+    """``SIZE + 3`` sums in units over ``n`` rows: gradient of the loss as class 0, bias last, that loss, and ``n`` itself."""
+    z = np.bincount(row, w[index] * value, n) + w[-1]
+    p = sigmoid(z)
+    out = np.zeros(SIZE + 3)
+    out[:SIZE] = np.bincount(index, np.rint(p[row] * value * _UNIT), SIZE)
+    out[SIZE] = np.rint(p * _UNIT).sum()
+    out[SIZE + 1] = np.rint(np.logaddexp(0, z) * _UNIT).sum()
+    out[SIZE + 2] = n
+    return out
+
+
+def unlabelled_sums(featured: DataFrame, w: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Mean gradient and risk of all rows as class 0, and how many there are."""
+    shared = featured.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE + 3, np.int64)
+        for batch in batches:
+            sizes = np.diff(batch.column(0).offsets.to_numpy())
+            total += _sums(batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy().astype(np.float64),
+                           np.repeat(np.arange(len(sizes)), sizes), len(sizes), shared.value).astype(np.int64)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "part"])
+
+    rows = featured.select("index", "value").mapInArrow(run, "at int, part long").groupBy("at").agg(
+        F.sum("part").alias("total")).collect()  # as many rows as there are features
+    shared.unpersist()
+    total = np.zeros(SIZE + 3)
+    for r in rows:
+        total[r["at"]] = r["total"]
+    n = int(total[-1])
+    return total[:SIZE + 1] / _UNIT / max(1, n), float(total[SIZE + 1]) / _UNIT / max(1, n), n
+
+
+def descend(positive: Rows, featured: DataFrame, prior: float, steps: int = STEPS, rate: float = RATE,
+            decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """As ``train``, in full steps over every row of ``featured``."""
+    w, m, s = np.zeros(SIZE + 1), np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+    r, i, v = positive.take(np.arange(len(positive)))
+    n = len(positive)
+    for step in range(1, steps + 1):
+        p = sigmoid(np.bincount(r, w[i] * v, n) + w[-1])
+        as_zero = np.logaddexp(0, np.bincount(r, w[i] * v, n) + w[-1]).mean()
+        own = []
+        for slope in (p - 1, p):
+            g = np.bincount(i, (slope / n)[r] * v, SIZE + 1)
+            g[-1] += slope.mean()
+            own.append(g)
+        g_all, risk, _ = unlabelled_sums(featured, w)
+        g_negative = g_all - prior * own[1]
+        g = prior * own[0] + g_negative if risk - prior * as_zero >= 0 else -g_negative
+        g += decay * w
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        size = rate * (1 - 0.9 * (step - 1) / steps)
+        w = w - size * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
+    return w[:-1], float(w[-1])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -142,8 +206,8 @@ def _featured(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "label int, index array<int>, value array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Model:
-    """Fit from ``labels(doc_id, quality)``; the caller leaves held-out rows out.  Both sets are bounded."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS) -> Model:
+    """Fit from ``labels(doc_id, quality)``, of which the caller leaves held-out rows out, and from all of ``docs``."""
     rows = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(
         F.min("quality").cast("int").alias("label"))
     seen = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
@@ -159,18 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unlab
     sample = F.broadcast(rows.where(drawn("id", seen["n"], labelled, 1)))  # bounded by ``labelled``
     known = _featured(docs.join(sample, F.col("doc_id") == F.col("id")).select(
         whole().alias("text"), "label")).toPandas()
-    unknown = _featured(docs.where(drawn("doc_id", docs.count(), unlabelled, 2)).select(
-        whole().alias("text"), F.lit(None).cast("int").alias("label"))).toPandas()
 
     def ordered(frame) -> Rows:  # whatever order the tasks came in
         rows = [(np.asarray(i, np.int32), np.asarray(v, np.float32)) for i, v in zip(frame["index"], frame["value"])]
         return Rows(sorted(rows, key=lambda r: (len(r[0]), r[1].tobytes(), r[0].tobytes())))
 
     ones, zeros = ordered(known[known["label"] == 1]), ordered(known[known["label"] == 0])
-    others = ordered(unknown)
-    if not len(ones) or not len(zeros) or not len(others):
+    if not len(ones) or not len(zeros):
         return Model(np.zeros(SIZE), 0.0, 0.0, float(np.log(prior / (1 - prior))))
-    weights, bias = train(ones, others, prior)
+    everything = stage(_featured(docs.select(whole().alias("text"), F.lit(None).cast("int").alias("label"))), "features")
+    weights, bias = descend(ones, everything, prior)
     margins = np.concatenate([ones.margins(weights, bias), zeros.margins(weights, bias)])
     slope, shift = calibrate(margins, np.repeat([1, 0], [len(ones), len(zeros)]))
     return Model(weights, bias, slope, shift)

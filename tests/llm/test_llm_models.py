@@ -176,6 +176,24 @@ def test_non_negative_risk_separates():
     assert slope > 0 and abs(shift) < 1
 
 
+def test_unlabelled_risk_is_over_all_documents(spark, monkeypatch):
+    texts = [f"Line {i}, {'x' * (i % 7)} {i * i}!" for i in range(9_000)]
+    docs = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200) if i % 3], "doc_id long, quality int")
+    seen, sums = [], QC.unlabelled_sums
+    monkeypatch.setattr(QC, "unlabelled_sums", lambda *a: seen.append((a[1], *(got := sums(*a)))) or got)
+    QC.fit(docs, labels)
+    w, gradient, risk, n = seen[-1]
+    assert len(seen) == QC.STEPS and n == len(texts)
+    made = [QC.features(t) for t in texts]
+    z = np.array([w[i] @ v for i, v in made]) + w[-1]
+    want = np.zeros(QC.SIZE + 1)
+    for (i, v), p in zip(made, 1 / (1 + np.exp(-z))):
+        want[i] += p * v
+        want[-1] += p
+    assert np.allclose(gradient, want / n, atol=1e-5) and abs(risk - np.logaddexp(0, z).mean()) < 1e-5
+
+
 # -- pipeline -----------------------------------------------------------------
 
 
