@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill.llm import (
-    decontaminate as DC, edit_embedding as EE, lines as LN, packing as PK, quality as QC, repeats as RP, simhash as SH, token_file as TF,
-    toxicity as TX, warc as WA)
-from telemill.llm.shared import folder, prepare, table
+    conversations as CV, decontaminate as DC, edit_embedding as EE, lines as LN, packing as PK, quality as QC, repeats as RP, rules as RU,
+    simhash as SH, spelling as SP, token_file as TF, toxicity as TX, warc as WA)
+from telemill.llm.shared import folder, prepare, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +141,63 @@ def op6_repeated_strings(spark, sf_dir):
     prepare(spark)
     return RP.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op11_decision_list(spark, sf_dir):
+    prepare(spark)
+    stats = stage(RU.statistics(table(spark, sf_dir, "documents")), "statistics")
+    rules = RU.fit(stats, table(spark, sf_dir, "labels").where(~QC.held_out()))
+    return RU.judge(stats, rules).select("doc_id", *RU.BASE, "base_failed", "kept")
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    prepare(spark)
+    return SP.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# CRC-32 byte by byte from its table; words one edit apart are equal where one character is a gap, or where one of them lacks it.
+ORACLE["op12_spelling_variants"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) AS t(i)),
+crc AS (SELECT list(v ORDER BY i) AS v FROM bits),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+         unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS r FROM documents),
+low AS (SELECT d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT r, c, xor(4294967295, list_reduce(
+           [4294967295::BIGINT] || list_transform(range(octet_length(encode(d || ':' || r))),
+             lambda k: CAST('0x' || substr(hex(encode(d || ':' || r)), 2 * k + 1, 2) AS BIGINT)),
+           lambda a, b: xor(a >> 8, crc.v[(xor(a, b) & 255) + 1]))) AS h
+  FROM low, crc),
+slipped AS (
+  SELECT c, CASE WHEN h % 31 = 0 THEN left(r, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word
+  FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+gaps AS (SELECT word, n, left(word, i - 1) || chr(1) || substr(word, i + 1) AS g, left(word, i - 1) || substr(word, i + 1) AS w FROM places),
+less AS (SELECT DISTINCT gaps.word, gaps.n, v.word AS other, v.n AS m FROM gaps JOIN v ON gaps.w = v.word),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.g = b.g AND a.word <> b.word
+  UNION ALL SELECT word, other, m FROM less UNION ALL SELECT other, word, n FROM less),
+best AS (SELECT word, count(*) AS k, max(m) AS m FROM near GROUP BY word),
+named AS (
+  SELECT v.word, v.n, coalesce(k, 0) AS n_near, CASE WHEN best.m >= 10 * v.n THEN best.m END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+formed AS (
+  SELECT named.word, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n, min(other) AS form
+  FROM named LEFT JOIN near ON named.word = near.word AND named.form_n = near.m GROUP BY named.word),
+chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT chain.word, f.form FROM chain JOIN formed f ON chain.at = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN formed f ON chain.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return CV.repair(CV.damage(table(spark, sf_dir, "conversations")))
