@@ -2,7 +2,7 @@
 
 A range of days is one Spark job per table.  Every day is rebuilt in a staging folder,
 compared by checksum with an independently written projection, and only then replaces the
-live partition.  Each step leaves a ledger row.
+live partition, all days of a table in one step.  Each step leaves a ledger row.
 """
 
 from __future__ import annotations
@@ -271,12 +271,11 @@ def _rebuild(spark, root, table, phase, run_id, days, names, build) -> None:
                        "status": "ok" if good else "failed"})
     if done:
         piece = f"backfill-{run_id}"
-        TB.write_piece(_in_range(staged, table, done), root, table, piece)
         covered = {x for part in [old, *listed.values()] for x in part
                    if x[0] in done and x[1] != piece}
-        TB.mark_folded(spark, root, table, sorted(covered), piece)
-        now = TB.list_pieces(spark, root, table, done)
-        TB.drop_pieces(spark, root, table, [x for x in now if x in covered])
+        TB.replace_pieces(_in_range(staged, table, done), root, table, piece, sorted(covered),
+                          kind="backfill")
+        TB.vacuum(spark, root, table)
     _record(spark, root, ledger)
     if bad:
         raise BackfillFailed(f"{table}: days differ from the expected content: {', '.join(bad)}")

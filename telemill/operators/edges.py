@@ -30,6 +30,42 @@ def _edges(spans: DataFrame) -> DataFrame:
         .agg(F.sum("spans").alias("spans"), F.sum("errors").alias("errors")))
 
 
+def edge_changes(rows: DataFrame, changed: DataFrame, width: str = "minute") -> DataFrame:
+    """How edges per minute change when spans come and go; columns as the model, counts may be negative.
+
+    ``rows`` are spans with the booleans ``before`` and ``after``: whether the span is in the window before
+    and after the change.  ``changed`` are those that differ.  Only keys of changed spans are looked at: as a parent
+    (a new one may bring a smaller name, a leaving one may uncover a larger one) or as the parent of a changed
+    child.  Everything else keeps its contribution, so it is never grouped or joined.
+    """
+    own = changed.select("trace_id", "span_id")
+    above = changed.filter(F.col("parent_span_id") != "").select("trace_id", F.col("parent_span_id").alias("span_id"))
+    keys = own.union(above).distinct()
+    parents = rows.select("trace_id", "span_id", "service_name", "before", "after").join(
+        keys, ["trace_id", "span_id"], "left_semi").groupBy("trace_id", "span_id").agg(
+        F.min(F.when(F.col("before"), F.col("service_name"))).alias("src_before"),
+        F.min(F.when(F.col("after"), F.col("service_name"))).alias("src_after"))
+    children = rows.filter(F.col("parent_span_id") != "").select(
+        "trace_id", F.col("parent_span_id").alias("span_id"), "service_name", "is_error", "before", "after",
+        bucket("event_time", width).alias("window_start")).join(keys, ["trace_id", "span_id"], "left_semi").groupBy(
+        "trace_id", "span_id", "window_start", F.col("service_name").alias("dst_service")).agg(*[
+            F.count_if(F.col(w) & e).alias(f"{n}_{w}") for w in ("before", "after")
+            for n, e in (("spans", F.lit(True)), ("errors", F.col("is_error")))])
+    both = children.join(parents, ["trace_id", "span_id"]).select("window_start", "dst_service", F.explode(F.array(
+        F.struct(F.col("src_before").alias("src_service"), (-F.col("spans_before")).alias("spans"),
+                 (-F.col("errors_before")).alias("errors")),
+        F.struct(F.col("src_after").alias("src_service"), F.col("spans_after").alias("spans"),
+                 F.col("errors_after").alias("errors")))).alias("_e"))
+    return merge_edges(both.select("window_start", "_e.*", "dst_service").filter("src_service IS NOT NULL"), keep_all=True)
+
+
+def merge_edges(edges: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Edges and their changes summed per minute; what sums to no span is gone, unless all is asked for."""
+    out = edges.groupBy("window_start", "src_service", "dst_service").agg(
+        F.sum("spans").alias("spans"), F.sum("errors").alias("errors"))
+    return out.filter("spans <> 0 OR errors <> 0" if keep_all else "spans > 0")
+
+
 def call_edges_1m(operations: DataFrame, since=None, width: str = "minute") -> DataFrame:
     """Edges per minute; ``since`` bounds both sides of the join.  Self-edges stay."""
     rows = operations

@@ -464,6 +464,7 @@ SELECT date_trunc('{W}', c.event_time) AS window_start, p.src AS src_service,
   c.service_name AS dst_service, count(*) AS spans, count(*) FILTER (c.is_error) AS errors
 FROM recent c JOIN parents p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id
 WHERE c.parent_span_id <> '' GROUP BY 1, 2, 3""")
+O["refresh_call_edges"] = O["call_edges_trailing_day"].replace(f"date_trunc('{W}'", "date_trunc('minute'")
 O["undeclared_edges"] = graph("SELECT * FROM observed o WHERE NOT EXISTS (SELECT 1 FROM declared d "
                               "WHERE d.src = o.src AND d.dst = o.dst)")
 O["declared_vs_observed_edges"] = graph("""
@@ -810,9 +811,10 @@ O["reject_rate_matrix"] = _label_rates([
     ({"reason": "contract", "signal": "logs"}, "r // 25", "true"),
     ({"reason": "backpressure", "signal": "trace"}, "r // 250", "event_id % 4 <> 0")])
 O["table_growth"] = """
-WITH s AS (SELECT ts AS read_at, event_type AS tbl, event_id % 5000 * 1000 AS n FROM events),
+WITH s AS (SELECT ts AS read_at, event_type AS tbl,
+    count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
 d AS (SELECT *, lag(n) OVER w AS p, (epoch_us(read_at) - epoch_us(lag(read_at) OVER w)) / 1e6
-    AS dt FROM s WINDOW w AS (PARTITION BY tbl ORDER BY read_at))
+    AS dt FROM s WINDOW w AS (PARTITION BY tbl ORDER BY read_at, n))
 SELECT tbl, read_at, n, CASE WHEN p IS NULL THEN NULL
   ELSE round(CASE WHEN n < p THEN n ELSE n - p END / dt, 1) END AS rows_per_s FROM d"""
 
@@ -881,6 +883,13 @@ runs AS (SELECT *, CAST(sum(changed) OVER (PARTITION BY instance ORDER BY scrape
   AS segment FROM marked)
 SELECT instance, segment, mode, min(scrape_ts) AS started, max(scrape_ts) AS ended,
   count(*) AS ticks FROM runs GROUP BY 1, 2, 3""")
+O["mode_segments_all"] = ticks("""
+, marked AS (SELECT *, CASE WHEN lag(mode) OVER w <> mode THEN 1 ELSE 0 END AS changed FROM modes
+  WINDOW w AS (PARTITION BY instance ORDER BY scrape_ts)),
+runs AS (SELECT *, CAST(sum(changed) OVER (PARTITION BY instance ORDER BY scrape_ts) AS BIGINT)
+  AS segment FROM marked)
+SELECT instance, segment, mode, min(scrape_ts) AS started, max(scrape_ts) AS ended,
+  count(*) AS ticks FROM runs GROUP BY 1, 2, 3""")
 _HISTORY = {"ingest": "ingest_rate", "stored": "persist_rate", "flush": "flush_rate",
             "reject": "reject_rate"}
 _PEAKS = {"contract_logs": "max(contract_logs)", "contract_trace": "0.0::DOUBLE",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from telemill import contract as C
 from telemill.functions import checksum, verdicts as V
 from telemill.functions.columns import map_text, one_value
+from telemill.functions.series import running
 from telemill.operators import (
     backfill as BF, edges as E, graph as G, mapping, quality as Q, search as S, silver as SV,
     traces as TR, validation as VA)
@@ -356,6 +357,20 @@ def call_edges_trailing_day(spark, sf):
     return E.call_edges_1m(bridge.silver(spark, sf)["operation_executions"], since, WIDTH)
 
 
+@query
+def refresh_call_edges(spark, sf):
+    """The trailing day of edges after three batches that part children from parents, each followed by a refresh."""
+    root = _folder(spark)
+    ops = bridge.silver(spark, sf)["operation_executions"]
+    newest = bridge.read_events(spark, sf).agg(F.max("ts").alias("t"))
+    for batch, hours in ((1, 12), (2, 5), (0, 0)):
+        rows = ops.filter(F.pmod(F.xxhash64("span_id", "event_time_ns"), F.lit(3)) == batch)
+        TB.write_piece(rows, root, "operation_executions", f"batch-{batch}")
+        as_of = newest.select((F.col("t") - F.make_dt_interval(hours=F.lit(hours))).cast("string")).first()[0]
+        jobs.refresh_call_edges(spark, root, as_of)
+    return TB.read_table(spark, root, C.EDGE_TABLE).drop("event_date")
+
+
 @query
 def reconcile_counts(spark, sf):
     silver = bridge.silver(spark, sf)
@@ -735,11 +750,10 @@ def reject_rate_matrix(spark, sf):
 
 @query
 def table_growth(spark, sf):
-    """Growth of each event kind, read as a table whose count is sampled at every event."""
-    snapshots = bridge.read_events(spark, sf).select(
-        F.col("ts").alias("read_at"), F.col("event_type").alias("tbl"),
-        (F.pmod("event_id", F.lit(5000)) * 1000).alias("n"))
-    return D.table_growth(snapshots)
+    """Growth of each event kind, read as a table whose rows are counted at every event."""
+    events = bridge.read_events(spark, sf).select(F.col("ts").alias("read_at"), F.col("event_type").alias("tbl"), "event_id")
+    counted = running(events, ["tbl"], "read_at", {"n": F.lit(1).cast("long")}, ("event_id",))
+    return D.table_growth(counted.select("tbl", "read_at", "n"))
 
 
 @query
@@ -762,6 +776,12 @@ def mode_segments(spark, sf):
     return D.mode_segments(D.delivery_mode(_metrics(spark, sf)))
 
 
+@query
+def mode_segments_all(spark, sf):
+    """Every run of equal mode since the first tick."""
+    return D.mode_segments(D.delivery_mode(_metrics(spark, sf)), None)
+
+
 @query
 def history_stats(spark, sf):
     out = D.history_stats(_metrics(spark, sf))

@@ -3,16 +3,28 @@
 Tables are partitioned by event date.  A table grows by *pieces* (a stream batch, a backfill
 run): the piece id is a second partition column, and dynamic partition overwrite makes
 writing the same piece again harmless.
+
+Replacing pieces by another one is a *swap*: the new piece is written under a pending mark, which hides it, and one
+rename publishes a record that shows it and hides the old pieces in the same moment.  A reader resolves the records
+once, when it plans; the files of hidden pieces stay until ``vacuum``, so a reader that planned before a
+swap still finds its rows.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill import contract as C, schemas as S
 from telemill.operators import mapping
 
 PIECE = "piece"
+#: Seconds for which replaced pieces stay readable.
+GRACE_SECONDS = 3600
 
 # Sort keys inside files, so that row-group statistics can prune.
 LAYOUT = {
@@ -78,6 +90,76 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path, fs = _path(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small control file that appears whole, by one rename."""
+    target, fs = _path(spark, path)
+    draft, _ = _path(spark, f"{target.getParent().toString()}/.{target.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        raise OSError(f"could not publish {path}")
+
+
+@lru_cache(maxsize=4096)
+def _record_text(spark: SparkSession, path: str) -> str:
+    """Records never change, so each is read once."""
+    target, fs = _path(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+@dataclass(frozen=True)
+class Swaps:
+    """The published swaps of a table at one moment, oldest first."""
+
+    names: tuple[str, ...]
+    pending: tuple[str, ...]
+    records: tuple[dict, ...]
+
+    def folded(self) -> set[tuple[str, str]]:
+        return {tuple(x) for r in self.records for x in r["folded"]}
+
+    def hidden(self) -> tuple[set[tuple[str, str]], set[str]]:
+        """Replaced pieces that may still have files, by day, and pieces that nobody has published."""
+        kept = {tuple(x) for n, r in zip(self.names, self.records) if not n.endswith(_DONE) for x in r["folded"]}
+        return kept, set(self.pending) - {r["into"] for r in self.records}
+
+
+_RECORD, _DONE = ".json", ".done.json"
+
+
+def swaps(spark: SparkSession, root: str, table: str) -> Swaps:
+    names = [n for n in _names(spark, f"{root}/_swaps/{table}") if n.endswith(_RECORD) and not n.startswith(".")]
+    pending = [n for n in _names(spark, f"{root}/_pending/{table}") if not n.startswith(".")]
+    return Swaps(tuple(names), tuple(pending), tuple(
+        json.loads(_record_text(spark, f"{root}/_swaps/{table}/{n}")) for n in names))
+
+
+def settled(spark: SparkSession, root: str, table: str, look):
+    """What ``look`` finds, and the swaps that hold for it: none was published or begun meanwhile."""
+    state = swaps(spark, root, table)
+    while True:
+        found = look()
+        now = swaps(spark, root, table)
+        if (now.names, now.pending) == (state.names, state.pending):
+            return found, state
+        state = now
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Explicit schema; an absent table reads as an empty one."""
     ddl = table_ddl(table)
@@ -85,7 +167,15 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], ddl)
     columns = [f.split()[0] for f in _split(ddl)]
-    return (spark.read.schema(f"{ddl}, {PIECE} string").parquet(path).select(*columns))
+    # Files are listed here, once; every action on the result reads these.
+    rows, state = settled(spark, root, table, lambda: spark.read.schema(f"{ddl}, {PIECE} string").parquet(path))
+    folded, pending = state.hidden()
+    if folded:
+        place = F.concat_ws("/", F.col(date_column(table)).cast("string"), F.col(PIECE))
+        rows = rows.filter(~place.isin(sorted(f"{day}/{piece}" for day, piece in folded)))
+    if pending:
+        rows = rows.filter(~F.col(PIECE).isin(sorted(pending)))
+    return rows.select(*columns)
 
 
 def _split(ddl: str) -> list[str]:
@@ -101,19 +191,23 @@ def _split(ddl: str) -> list[str]:
     return [*parts, current.strip()]
 
 
-def list_pieces(spark: SparkSession, root: str, table: str,
-                dates: list[str]) -> list[tuple[str, str]]:
-    """``(date, piece)`` of the pieces stored now; names only, no data is read."""
-    jvm, found = spark._jvm, []
+def _stored_pieces(spark: SparkSession, root: str, table: str,
+                   dates: list[str]) -> list[tuple[str, str]]:
+    found = []
     for day in dates:
-        base = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{date_column(table)}={day}")
-        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(base):
-            names = [status.getPath().getName() for status in fs.listStatus(base)]
-            found += [(day, n[len(PIECE) + 1:]) for n in names if n.startswith(f"{PIECE}=")]
+        names = _names(spark, f"{root}/{table}/{date_column(table)}={day}")
+        found += [(day, n[len(PIECE) + 1:]) for n in names if n.startswith(f"{PIECE}=")]
     return sorted(found)
 
 
+def list_pieces(spark: SparkSession, root: str, table: str,
+                dates: list[str]) -> list[tuple[str, str]]:
+    """``(date, piece)`` of the pieces that readers see now; names only, no data is read."""
+    found, state = settled(spark, root, table, lambda: _stored_pieces(spark, root, table, dates))
+    folded, pending = state.hidden()
+    return [x for x in found if x not in folded and x[1] not in pending]
+
+
 def read_pieces(spark: SparkSession, root: str, table: str,
                 listed: list[tuple[str, str]]) -> DataFrame:
     """Exactly the listed pieces; what arrives later is not read."""
@@ -129,22 +223,53 @@ def read_pieces(spark: SparkSession, root: str, table: str,
 
 
 def mark_folded(spark: SparkSession, root: str, table: str, listed: list[tuple[str, str]],
-                into: str) -> None:
-    """Record which pieces another one now stands for."""
-    rows = [(day, piece, into) for day, piece in listed if piece != into]
-    if rows:
-        spark.createDataFrame(rows, "day string, folded string, into string").coalesce(
-            1).write.mode("append").parquet(f"{root}/_folded/{table}")
+                into: str, kind: str = "compact", note: dict | None = None) -> None:
+    """Publish that ``into`` stands for the listed pieces from now on."""
+    folder = f"{root}/_swaps/{table}"
+    _path(spark, folder)[1].mkdirs(_path(spark, folder)[0])
+    record = {"into": into, "kind": kind, "note": note,
+              "folded": [list(x) for x in listed if x[1] != into]}
+    number = len([n for n in _names(spark, folder) if n.endswith(_RECORD)])
+    _put(spark, f"{folder}/{number:010d}-{uuid.uuid4().hex[:8]}{_RECORD}", json.dumps(record))
+
+
+def replace_pieces(df: DataFrame, root: str, table: str, piece: str, listed: list[tuple[str, str]],
+                   kind: str = "compact", note: dict | None = None) -> None:
+    """Put ``df`` in the place of the listed pieces in one step, however many days they cover.
+
+    A run that dies before the record is published leaves a hidden piece; the same call again replaces it.
+    """
+    spark = df.sparkSession
+    mark, fs = _path(spark, f"{root}/_pending/{table}/{piece}")
+    fs.mkdirs(mark.getParent())
+    fs.create(mark, True).close()
+    write_piece(df, root, table, piece)
+    mark_folded(spark, root, table, listed, piece, kind, note)
+    fs.delete(mark, False)
+
+
+def vacuum(spark: SparkSession, root: str, table: str, grace_seconds: float = GRACE_SECONDS) -> int:
+    """Delete the files of pieces replaced more than ``grace_seconds`` ago; the records stay, for batches replayed late.
+
+    Returns how many swaps were cleared.  A reader may hold a plan for as long as the grace time.
+    """
+    folder, cleared = f"{root}/_swaps/{table}", 0
+    now = spark._jvm.java.lang.System.currentTimeMillis()
+    for name in _names(spark, folder):
+        if name.startswith(".") or not name.endswith(_RECORD) or name.endswith(_DONE):
+            continue
+        path, fs = _path(spark, f"{folder}/{name}")
+        if now - fs.getFileStatus(path).getModificationTime() < grace_seconds * 1000:
+            continue
+        drop_pieces(spark, root, table, [tuple(x) for x in json.loads(_record_text(spark, f"{folder}/{name}"))["folded"]])
+        fs.rename(path, _path(spark, f"{folder}/{name[:-len(_RECORD)]}{_DONE}")[0])
+        cleared += 1
+    return cleared
 
 
 def folded_days(spark: SparkSession, root: str, table: str, piece: str) -> list[str]:
     """Days on which a piece is part of another one."""
-    path = f"{root}/_folded/{table}"
-    if not exists(spark, path):
-        return []
-    rows = spark.read.schema("day string, folded string, into string").parquet(path)
-    return [r["day"] for r in rows.filter(F.col("folded") == piece).select("day").distinct()
-            .collect()]
+    return sorted(day for day, name in swaps(spark, root, table).folded() if name == piece)
 
 
 def read_bronze(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -200,9 +325,10 @@ def compact(spark: SparkSession, root: str, table: str, compaction_id: str, date
             merge=None) -> None:
     """Fold the pieces some dates have now into one, merging partial aggregates when told how.
 
-    The list of pieces is stored first, then exactly these are read, staged, recorded as
-    folded and deleted; a piece that arrives at any time after the listing stays.  A run that
-    dies later resumes from its list and its finished staging folder.
+    The list of pieces is stored first, then exactly these are read, staged and replaced in one
+    step; a piece that arrives at any time after the listing stays.  A run that
+    dies later resumes from its list and its finished staging folder.  Give every compaction an
+    id of its own: the files of a piece written twice are replaced in place.
     """
     staging = f"{root}/_staging/{table}-{compaction_id}"
     listing = f"{root}/_staging/{table}-{compaction_id}-pieces"
@@ -215,10 +341,9 @@ def compact(spark: SparkSession, root: str, table: str, compaction_id: str, date
         if not exists(spark, f"{staging}/_SUCCESS"):
             rows = read_pieces(spark, root, table, listed)
             (merge(rows) if merge else rows).write.mode("overwrite").parquet(staging)
-        write_piece(spark.read.schema(table_ddl(table)).parquet(staging), root, table,
-                    compaction_id)
-        mark_folded(spark, root, table, listed, compaction_id)
-        drop_pieces(spark, root, table, [x for x in listed if x[1] != compaction_id])
+        replace_pieces(spark.read.schema(table_ddl(table)).parquet(staging), root, table,
+                       compaction_id, listed)
+    vacuum(spark, root, table)
     unstage(spark, root, f"{table}-{compaction_id}")
     unstage(spark, root, f"{table}-{compaction_id}-pieces")
 

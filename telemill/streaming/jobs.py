@@ -88,23 +88,80 @@ def compact_tables(spark: SparkSession, root: str, dates: list[str], compaction_
     compact_rollups(spark, root, dates, compaction_id)
 
 
+def _seen_pieces(state: TB.Swaps, since: int, seen: set[tuple[str, str]], first_day: str):
+    """``seen`` after the swaps from number ``since`` on, or None where one mixed seen rows with others or changed rows.
+
+    A compaction of nothing but seen pieces is seen; one of unseen pieces alone is new.
+    """
+    made: set[tuple[str, str]] = set()
+    for number, record in enumerate(state.records):
+        members: dict[str, set] = {}
+        for day, piece in record["folded"]:
+            if day >= first_day:
+                members.setdefault(day, set()).add((day, piece))
+        for day, own in members.items():
+            into = (day, record["into"])
+            if number >= since:
+                if record["kind"] != "compact":
+                    return None
+                # A piece written again under its id holds its earlier rows too.
+                if own <= seen and (into in seen or into not in made):
+                    seen = (seen - own) | {into}
+                elif own & seen or into in seen:
+                    return None
+            made.add(into)
+    return seen
+
+
 def refresh_call_edges(spark: SparkSession, root: str, as_of,
-                       minutes: int = C.EDGE_WINDOW_MINUTES) -> None:
-    """Recompute the trailing day of edges and replace it.
+                       minutes: int = C.EDGE_WINDOW_MINUTES) -> str:
+    """Bring the trailing day of edges up to date from what changed since the last refresh; returns how.
 
     A scheduled job, not a stream trigger: a child and its parent may arrive in different
-    batches.  The model holds the trailing window and nothing else: its dates are replaced
-    under one fixed piece name and older dates are dropped.
+    batches, in either order.  Spans of pieces not seen before come in, spans older than the window go out, and only
+    keys of these are grouped and joined (``delta``); the window itself is read as seven narrow columns and filtered.
+    A backfill, a compaction of seen with unseen pieces or an earlier ``as_of`` leads to a full computation (``full``).
+    The new edges replace the old ones in one step; what has been seen is part of the same record.
     """
-    since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))
-    rows = edges.call_edges_1m(TB.read_table(spark, root, "operation_executions"), since)
-    old = {(day, "refresh") for day in TB.dates_of(spark, root, C.EDGE_TABLE)}
-    TB.write_piece(rows.withColumn("event_date", F.to_date("window_start")), root,
-                   C.EDGE_TABLE, "refresh")
-    # Dates before the window go, and dates inside it that have no edge any more.
-    kept = {(str(r[0]), "refresh") for r in rows.select(
-        F.to_date("window_start")).distinct().collect()}
-    TB.drop_pieces(spark, root, C.EDGE_TABLE, sorted(old - kept))
+    first = spark.range(1).select((F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))).alias("t")).select(
+        F.unix_micros("t").alias("us"), F.to_date("t").cast("string").alias("day")).first()
+    table = "operation_executions"
+    ours = TB.swaps(spark, root, C.EDGE_TABLE)
+    notes = [r["note"] for r in ours.records if r["note"]]
+    last, seen = notes[-1] if notes else None, None
+    from_day = min(first["day"], last["day"]) if last else first["day"]
+    days = [d for d in TB.dates_of(spark, root, table) if d >= from_day]
+    listed, ops = TB.settled(spark, root, table, lambda: TB.list_pieces(spark, root, table, days))
+    pieces = [x for x in listed if x[0] >= first["day"]]
+    if last and last["since"] <= first["us"] and last["minutes"] == minutes:
+        seen = _seen_pieces(ops, last["swaps"], {tuple(x) for x in last["seen"]}, last["day"])
+    columns = ["trace_id", "span_id", "parent_span_id", "service_name", "is_error", "event_time"]
+    since = F.timestamp_micros(F.lit(first["us"]))
+    if seen is None:
+        how = "full"
+        rows = TB.read_pieces(spark, root, table, pieces).select(*columns, "event_date")
+        edges_now = edges.call_edges_1m(rows, since)
+    else:
+        how = "delta"
+        known = [x for x in listed if x in seen]
+        start = F.timestamp_micros(F.lit(last["since"]))
+        old = TB.read_pieces(spark, root, table, known).select(*columns).filter(F.col("event_time") >= start).select(
+            "*", F.lit(True).alias("before"), (F.col("event_time") >= since).alias("after"))
+        new = TB.read_pieces(spark, root, table, [x for x in pieces if x not in seen]).select(*columns).filter(
+            F.col("event_time") >= since).select("*", F.lit(False).alias("before"), F.lit(True).alias("after"))
+        rows = old.unionByName(new)
+        changes = edges.edge_changes(rows, old.filter(~F.col("after")).unionByName(new))
+        current = TB.read_table(spark, root, C.EDGE_TABLE).drop("event_date")
+        edges_now = edges.merge_edges(current.unionByName(changes))
+    number = len(ours.records)
+    staged = TB.stage(edges_now.withColumn("event_date", F.to_date("window_start")), root, f"{C.EDGE_TABLE}-{number}")
+    replaced = TB.list_pieces(spark, root, C.EDGE_TABLE, TB.dates_of(spark, root, C.EDGE_TABLE))
+    note = {"since": first["us"], "day": first["day"], "minutes": minutes, "swaps": len(ops.records), "how": how,
+            "seen": [list(x) for x in pieces]}
+    TB.replace_pieces(staged, root, C.EDGE_TABLE, f"edges-{number:08d}", replaced, "refresh", note)
+    TB.unstage(spark, root, f"{C.EDGE_TABLE}-{number}")
+    TB.vacuum(spark, root, C.EDGE_TABLE)
+    return how
 
 
 def stream_volume_windows(signals: DataFrame, lateness: str = "10 minutes",

@@ -118,6 +118,108 @@ def test_edge_refresh_replaces_and_drops_old_dates(spark, folder):
     assert want.count() > 0 and same(got, want)
 
 
+def _thirds(ops):
+    """Spans dealt so that children and parents, and repeated parents, come in different batches."""
+    return [ops.filter(F.pmod(F.xxhash64("span_id", "event_time_ns"), F.lit(3)) == i) for i in range(3)]
+
+
+def _edges_equal(spark, root, as_of, ops):
+    since = dt.datetime.fromisoformat(as_of) - dt.timedelta(days=1)
+    got = TB.read_table(spark, root, "call_edges_1m").drop("event_date")
+    return same(got, E.call_edges_1m(ops, since))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+def test_edges_by_delta_equal_a_full_computation(spark, folder, order):
+    ops = bridge.silver(spark, SF)["operation_executions"]
+    parts, landed, times = _thirds(ops), None, ["2024-01-03 09:00:00", "2024-01-03 12:30:30", "2024-01-04 01:00:00"]
+    for i, as_of in zip(order, times):
+        TB.write_piece(parts[i], folder, "operation_executions", f"b{i}")
+        landed = parts[i] if landed is None else landed.unionByName(parts[i])
+        how = jobs.refresh_call_edges(spark, folder, as_of)
+        assert how == ("full" if i == order[0] else "delta")
+        assert _edges_equal(spark, folder, as_of, landed)
+    # Nothing new: only spans that leave the window count.
+    assert jobs.refresh_call_edges(spark, folder, "2024-01-04 02:00:00") == "delta"
+    assert _edges_equal(spark, folder, "2024-01-04 02:00:00", landed)
+    days = TB.dates_of(spark, folder, "operation_executions")
+    TB.compact(spark, folder, "operation_executions", "c1", days)
+    assert jobs.refresh_call_edges(spark, folder, "2024-01-04 03:00:00") == "delta"
+    assert _edges_equal(spark, folder, "2024-01-04 03:00:00", landed)
+    TB.write_piece(parts[0].withColumn("service_name", F.lit("aaa")), folder, "operation_executions", "odd")
+    TB.compact(spark, folder, "operation_executions", "c2", days)
+    assert jobs.refresh_call_edges(spark, folder, "2024-01-04 04:00:00") == "full"
+    assert _edges_equal(spark, folder, "2024-01-04 04:00:00", landed.unionByName(
+        parts[0].withColumn("service_name", F.lit("aaa"))))
+
+
+def test_delta_groups_only_keys_of_the_batch(spark):
+    """A repeated parent with a smaller name moves its children's edges; other spans are not grouped."""
+    def span(trace, own, up, service, second, before, after):
+        return trace, own, up, service, False, dt.datetime(2024, 1, 1, 0, 0, second), before, after
+    ddl = "trace_id string, span_id string, parent_span_id string, service_name string, is_error boolean, event_time timestamp, before boolean, after boolean"
+    rows = spark.createDataFrame(
+        [span("t", "p", "", "m", 1, True, True), span("t", "c", "p", "x", 2, True, True), span("t", "p", "", "b", 3, False, True),
+         span("t", "late", "c", "y", 4, True, True)] + [span(f"u{i}", "p", "", "m", 5, True, True) for i in range(500)], ddl)
+    out = E.edge_changes(rows, rows.filter("before <> after"))
+    assert {(r.src_service, r.dst_service): r.spans for r in out.collect()} == {("m", "x"): -1, ("b", "x"): 1}
+
+
+def test_a_plan_made_before_a_swap_reads_the_old_rows_once(spark, folder):
+    rows = _logs(spark)
+    a, b = rows.filter("severity_number < 13"), rows.filter("severity_number >= 13")
+    TB.write_piece(a, folder, "log_events", "p1")
+    TB.write_piece(b, folder, "log_events", "p2")
+    days = TB.dates_of(spark, folder, "log_events")
+    planned = TB.read_table(spark, folder, "log_events")
+    changed = rows.withColumn("body", F.lit("new"))
+    TB.replace_pieces(TB.stage(changed, folder, "x"), folder, "log_events", "s1", TB.list_pieces(spark, folder, "log_events", days))
+    want, now = content_checksum(rows).first(), content_checksum(changed).first()
+    assert content_checksum(planned).first() == want
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == now
+    assert TB.vacuum(spark, folder, "log_events") == 0          # within the grace time
+    assert content_checksum(planned).first() == want
+    assert TB.vacuum(spark, folder, "log_events", 0) == 1 and TB.vacuum(spark, folder, "log_events", 0) == 0
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == now
+    assert {p for d in days for _, p in TB._stored_pieces(spark, folder, "log_events", [d])} == {"s1"}
+    TB.write_piece(a, folder, "log_events", "p1")               # a batch replayed after its files went
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == now
+
+
+def test_an_unpublished_piece_is_hidden(spark, folder, monkeypatch):
+    rows = _logs(spark)
+    TB.write_piece(rows, folder, "log_events", "p1")
+    days = TB.dates_of(spark, folder, "log_events")
+    want = content_checksum(rows).first()
+
+    def die(*_, **__):
+        raise RuntimeError("lost driver")
+    monkeypatch.setattr(TB, "mark_folded", die)
+    with pytest.raises(RuntimeError):
+        TB.replace_pieces(rows, folder, "log_events", "s1", [(d, "p1") for d in days])
+    monkeypatch.undo()
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == want
+    assert {p for _, p in TB.list_pieces(spark, folder, "log_events", days)} == {"p1"}
+    TB.replace_pieces(rows, folder, "log_events", "s1", [(d, "p1") for d in days])
+    assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == want
+    assert {p for _, p in TB.list_pieces(spark, folder, "log_events", days)} == {"s1"}
+
+
+def test_a_swap_while_a_reader_lists_is_noticed(spark, folder):
+    rows = _logs(spark)
+    TB.write_piece(rows, folder, "log_events", "p1")
+    days = TB.dates_of(spark, folder, "log_events")
+    calls = []
+
+    def look():
+        calls.append(1)
+        if len(calls) == 1:
+            TB.replace_pieces(rows, folder, "log_events", "s1", [(d, "p1") for d in days])
+        return TB._stored_pieces(spark, folder, "log_events", days)
+    found, state = TB.settled(spark, folder, "log_events", look)
+    assert len(calls) == 2 and {(d, "p1") for d in days} == state.hidden()[0] and {p for _, p in found} == {"p1", "s1"}
+
+
 def test_live_range_is_refused_and_recorded(spark, folder):
     stored(spark, folder)
     with pytest.raises(BF.BackfillRefused):

@@ -1,8 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window as W, functions as F
 
-from telemill.functions.series import lagged, newest, trailing
+from telemill.functions.series import cut, lagged, newest, running, trailing
 from telemill.plans import delivery as D
 from telemill.sources.scrapes import read_scrapes
 
@@ -89,19 +90,57 @@ def _long(spark):
         (F.col("id") * 37 % 101).cast("double").alias("v"))
 
 
-def test_chunked_windows_equal_plain_windows(spark):
+@pytest.mark.parametrize("part_rows", [7, 40, 10_000])
+def test_chunked_windows_equal_plain_windows(spark, part_rows):
     df = _long(spark)
     w = W.partitionBy("k").orderBy("ts")
     plain = df.select("k", "ts", F.lag("v").over(w).alias("prev_v"),
                       F.max("v").over(w.rowsBetween(-4, 0)).alias("peak"),
                       F.sum("v").over(w.rowsBetween(-4, 0)).alias("total"))
-    got = lagged(df, ["k"], "ts", ["v"]).select("k", "ts", "prev_v").join(
-        trailing(df, ["k"], "ts", 4, {"peak": F.max("v"), "total": F.sum("v")}).drop("v"),
+    got = lagged(df, ["k"], "ts", ["v"], part_rows).select("k", "ts", "prev_v").join(
+        trailing(df, ["k"], "ts", 4, {"peak": F.max("v"), "total": F.sum("v")}, part_rows).drop("v"),
         ["k", "ts"])
     assert got.count() == 400 and got.exceptAll(plain).count() == 0
     assert newest(df, ["k"], "ts", 5).groupBy("k").count().filter("count > 5").count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [7, 40, 10_000])
+def test_running_sums_equal_plain_windows(spark, part_rows):
+    df = _long(spark).withColumn("k", F.when(F.col("k") != "s3", F.col("k"))).withColumn(
+        "ts", F.when(F.col("v") > 50, F.date_trunc("day", "ts")).otherwise(F.col("ts")))
+    w = W.partitionBy("k").orderBy("ts", "v").rowsBetween(W.unboundedPreceding, 0)
+    plain = df.select("k", "ts", "v", F.sum("v").over(w).alias("s"), F.count("*").over(w).alias("n"))
+    got = running(df, ["k"], "ts", {"s": F.col("v"), "n": F.lit(1)}, ("v",), part_rows)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_one_dense_hour_is_spread(spark):
+    """A series with one row a millisecond, all within an hour, goes to many tasks; a sparse one stays whole."""
+    dense = spark.range(20_000).select(F.lit("hot").alias("k"), F.timestamp_millis("id").alias("ts"), "id")
+    df = dense.unionByName(spark.range(50).select(F.lit("cold").alias("k"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"), "id"))
+    sizes = cut(df, ["k"], "ts", 1000).groupBy("k", "_part").count().collect()
+    hot = [r["count"] for r in sizes if r.k == "hot"]
+    assert len(hot) == 20 and max(hot) < 1100 and [r["count"] for r in sizes if r.k == "cold"] == [50]
+    steps = lagged(df, ["k"], "ts", ["id"], 1000)
+    assert steps.filter("k = 'hot' AND prev_id = id - 1").count() == 19_999
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = steps.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    import telemill.functions.series as module
+    assert "date_trunc" not in open(module.__file__).read()
+
+
+def test_runs_across_parts(spark):
+    modes = [("a", i, "idle" if i % 100 < 60 else "batch") for i in range(1000)] + [("b", i, "idle") for i in range(300)]
+    df = spark.createDataFrame(modes, "instance string, i long, mode string").withColumn("scrape_ts", F.timestamp_seconds("i"))
+    got = sorted((r.instance, r.segment, r.mode, r.ticks) for r in D.mode_segments(df, None, 33).collect())
+    assert got == [("a", i, ("idle", "batch")[i % 2], (60, 40)[i % 2]) for i in range(20)] + [("b", 0, "idle", 300)]
+
+
 def test_mode_segments(spark):
     modes = ["idle", "idle", "stream", "batch", "batch", "stream"]
     df = spark.createDataFrame([("c", T0 + dt.timedelta(seconds=i), m)
