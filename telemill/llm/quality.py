@@ -221,8 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS) -> Mo
         return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * share)
 
     sample = F.broadcast(rows.where(drawn("id", seen["n"], labelled, 1)))  # bounded by ``labelled``
-    known = _featured(docs.join(sample, F.col("doc_id") == F.col("id")).select(
-        whole().alias("text"), "label")).toPandas()
+    # One text for each labelled id, however often a row is repeated.
+    known = _featured(docs.select(F.col("doc_id").alias("_doc"), whole().alias("_text")).join(
+        sample, F.col("_doc") == F.col("id")).groupBy("id", "label").agg(F.min("_text").alias("text")).select("text", "label")).toPandas()
 
     def ordered(frame) -> Rows:  # whatever order the tasks came in
         rows = [(np.asarray(i, np.int32), np.asarray(v, np.float32)) for i, v in zip(frame["index"], frame["value"])]

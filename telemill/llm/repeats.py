@@ -69,7 +69,16 @@ def anchor_runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     hashes = _gram_hashes(data, gram)
     low = np.uint64(0xFFFFF)
     placed = (hashes & ~low) | (np.arange(len(hashes), dtype=np.uint64) & low)
-    least = _least(placed, length - gram + 1)
+    width = length - gram + 1
+    least = _least(placed, width)
+    # The low bits start anew at every 2^20 bytes.  Strings across such a place are looked at again with places of their
+    # own, so that of equal grams the first one wins wherever the string stands.
+    for edge in range(1 << 20, len(hashes), 1 << 20):
+        first, last = max(0, edge - width + 1), min(edge, len(least))
+        if first < last:
+            own = (hashes[first:last + width - 1] & ~low) | np.arange(last - first + width - 1, dtype=np.uint64)
+            found = _least(own, width)
+            least[first:last] = (found & ~low) | ((found & low) + np.uint64(first) & low)
     ends = np.cumsum(sizes)
     text = np.repeat(np.arange(len(texts)), sizes)[:len(least)]
     ok = np.arange(len(least)) + length <= ends[text]

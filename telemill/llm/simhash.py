@@ -252,11 +252,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 3, s
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` of which ``doc_id`` names its component, one of each repeated row, and rows without id."""
-    heads = near_duplicates(docs, distance).where(
-        "doc_id = component_id").select(F.col("doc_id").alias("head_id")).distinct()
-    kept = docs.where("doc_id is not null").join(heads, F.col("doc_id") == F.col("head_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` of which ``doc_id`` names its component, and rows without id.
+
+    Rows that agree in ``doc_id`` and text are one; different texts of one id all stay with it.
+    """
+    heads = near_duplicates(docs.select("doc_id", "text"), distance).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_head")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = docs.toDF(*names)
+    kept = plain.where(F.col(key).isNotNull()).join(heads, F.col(key) == F.col("_head"), "left_semi")
+    return kept.dropDuplicates([key, text]).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def as_hex(fp):

@@ -127,7 +127,9 @@ def _surprise(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Colum
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Learn the lexicon from ``labels(doc_id, toxic)``; the caller leaves held-out rows out."""
     sample = _sample(labels, most)  # at most about ``most`` rows: small enough to broadcast
-    train = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select(whole().alias("text"), "toxic")
+    # One text for each labelled id, however often a row is repeated.
+    train = docs.select(F.col("doc_id").alias("_doc"), whole().alias("_text")).join(
+        F.broadcast(sample), F.col("_doc") == F.col("id")).groupBy("id", "toxic").agg(F.min("_text").alias("text")).select("text", "toxic")
     counts = stage(train.mapInArrow(_class_counts, "token binary, clean long, toxic long").groupBy("token").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
     totals = {bytes(r["token"]): r for r in counts.where(F.col("token").isin(bytearray(b""), bytearray(b"*"))).collect()}
