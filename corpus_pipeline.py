@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines whose group of similar lines occurs earlier; ``n_chars`` follows the text."""
     prepare(spark)
-    kept = lines.keep_first(docs)
-    count = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    total, gone = lines.unused(docs, "_lines"), lines.unused(docs, "_dropped")
+    kept = lines.keep_first(docs, counts=(total, gone))
+    count = F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", count).select(*docs.columns)
 
 
