@@ -19,6 +19,8 @@ _PLAIN = re.compile(r"([.,;:!?|%$&*#()]*)([a-zß-öø-ÿ]*)([.,;:!?|%$&*#()]*)")
 _MARKS = frozenset(".,;:!?|%$&*#()")
 #: White space to one of the two sides only, the start of a special token, letters with two lower-case forms.
 _DOUBTFUL = (*map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)), "<|", "Σ", "İ")
+#: The byte-level alphabet: bytes that are no printable character of Latin-1 are shown as those from 256 on, in order.
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b < 33 or 126 < b < 161 or b == 173)}
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -39,11 +41,10 @@ class Encoder:
     """Encodes lists of texts.  ``room`` bounds the chunks remembered; a full memory starts anew."""
 
     def __init__(self, path: str, room: int = 800_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary_size = self.library.get_vocab_size()
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.room = room
         self.pieces: dict[str, tuple[int, ...]] = {}
         self._forget()
@@ -55,7 +56,7 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _piece(self, text: str) -> tuple[int, ...]:
-        shown = text if text.isascii() else self.byte_level.pre_tokenize_str(text)[0][0]
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(_SHOWN)
         ids = tuple(t.id for t in self.library.model.tokenize(shown))
         if len(self.pieces) >= self.room:
             self.pieces.clear()
