@@ -104,7 +104,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
     del histogram
     spots = {size: np.array(rows, np.int64).T for size, rows in placed.items()}
 
-    ranked = pieces.join(shares.select("part", "length", "ahead"), ["part", "length"]).select(
+    # A row for each task and length grows with the tasks, so it is dealt with the pieces, not broadcast.
+    ranked = pieces.join(shares.select("part", "length", "ahead").hint("merge"), ["part", "length"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("nth") + F.col("ahead")).alias("rank"), *(["ids"] if with_ids else []))
     spots = spark.sparkContext.broadcast(spots)  # its size is a matter of ``length``
