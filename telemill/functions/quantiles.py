@@ -54,7 +54,19 @@ def exact_quantiles(
     slots = values.groupBy(*keys, "_slot").agg(
         F.sum("_w").alias("_w"), F.max("_v").alias("_hi"),
         *[F.sum(f"_f_{name}").alias(f"_f_{name}") for name in flags])
+    # Both sides ask for the same columns, so that the source is read and shuffled once.
+    counted = values
+    for name in flags:
+        counted = counted.filter(F.col(f"_f_{name}") >= 0)
+    return from_slots(slots, counted, keys, quantiles, count=count, maximum=maximum, flags=tuple(flags))
+
+
+def from_slots(slots: DataFrame, values: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], *,
+               count: str = "n", maximum: str | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
+    """Quantiles from slot counts ``(keys, _slot, _w, _hi, _f_<flag>)``, refined once from the values of the slots hit.
 
+    ``values`` are ``(keys, _slot, _v, _w)``: distinct values and how often they occur.
+    """
     group = W.partitionBy(*keys)
     upto = group.orderBy("_slot").rowsBetween(W.unboundedPreceding, W.currentRow)
     slots = (
@@ -83,11 +95,7 @@ def exact_quantiles(
     same = F.lit(True)
     for k in [*keys, "_slot"]:
         same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    # Both sides ask for the same columns, so that the source is read and shuffled once.
-    counted = values
-    for name in flags:
-        counted = counted.filter(F.col(f"_f_{name}") >= 0)
-    joined = counted.select(*keys, "_slot", "_v", "_w").join(hits, same, "inner")
+    joined = values.select(*keys, "_slot", "_v", "_w").join(hits, same, "inner")
     ranked = joined.withColumn("_end", F.col("_before") + F.sum("_w").over(within))
     pick = [
         F.max(F.when((F.col("_end") - F.col("_w") <= F.col(f"_p_{name}"))

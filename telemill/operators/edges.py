@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from telemill.functions.columns import bucket
 
 
-def _edges(spans: DataFrame) -> DataFrame:
+def _edges(spans: DataFrame, wanted=None) -> DataFrame:
     """(window_start, src_service, dst_service, spans, errors) of spans with a parent.
 
-    ``spans`` needs trace_id, span_id, parent_span_id, service_name, is_error, window_start.
+    ``spans`` needs trace_id, span_id, parent_span_id, service_name, is_error, window_start.  Only children that are
+    ``wanted`` (a condition) count; their parents may be any span.
 
     * Parents collapse to one row per (trace, span): ids repeat across runs, and without
       this every child would match each historical copy of its parent.
@@ -20,7 +21,7 @@ def _edges(spans: DataFrame) -> DataFrame:
     parents = spans.groupBy("trace_id", "span_id").agg(
         F.min("service_name").alias("src_service"))
     children = (
-        spans.filter(F.col("parent_span_id") != "")
+        spans.filter(F.col("parent_span_id") != "").filter(F.lit(True) if wanted is None else wanted)
         .groupBy("trace_id", F.col("parent_span_id").alias("span_id"), "window_start",
                  F.col("service_name").alias("dst_service"))
         .agg(F.count("*").alias("spans"), F.count_if("is_error").alias("errors")))
@@ -110,5 +111,27 @@ def call_edges_from_rollup(edges_1m: DataFrame, since=None, limit: int | None =
                 .agg(F.sum("spans").alias("spans"), F.sum("errors").alias("errors")), limit)
 
 
+def call_edges_stitched(edges_1m: DataFrame, traces: DataFrame, covered: DataFrame, since=None,
+                        limit: int | None = 24, drop_self: bool = True) -> DataFrame:
+    """The board from the minute model on ``covered`` days and from bronze spans on all others, in one plan.
+
+    A child belongs to its own day; its parent may lie on any day of the window.
+    """
+    model, rows = edges_1m.join(covered, F.col("event_date") == F.col("covered_day"), "left_semi"), traces
+    if since is not None:
+        first = F.lit(since).cast("timestamp")
+        model = model.filter((F.col("window_start") > first) & (F.col("event_date") >= F.to_date(first)))
+        rows = rows.filter((F.col("Timestamp") > first) & (F.col("TimestampDate") >= F.to_date(first)))
+    spans = rows.join(covered, F.col("TimestampDate") == F.col("covered_day"), "left").select(
+        F.col("TraceId").alias("trace_id"), F.col("SpanId").alias("span_id"), F.col("ParentSpanId").alias("parent_span_id"),
+        F.col("ServiceName").alias("service_name"), (F.col("StatusCode") == "Error").alias("is_error"),
+        F.lit(None).cast("timestamp").alias("window_start"), F.col("covered_day").isNull().alias("open"))
+    both = model.select("src_service", "dst_service", "spans", "errors").unionByName(
+        _edges(spans, F.col("open")).drop("window_start"))
+    out = both.groupBy(F.col("src_service").alias("src"), F.col("dst_service").alias("dst")).agg(
+        F.sum("spans").alias("spans"), F.sum("errors").alias("errors"))
+    return _top(out.filter(F.col("src") != F.col("dst")) if drop_self else out, limit)
+
+
 def _top(edges: DataFrame, limit: int | None) -> DataFrame:
     return edges if limit is None else edges.orderBy(F.desc("spans"), "src", "dst").limit(limit)

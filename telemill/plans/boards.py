@@ -194,6 +194,32 @@ def contract_violations_from_rollup(key_presence: DataFrame, bronze: dict[str, D
     return _worst(joined, keys, limit)
 
 
+def contract_violations_stitched(key_sets: DataFrame, bronze: dict[str, DataFrame], covered: DataFrame,
+                                 keys=C.REQUIRED_RESOURCE_KEYS, limit: int | None = 10) -> DataFrame:
+    """Violations from counted key sets on ``covered`` days and from bronze on all others, in one plan.
+
+    A key set tells which keys a row lacks, so covered days are never read from bronze.
+    """
+    lacks = [~F.array_contains("keys", k) for k in keys]
+    any_lack = lacks[0]
+    for x in lacks[1:]:
+        any_lack = any_lack | x
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("rows"))), F.lit(0))
+    model = key_sets.join(covered, F.col("event_date") == F.col("covered_day"), "left_semi").groupBy(
+        F.col("service_name").alias("service")).agg(
+        F.sum("rows").alias("n"), *[count(x).alias(_slot(i)) for i, x in enumerate(lacks)], count(any_lack).alias("violating"))
+    m = "ResourceAttributes"
+    rows = _union(df.join(covered, F.col(BRONZE_DATE[t]) == F.col("covered_day"), "left_anti").select(
+        F.col("ServiceName").alias("service"), m) for t, df in bronze.items())
+    raw = rows.groupBy("service").agg(
+        F.count("*").alias("n"), *[F.count_if(~has_key(m, k)).alias(_slot(i)) for i, k in enumerate(keys)],
+        F.count_if(missing_any(m, keys)).alias("violating"))
+    both = model.unionByName(raw).groupBy("service").agg(
+        F.sum("n").alias("rows"), *[F.sum(_slot(i)).alias(_slot(i)) for i in range(len(keys))],
+        F.sum("violating").alias("violating"))
+    return _worst(both, keys, limit)
+
+
 def violation_share(violations: DataFrame) -> DataFrame:
     """Violating rows as a share of the producer's rows."""
     return violations.select(
@@ -226,6 +252,15 @@ def volume_buckets_from_rollup(volume: DataFrame, as_of, minutes: int | None,
                         bucket("window_start", width).alias("t")).agg(F.sum("rows").alias("n"))
 
 
+def volume_buckets_stitched(volume: DataFrame, logs: DataFrame, covered: DataFrame, as_of, minutes: int | None,
+                            width: str = "minute") -> DataFrame:
+    """Buckets from the volume model on ``covered`` days and from the logs on all others, in one plan."""
+    model = volume.join(covered, F.col("event_date") == F.col("covered_day"), "left_semi")
+    raw = logs.join(covered, F.col("TimestampDate") == F.col("covered_day"), "left_anti")
+    return volume_buckets_from_rollup(model, as_of, minutes, width).unionByName(
+        volume_buckets(raw, as_of, minutes, width)).groupBy("service", "t").agg(F.sum("n").alias("n"))
+
+
 def _start(as_of, minutes: int) -> Column:
     as_of = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     return as_of - F.make_dt_interval(mins=F.lit(minutes))

@@ -115,6 +115,31 @@ def resource_key_presence_1m(silver: dict[str, DataFrame], width: str = "minute"
     return _dated(_fold_keys(counted, VOLUME_KEYS))
 
 
+def key_sets_1m(silver: dict[str, DataFrame], width: str = "minute") -> DataFrame:
+    """Rows per bucket and set of attribute keys: what key presence and violations are answered from.
+
+    Producers use few sets, so a bucket has few rows; unlike counts per key they also tell how many rows lack any of
+    several keys.
+    """
+    rows = _all_signals(silver, width, F.coalesce(
+        F.map_keys("resource_attributes"), F.array().cast("array<string>")).alias("shape"))
+    shapes = rows.groupBy(*VOLUME_KEYS, "shape").agg(F.count("*").alias("c"))
+    # One set in another order of keys is the same set; sorting after the count sorts shapes, not rows.
+    return _dated(shapes.groupBy(*VOLUME_KEYS, F.sort_array("shape").alias("keys")).agg(F.sum("c").alias("rows")))
+
+
+def merge_key_sets(partials: DataFrame) -> DataFrame:
+    return partials.groupBy(*VOLUME_KEYS, "keys", "event_date").agg(F.sum("rows").alias("rows"))
+
+
+def key_presence_from_sets(sets: DataFrame) -> DataFrame:
+    """The presence model from counted key sets."""
+    present = F.concat(F.array(F.lit(None).cast("string")), F.col("keys"))
+    counted = sets.select(*VOLUME_KEYS, "rows", F.explode(present).alias("key")).groupBy(*VOLUME_KEYS, "key").agg(
+        F.sum("rows").alias("n"))
+    return _dated(_fold_keys(counted, VOLUME_KEYS))
+
+
 def merge_key_presence(partials: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or [*VOLUME_KEYS, "event_date"]
     entries = F.concat(

@@ -356,6 +356,17 @@ SELECT date_trunc('{W}', event_time) AS window_start, scenario, service_name, co
   max(severity_number) AS max_severity_number, count(DISTINCT trace_id) AS affected_trace_count,
   round(count(*) FILTER (is_error) / count(*), 6) AS error_log_rate
 FROM logs GROUP BY 1, 2, 3, 4""")
+O["log_health_merged"] = O["log_health_1m"]
+O["service_health_window"] = silver("""
+, ranked AS (SELECT service_name, duration_ms, is_error,
+    row_number() OVER (PARTITION BY service_name ORDER BY duration_ns) - 1 AS pos,
+    count(*) OVER (PARTITION BY service_name) AS n
+  FROM ops WHERE event_time >= date_trunc('minute', (SELECT max(ts) FROM events) - INTERVAL 10 DAY))
+SELECT service_name, count(*) AS ops, count(*) FILTER (is_error) AS errors,
+  max(duration_ms) FILTER (pos = n * 50 // 100) AS p50, max(duration_ms) FILTER (pos = n * 95 // 100) AS p95,
+  max(duration_ms) FILTER (pos = n * 99 // 100) AS p99, max(duration_ms) AS worst,
+  round(count(*) FILTER (is_error) / count(*), 5) AS error_rate
+FROM ranked GROUP BY 1""")
 O["trace_summary"] = more(TRACES, "SELECT * FROM traces")
 O["latest_traces"] = more(TRACES, """
 SELECT trace_id, span_count, error_span_count, entry_service, exit_service,
@@ -368,6 +379,7 @@ SELECT date_trunc('{W}', event_time) AS window_start, scenario, run_id, service_
   count(*) FILTER (signal = 'metric') AS metric_count,
   count(DISTINCT CASE WHEN metric_name <> '' THEN metric_name END) AS metric_name_count
 FROM everything GROUP BY 1, 2, 3, 4, 5""")
+O["telemetry_coverage_merged"] = O["telemetry_coverage_1m"]
 O["run_summary"] = more(RUNS, "SELECT * FROM runs")
 O["latest_runs"] = more(RUNS, "SELECT * FROM runs ORDER BY run_start DESC, scenario, run_id LIMIT 3")
 O["latest_error_logs"] = silver("""
@@ -1036,3 +1048,9 @@ counted AS (
     metric_kind FROM mets) GROUP BY 3)
 SELECT phase, target_table, strftime(d, '%Y-%m-%d') AS partition_id, n AS silver_rows_written,
   true AS agrees FROM counted WHERE d IN (SELECT d FROM days)""")
+
+# Stitched sources and counted key sets answer what the plain ones do.
+O["volume_band_stitched"] = O["volume_band_rollup"]
+O["call_edges_stitched"] = O["call_edges"]
+O["contract_violations_stitched"] = O["contract_violations"]
+O["key_presence_from_sets"] = O["resource_key_presence_1m"]

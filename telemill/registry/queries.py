@@ -14,7 +14,7 @@ from telemill.functions.series import running
 from telemill.operators import (
     backfill as BF, edges as E, graph as G, mapping, quality as Q, search as S, silver as SV,
     traces as TR, validation as VA)
-from telemill.plans import boards as B, delivery as D, rollups as R, views as VW
+from telemill.plans import boards as B, delivery as D, partials as P, rollups as R, views as VW
 from telemill.session import checkpoint_root
 from telemill.sources import (
     bridge, ndjson, otlp, scrapes, tables as TB, topology)
@@ -544,6 +544,36 @@ def log_health_1m(spark, sf):
                                  F.col("max_severity_number").cast("bigint")), "error_log_rate")
 
 
+def _halves(silver: dict[str, DataFrame], table: str) -> list[DataFrame]:
+    """A silver table as two batches that share minutes, producers and traces."""
+    half = F.pmod(F.xxhash64("event_time_ns", "service_name"), F.lit(2))
+    return [silver[table].filter(half == i) for i in (0, 1)]
+
+
+@query
+def log_health_merged(spark, sf):
+    """The log model from the partials of two batches."""
+    logs = _halves(bridge.silver(spark, sf), "log_events")
+    return _round(P.log_health_merged(_union(P.log_counts_1m(x, WIDTH) for x in logs),
+                                      _union(P.log_traces_1m(x, WIDTH) for x in logs)), "error_log_rate")
+
+
+@query
+def telemetry_coverage_merged(spark, sf):
+    """What each component sent, from the partials of two batches."""
+    silver = bridge.silver(spark, sf)
+    batches = zip(*([(t, x) for x in _halves(silver, t)] for t in C.SILVER_TABLES))
+    return P.telemetry_coverage_merged(_union(P.coverage_parts_1m(dict(b), WIDTH) for b in batches))
+
+
+@query
+def service_health_window(spark, sf):
+    """True latency quantiles of each producer over the last ten days, from the slot counts of two batches."""
+    ops = bridge.silver(spark, sf)["operation_executions"]
+    parts = _union(P.latency_slots_1m(x) for x in _halves({"o": ops}, "o"))
+    return P.service_health_window(parts, ops, _as_of(spark, sf) - F.make_dt_interval(days=F.lit(10)))
+
+
 @query
 def trace_summary(spark, sf):
     out = VW.trace_summary(bridge.silver(spark, sf)["operation_executions"])
@@ -654,6 +684,46 @@ def volume_band_rollup(spark, sf):
     return _series_text(_round(B.volume_band(buckets, 8), "sd"))
 
 
+def _covered(spark, sf):
+    """Days on which the models are taken to be complete: every second one."""
+    return bridge.read_events(spark, sf).select(F.to_date("ts").alias("covered_day")).distinct().filter(
+        F.pmod(F.datediff("covered_day", F.lit("2000-01-01").cast("date")), F.lit(2)) == 0)
+
+
+def _on(df: DataFrame, covered: DataFrame) -> DataFrame:
+    return df.join(covered, F.col("event_date") == F.col("covered_day"), "left_semi")
+
+
+@query
+def volume_band_stitched(spark, sf):
+    """The band with half of its days from a model that has only these, the other half from the logs."""
+    covered, bronze = _covered(spark, sf), bridge.bronze(spark, sf)
+    model = _on(R.volume_1m(bridge.silver(spark, sf), "hour"), covered)
+    buckets = B.volume_buckets_stitched(model, bronze["otel_logs"], covered, _as_of(spark, sf), 7 * 24 * 60, "hour")
+    return _series_text(_round(B.volume_band(buckets, 8), "sd"))
+
+
+@query
+def call_edges_stitched(spark, sf):
+    covered = _covered(spark, sf)
+    model = E.call_edges_1m(bridge.silver(spark, sf)["operation_executions"]).withColumn(
+        "event_date", F.to_date("window_start"))
+    return E.call_edges_stitched(_on(model, covered), bridge.bronze(spark, sf)["otel_traces"], covered)
+
+
+@query
+def contract_violations_stitched(spark, sf):
+    covered = _covered(spark, sf)
+    sets = _on(R.key_sets_1m(bridge.silver(spark, sf), WIDTH), covered)
+    return B.contract_violations_stitched(sets, bridge.bronze(spark, sf), covered)
+
+
+@query
+def key_presence_from_sets(spark, sf):
+    return R.key_presence_from_sets(R.key_sets_1m(bridge.silver(spark, sf), WIDTH)).select(
+        "window_start", "service_name", "signal", "rows", map_text("key_counts").alias("key_counts"))
+
+
 @query
 def service_health(spark, sf):
     out = VW.service_health(VW.service_health_1m(

@@ -72,6 +72,23 @@ ROLLUP_DDL = {
         "window_start timestamp, service_name string, signal string, rows bigint,"
         "key_counts map<string,bigint>, event_date date"),
 }
+# Partials of the read models: counts by latency slot, log counters, the traces of logs, what components sent.
+PARTIAL_DDL = {
+    "latency_slots_1m": (
+        "window_start timestamp, scenario string, service_name string, component_name string,"
+        "operation_name string, slot bigint, operations bigint, errors bigint, highest_ns bigint, event_date date"),
+    "log_counts_1m": (
+        "window_start timestamp, scenario string, service_name string, component_name string,"
+        "log_count bigint, error_log_count bigint, max_severity_number int, traces_sketch binary, event_date date"),
+    "log_traces_1m": (
+        "window_start timestamp, scenario string, service_name string, component_name string,"
+        "trace_id string, event_date date"),
+    "key_sets_1m": (
+        "window_start timestamp, service_name string, signal string, keys array<string>, rows bigint, event_date date"),
+    "coverage_parts_1m": (
+        "window_start timestamp, scenario string, run_id string, service_name string, component_name string,"
+        "span_count bigint, log_count bigint, metric_count bigint, metric_names array<string>, event_date date"),
+}
 LOOKUP_DDL = {
     "trace_id_ts": "TraceId string, Start timestamp, End timestamp, event_date date"}
 EDGE_DDL = ("window_start timestamp, src_service string, dst_service string, spans bigint,"

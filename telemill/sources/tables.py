@@ -43,6 +43,11 @@ LAYOUT = {
     "resource_key_presence_1m": ("window_start", "service_name", "signal"),
     "call_edges_1m": ("window_start", "src_service", "dst_service"),
     "trace_id_ts": ("TraceId",),
+    "latency_slots_1m": ("window_start", "service_name", "operation_name"),
+    "log_counts_1m": ("window_start", "service_name"),
+    "log_traces_1m": ("window_start", "service_name"),
+    "coverage_parts_1m": ("window_start", "service_name"),
+    "key_sets_1m": ("window_start", "service_name", "signal"),
 }
 # Point look-ups by id profit from a bloom filter in the footers.
 _BLOOM = {"otel_logs": "TraceId", "otel_traces": "TraceId",
@@ -55,7 +60,7 @@ def date_column(table: str) -> str:
 
 
 def table_ddl(table: str) -> str:
-    for source in (S.BRONZE_DDL, S.SILVER_DDL, S.ROLLUP_DDL, S.LOOKUP_DDL):
+    for source in (S.BRONZE_DDL, S.SILVER_DDL, S.ROLLUP_DDL, S.PARTIAL_DDL, S.LOOKUP_DDL):
         if table in source:
             return source[table]
     return S.EDGE_DDL
@@ -366,6 +371,29 @@ def dates_of(spark: SparkSession, root: str, table: str) -> list[str]:
     return sorted(n[len(date) + 1:] for n in names if n.startswith(f"{date}="))
 
 
+def _leaves(state: Swaps, day: str, piece: str) -> set[str]:
+    """The pieces that a piece of one day was folded from, through all folds; itself where it was written as it is."""
+    own = {p for r in state.records if r["into"] == piece for d, p in r["folded"] if d == day}
+    return set().union(*(_leaves(state, day, p) for p in own)) if own else {piece}
+
+
+def covered_days(spark: SparkSession, root: str, model: str, sources: tuple[str, ...]) -> DataFrame:
+    """``(covered_day)``: days on which ``model`` stands for every stored piece of its source tables.
+
+    A writer gives one batch the same piece name everywhere, so names tell; folded pieces count as what they were folded
+    from.  Only names are read.
+    """
+    def leaves(table: str, day: str) -> set[str]:
+        found, state = settled(spark, root, table, lambda: list_pieces(spark, root, table, [day]))
+        return set().union(*(_leaves(state, day, p) for _, p in found)) if found else set()
+
+    days = sorted({d for t in sources for d in dates_of(spark, root, t)})
+    folded = swaps(spark, root, model).folded()
+    full = [d for d in days if set().union(*(leaves(t, d) for t in sources)) <= leaves(model, d) | {
+        p for day, p in folded if day == d}]
+    return spark.createDataFrame([(d,) for d in full], "day string").select(F.to_date("day").alias("covered_day"))
+
+
 def drop_expired(spark: SparkSession, root: str, as_of,
                  days: dict[str, int] | None = None) -> list[tuple[str, str]]:
     """Delete the date partitions past retention; returns ``(table, date)`` of what went.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill import contract as C
 from telemill.operators import edges, mapping, silver as SV, validation
-from telemill.plans import rollups, views
+from telemill.plans import partials, rollups, views
 from telemill.sources import ndjson, tables as TB
 
 QUARANTINE = "quarantine"
@@ -31,7 +31,7 @@ def write_batch(signals: DataFrame, root: str, piece: str, policy: str = "warn",
     bronze = mapping.to_bronze(validation.apply_policy(checked, policy))
     base = SV.to_silver(bronze)
     lookup = {"trace_id_ts": views.trace_id_ts_partials(bronze["otel_traces"])}
-    for models in (bronze, base, rollups.all_rollups(base), lookup):
+    for models in (bronze, base, rollups.all_rollups(base), partials.all_partials(base), lookup):
         for table, rows in models.items():
             TB.write_piece(rows, root, table, piece)
     parse_error = F.col("parse_error") if "parse_error" in checked.columns else F.lit(None)
@@ -71,16 +71,32 @@ def stream_silver_base(signals: DataFrame) -> dict[str, DataFrame]:
 
 def merge_on_read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Rollup tables as readers see them: all pieces merged per key."""
-    out = {t: merge(TB.read_table(spark, root, t)) for t, merge in rollups.MERGERS.items()}
+    out = {t: merge(TB.read_table(spark, root, t)) for t, merge in {**rollups.MERGERS, **partials.MERGERS}.items()}
     out["trace_id_ts"] = views.merge_trace_id_ts(TB.read_table(spark, root, "trace_id_ts"))
     return out
 
 
 def compact_rollups(spark: SparkSession, root: str, dates: list[str], compaction_id: str):
-    for table, merge in {**rollups.MERGERS, "trace_id_ts": views.merge_trace_id_partials}.items():
+    for table, merge in {**rollups.MERGERS, **partials.MERGERS, "trace_id_ts": views.merge_trace_id_partials}.items():
         TB.compact(spark, root, table, compaction_id, dates, merge)
 
 
+def rebuild_partials(spark: SparkSession, root: str, dates: list[str], rebuild_id: str) -> None:
+    """Make the partials of some days anew from the silver rows stored now, after a backfill for example.
+
+    As in a backfill, target pieces are listed before source pieces, so a batch that lands meanwhile is either
+    in both lists or keeps its own partials.
+    """
+    old = {t: TB.list_pieces(spark, root, t, dates) for t in partials.MERGERS}
+    listed = {t: TB.list_pieces(spark, root, t, dates) for t in C.SILVER_TABLES}
+    silver = {t: TB.read_pieces(spark, root, t, x) for t, x in listed.items()}
+    for table, rows in partials.all_partials(silver).items():
+        covered = {*old[table], *(x for t in partials.SOURCES[table] for x in listed[t])}
+        staged = TB.stage(rows, root, f"{table}-{rebuild_id}")
+        TB.replace_pieces(staged, root, table, f"rebuilt-{rebuild_id}", sorted(covered), kind="rebuild")
+        TB.unstage(spark, root, f"{table}-{rebuild_id}")
+
+
 def compact_tables(spark: SparkSession, root: str, dates: list[str], compaction_id: str):
     """Fold the pieces of bronze and silver tables too; their rows stay as they are."""
     for table in (*C.BRONZE_TABLES, *C.SILVER_TABLES):
