@@ -52,9 +52,10 @@ def trace_search(traces: DataFrame, *, service: str | None = None, status: str |
 
 
 def metric_series(gauge: DataFrame, sums: DataFrame, metric: str | None = None,
-                  width: str = "minute") -> DataFrame:
+                  width: str = "minute", since=None, until=None) -> DataFrame:
     """Points of a metric over time, by bucket and producer; all metrics when unnamed."""
     def part(points: DataFrame, kind: str) -> DataFrame:
+        points = _between(points, "TimeUnix", since, until, "TimeUnixDate")
         return points.select(F.lit(kind).alias("metric_kind"), "MetricName", "ServiceName",
                              bucket("TimeUnix", width).alias("window_start"), "Value")
 

@@ -42,17 +42,22 @@ def trace_detail(traces: DataFrame, logs: DataFrame, trace_id: str,
 def trace_details(traces: DataFrame, logs: DataFrame, lookup: DataFrame) -> DataFrame:
     """The same for every trace of a look-up table (TraceId, Start, End).
 
-    Only rows inside the span of their trace count.  The look-up is usually aggregated by
-    trace id; joining on a fresh key column puts a plain exchange under both sides of the
-    join, the shape in which AQE splits the partition of a hot trace.
+    Only rows inside the span of their trace count.  The look-up is spread over the dates of each trace and joined on
+    date and id: where it is small its dates prune the partitions of both tables while the query runs, so
+    the files read follow the traces asked for.  A fresh key column puts a plain exchange under both
+    sides of a large join, the shape in which AQE splits the partition of a hot trace.
     """
-    wanted = lookup.select(F.concat(F.lit("t"), F.col("TraceId")).alias("trace_key"),
-                           "Start", "End")
-    rows = (_span_rows(traces).unionByName(_log_rows(logs)).filter(F.col("trace_id") != "")
-            .withColumn("trace_key", F.concat(F.lit("t"), F.col("trace_id"))))
-    return (rows.join(wanted, "trace_key")
-            .filter(F.col("ts").between(F.col("Start"), F.col("End")))
-            .select(*_SHAPE))
+    days = F.explode(F.sequence(F.to_date("Start"), F.to_date("End")))
+    wanted = lookup.filter(F.col("TraceId") != "").select("TraceId", "Start", "End", days.alias("trace_date")).select(
+        F.concat(F.lit("t"), F.col("TraceId")).alias("trace_key"), "Start", "End", "trace_date")
+
+    def found(rows: DataFrame) -> DataFrame:
+        keyed = rows.filter(F.col("trace_id") != "").withColumn("trace_key", F.concat(F.lit("t"), F.col("trace_id")))
+        return keyed.join(wanted, (F.col("event_date") == F.col("trace_date")) & (
+            keyed["trace_key"] == wanted["trace_key"])).filter(
+            F.col("ts").between(F.col("Start"), F.col("End"))).select(*_SHAPE)
+
+    return found(_span_rows(traces)).unionByName(found(_log_rows(logs)))
 
 
 def logs_with_trace(log_events: DataFrame, operations: DataFrame) -> DataFrame:

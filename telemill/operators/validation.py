@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from telemill import contract as C
 from telemill.functions.columns import computed_once, has_key
@@ -113,21 +115,57 @@ def policy_counts(validated: DataFrame, policies=C.POLICIES) -> DataFrame:
     return total.select(F.inline(rows))
 
 
-def signal_counts(validated: DataFrame) -> DataFrame:
-    """Logs, spans, metrics that passed, and the two kinds of error, in one row."""
+def _counts(columns: list[str]) -> list[Column]:
     ok = F.col("error_code").isNull()
-    if "parse_error" in validated.columns:
+    unread = F.lit(False)
+    if "parse_error" in columns:
         ok = ok & F.col("parse_error").isNull()
-        unread = F.count_if(F.col("parse_error").isNotNull())
-    else:
-        unread = F.lit(0).cast("bigint")
-    return validated.agg(
+        unread = F.col("parse_error").isNotNull()
+    return [
         F.count_if(ok & (F.col("signal_type") == "log")).alias("logs"),
         F.count_if(ok & (F.col("signal_type") == "span")).alias("spans"),
         F.count_if(ok & (F.col("signal_type") == "metric")).alias("metrics"),
-        unread.alias("parse_errors"),
+        F.count_if(unread).alias("parse_errors"),
         F.count_if(F.col("error_code").isNotNull()).alias("validation_errors"),
-    )
+    ]
+
+
+def signal_counts(validated: DataFrame) -> DataFrame:
+    """Logs, spans, metrics that passed, and the two kinds of error, in one row."""
+    return validated.agg(*_counts(validated.columns))
+
+
+def batch_gate(validated: DataFrame, batch: Column) -> DataFrame:
+    """The strict gate for many batches at once: the counts of each and whether it is refused as a whole."""
+    return validated.groupBy(batch.alias("batch")).agg(*_counts(validated.columns)).withColumn(
+        "refused", (F.col("parse_errors") > 0) | (F.col("validation_errors") > 0))
+
+
+#: Rules by which a reject is counted; a missing key counts as one rule, whichever key it is.
+REASONS = (INVALID_SEMVER, VERSION_MISMATCH, EMPTY_SERVICE_NAME, NEGATIVE_TIMESTAMP, INVALID_SPAN_INTERVAL,
+           INVALID_TRACE_ID, INVALID_SPAN_ID, EMPTY_METRIC_NAME, MISSING_RESOURCE_KEY)
+KINDS = ("log", "span", "metric")
+
+
+class Tally:
+    """Signal counts and the reject matrix, taken while a batch is written instead of by another scan."""
+
+    def __init__(self):
+        self._seen = Observation(f"tally-{uuid.uuid4().hex}")
+
+    def watch(self, validated: DataFrame) -> DataFrame:
+        """``validated``, observed: the figures are there once an action has written it."""
+        rule = F.substring_index("error_code", ":", 1)
+        cells = [F.count_if((rule == reason) & (F.col("signal_type") == kind)).alias(f"{reason}/{kind}")
+                 for reason in REASONS for kind in KINDS]
+        return validated.observe(self._seen, *_counts(validated.columns), *cells)
+
+    def counts(self) -> dict[str, int]:
+        return {n: v for n, v in self._seen.get.items() if "/" not in n}
+
+    def rejects(self) -> dict[tuple[str, str], int]:
+        """``{(reason, signal): rejected}`` of the rules that were broken."""
+        return {tuple(n.split("/")): v for n, v in self._seen.get.items() if "/" in n and v}
 
 
 class BatchRejected(ValueError):

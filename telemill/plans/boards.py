@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from telemill import contract as C
 from telemill.functions import verdicts as V
@@ -276,27 +276,23 @@ def _window(df: DataFrame, ts: Column, as_of, minutes: int | None, width: str) -
 def volume_band(buckets: DataFrame, limit: int | None = 8) -> DataFrame:
     """Distribution of a producer's bucket counts: median, deviation, presence, series.
 
-    Input is one row per (producer, bucket), so a window partition is as long as the window
+    Input is one row per (producer, bucket), so a producer's arrays are as long as the window
     has buckets, whatever the data volume.
     """
-    mine = W.partitionBy("service")
-    half = int_div(F.count("*").over(mine), 2) + 1
-    ranked = (
-        buckets.withColumn("_at", F.row_number().over(mine.orderBy("n")))
-        .withColumn("_half", half)
-        .withColumn("median", F.max(F.when(F.col("_at") == F.col("_half"), F.col("n")))
-                    .over(mine))
-        .withColumn("_dev", F.abs(F.col("n") - F.col("median")))
-        .withColumn("_dev_at", F.row_number().over(mine.orderBy("_dev"))))
-    estate = one_value(buckets, F.count_distinct("t"))
+    # Both uses of the buckets ask for the same columns, so that they are counted once.
+    estate = one_value(buckets, F.count_distinct(F.when(F.col("n") >= 0, F.col("t"))))
     point = F.struct(F.unix_seconds("t").alias("t"), F.col("n"))
-    out = ranked.groupBy("service").agg(
-        F.max("median").cast("double").alias("median"),
-        F.max(F.when(F.col("_dev_at") == F.col("_half"), F.col("_dev"))).cast("double")
-        .alias("mad"),
-        F.stddev_pop("n").alias("sd"), F.count("*").alias("seen"),
+    per = buckets.groupBy("service").agg(
+        F.sort_array(F.collect_list("n")).alias("_n"), F.stddev_pop("n").alias("sd"), F.count("*").alias("seen"),
         F.max_by("n", "t").alias("latest"), F.unix_seconds(F.max("t")).alias("latest_t"),
-        F.sort_array(F.collect_list(point)).alias("series")).withColumn("estate", estate)
+        F.sort_array(F.collect_list(point)).alias("series"))
+    # The middle of the sorted counts, then of their sorted distances from it.
+    half = int_div(F.col("seen"), 2).cast("int")
+    per = per.withColumn("_mid", F.get("_n", half)).withColumn(
+        "_dev", F.sort_array(F.transform("_n", lambda n: F.abs(n - F.col("_mid")))))
+    out = per.select(
+        "service", F.col("_mid").cast("double").alias("median"), F.get("_dev", half).cast("double").alias("mad"),
+        "sd", "seen", "latest", "latest_t", "series").withColumn("estate", estate)
     return _top(out, limit, F.desc("median"), "service")
 
 

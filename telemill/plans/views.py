@@ -155,7 +155,11 @@ def service_health(health: DataFrame, since=None, limit: int | None = 12) -> Dat
     The p50 is the mean of the minute medians, the tails are the worst minute: this is how
     the board defines them.
     """
-    rows = health if since is None else health.filter(F.col("window_start") >= F.lit(since))
+    rows = health
+    if since is not None:
+        rows = rows.filter(F.col("window_start") >= F.lit(since))
+        if "event_date" in rows.columns:
+            rows = rows.filter(F.col("event_date") >= F.to_date(F.lit(since)))
     out = rows.groupBy("service_name").agg(
         F.sum("operation_count").alias("ops"), F.sum("error_count").alias("errors"),
         F.round(F.avg("latency_p50_ms"), 1).alias("p50"),

@@ -157,6 +157,12 @@ SELECT count(*) FILTER (good AND kind = 'log') AS logs,
   count(*) FILTER (parse_error <> '') AS parse_errors,
   count(*) FILTER (error_code <> '') AS validation_errors
 FROM (SELECT *, parse_error = '' AND error_code = '' AS good FROM checked)""")
+O["strict_batch_gate"] = parsed("""
+SELECT *, parse_errors > 0 OR validation_errors > 0 AS refused FROM (
+  SELECT event_id // 7 AS batch, count(*) FILTER (good AND kind = 'log') AS logs,
+    count(*) FILTER (good AND kind = 'span') AS spans, count(*) FILTER (good AND kind = 'metric') AS metrics,
+    count(*) FILTER (parse_error <> '') AS parse_errors, count(*) FILTER (error_code <> '') AS validation_errors
+  FROM (SELECT *, parse_error = '' AND error_code = '' AS good FROM checked) GROUP BY 1)""")
 O["apply_policy"] = parsed("""
 SELECT p.policy, CASE WHEN p.policy = 'strict' THEN n - bad ELSE n END AS kept,
   CASE WHEN p.policy = 'off' THEN 0 ELSE bad END AS rejected
@@ -1054,3 +1060,7 @@ O["volume_band_stitched"] = O["volume_band_rollup"]
 O["call_edges_stitched"] = O["call_edges"]
 O["contract_violations_stitched"] = O["contract_violations"]
 O["key_presence_from_sets"] = O["resource_key_presence_1m"]
+O["live_partition_refusal"] = """
+SELECT 'phase1' AS phase, 'log_events' AS target_table, strftime(max(ts), '%Y-%m-%d') AS partition_id,
+  'refused' AS status FROM events"""
+O["trace_detail_all"] = O["trace_detail"].replace("HAVING count(*) FILTER (is_error) > 0", "")

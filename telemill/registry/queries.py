@@ -186,6 +186,12 @@ def validate_type_domain(spark, sf):
         "parse_error").agg(F.count("*").alias("n"))
 
 
+@query
+def strict_batch_gate(spark, sf):
+    """Which batches of seven lines the strict policy would refuse as a whole."""
+    return VA.batch_gate(_validated(spark, sf), F.floor(F.col("event_id") / 7).cast("long"))
+
+
 @query
 def apply_policy(spark, sf):
     return VA.policy_counts(_validated(spark, sf))
@@ -459,6 +465,13 @@ def service_path(spark, sf):
     return B.service_path(bridge.bronze(spark, sf))
 
 
+@query
+def trace_detail_all(spark, sf):
+    """Spans and logs of every trace."""
+    b = bridge.bronze(spark, sf)
+    return TR.trace_details(b["otel_traces"], b["otel_logs"], VW.trace_id_ts(b["otel_traces"]))
+
+
 @query
 def trace_detail(spark, sf):
     """Spans and logs of every trace that holds an error."""
@@ -1005,6 +1018,18 @@ def stream_ingest(spark, sf):
                                             "service_name", "signal", "rows")
 
 
+@query
+def live_partition_refusal(spark, sf):
+    """What the ledger says about a range that reaches the newest day."""
+    root = _folder(spark)
+    day = bridge.read_events(spark, sf).agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("d")).first()["d"]
+    try:
+        BF.backfill_base(spark, root, "1970-01-01", day, day, "r1")
+    except BF.BackfillRefused:
+        pass
+    return BF.read_ledger(spark, root).select("phase", "target_table", "partition_id", "status")
+
+
 @query
 def backfill(spark, sf):
     """Both phases over all complete days; the ledger they leave."""

@@ -24,10 +24,11 @@ def piece_of(batch_id: int, stream: str = "stream") -> str:
 
 
 def write_batch(signals: DataFrame, root: str, piece: str, policy: str = "warn",
-                required=C.REQUIRED_RESOURCE_KEYS) -> None:
-    """Everything one batch of parsed signals causes, as one idempotent piece."""
+                required=C.REQUIRED_RESOURCE_KEYS) -> validation.Tally:
+    """Everything one batch of parsed signals causes, as one idempotent piece; returns its counts, taken on the way."""
     spark = signals.sparkSession
-    checked = TB.stage(validation.validate(signals, required), root, f"batch-{piece}")
+    tally = validation.Tally()
+    checked = TB.stage(tally.watch(validation.validate(signals, required)), root, f"batch-{piece}")
     bronze = mapping.to_bronze(validation.apply_policy(checked, policy))
     base = SV.to_silver(bronze)
     lookup = {"trace_id_ts": views.trace_id_ts_partials(bronze["otel_traces"])}
@@ -44,6 +45,7 @@ def write_batch(signals: DataFrame, root: str, piece: str, policy: str = "warn",
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(TB.PIECE).parquet(f"{root}/{QUARANTINE}"))
     TB.unstage(spark, root, f"batch-{piece}")
+    return tally
 
 
 def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, *,
