@@ -100,7 +100,8 @@ def op3_warc(spark, sf_dir):
     prepare(spark)
     path = folder(spark, "warc")
     WA.write_pages(table(spark, sf_dir, "pages"), path)
-    records = WA.read(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    # Sizes and digests are those of the payloads read back; a revisit tells its response's.
+    records = WA.read(spark, path, payload=False, verify=True).where(F.col("record_type").isin("response", "revisit"))
     return records.select(
         WA.page_id_of("record_id").alias("page_id"), "payload_bytes",
         F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type",

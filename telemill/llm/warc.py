@@ -5,17 +5,19 @@ and each member says its compressed size in the ``sl`` extra field of ISO 28500,
 
 Reading plans one partition for some files, whole files and up to ``splitBytes`` together.  Of each record only the
 headers are unpacked first.  Equality, ``IN``, null and prefix filters on header columns (also the record type) are
-answered from these; the rest of an unwanted record is never unpacked, nor are payloads with ``payload`` set to
-``false``.  Files without the extra field are read too, member after member.
+answered from these; the rest of an unwanted record is never unpacked.  With ``payload`` set to ``false`` payloads are
+unpacked for their HTTP header, but not handed on.  With ``verify`` set to ``true`` size and digest of a record that has its
+payload are those of the bytes read, not those its headers state.  Files without the extra field are read too, member after member.
 
 Writing takes rows ``(record_type, record_id, target_uri, refers_to, payload_digest, payload)``.  A task writes files of
-up to ``fileBytes`` under a hidden name; the driver's commit gives them their names, an abort deletes them, so a
-lost task leaves nothing behind.  A revisit has no payload; its HTTP header still says how long that was.
+up to ``fileBytes`` under a hidden name, which readers pass over; the driver's commit gives those of the tasks that count their
+names, an abort deletes them.  A killed attempt may leave a hidden file behind.  A revisit has no payload; its HTTP header still says how long that was.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 import uuid
 import zlib
@@ -184,6 +186,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
+        self.verify = options.get("verify", "false").lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
         self.tests: list[tuple[str, str, object]] = []
 
@@ -231,17 +234,20 @@ class WarcReader(DataSourceReader):
                     if not self._wanted(headers):
                         continue
                     size = payload = None
+                    digest = headers.get("warc-payload-digest")
                     if headers.get("content-type", "").startswith("application/http"):
                         # The HTTP header begins the block; for a revisit it is all there is.
                         block = body()[:int(headers["content-length"])]
                         http, _, entity = block.partition(b"\r\n\r\n")
                         size = int(parse_headers(http).get("content-length", len(entity)))
+                        if self.verify and headers.get("warc-type") != "revisit":
+                            size, digest = len(entity), "sha1:" + base64.b32encode(hashlib.sha1(entity).digest()).decode()
                         payload = entity if self.payload and headers.get("warc-type") != "revisit" else None
                     elif self.payload:
                         payload = body()[:int(headers["content-length"])]
                         size = len(payload)
                     yield (headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"),
-                           headers.get("warc-date"), headers.get("warc-refers-to"), headers.get("warc-payload-digest"),
+                           headers.get("warc-date"), headers.get("warc-refers-to"), digest,
                            headers.get("content-type"), size, payload, path, offset)
 
 
@@ -353,6 +359,7 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     page_records(pages, least).write.format("warc").mode("append").option("path", path).save()
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option(
+        "verify", str(verify).lower()).load()

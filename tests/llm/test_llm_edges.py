@@ -1,11 +1,14 @@
 """Inputs that once broke operators: ties at batch places, documents of many lines, clashing column names, repeated ids."""
 
+import base64
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from telemill.llm import lines as LN, quality as QC, repeats as RP, simhash as SH, toxicity as TX
+from telemill.llm import lines as LN, quality as QC, repeats as RP, simhash as SH, toxicity as TX, warc as WA
 from telemill.llm.tokens import Encoder, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +98,18 @@ def test_byte_alphabet_of_the_encoder():
     texts = ["naïve Straße ÿþ ·«»­¬ ¡¿ ñandú œuvre żółć été, 日本語 ключ", "é" * 50, "a b ­x", "".join(map(chr, range(0xA1, 0x180)))]
     for text, ids in zip(texts, encoder.encode(texts)):
         assert list(ids) == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_verified_digests_are_those_of_the_bytes(spark, tmp_path):
+    good, bad = b"<html>good</html>", b"<html>altered</html>"
+    http = lambda body: b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(good) + body
+    stated = "sha1:" + base64.b32encode(hashlib.sha1(good).digest()).decode()
+    records = [WA.member(WA.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<r{i}>"), ("WARC-Payload-Digest", stated),
+                                    ("Content-Type", "application/http;msgtype=response")], http(body)))
+               for i, body in enumerate((good, bad))]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    for verify in (False, True):
+        rows = {r.record_id: r for r in WA.read(spark, f"file://{tmp_path}", False, verify).collect()}
+        assert rows["<r0>"].payload_digest == stated and rows["<r0>"].payload_bytes == len(good)
+        assert (rows["<r1>"].payload_digest == stated) != verify
+        assert rows["<r1>"].payload_bytes == (len(bad) if verify else len(good)) and rows["<r1>"].payload is None
