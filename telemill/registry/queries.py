@@ -18,7 +18,7 @@ from telemill.plans import boards as B, delivery as D, partials as P, rollups as
 from telemill.session import checkpoint_root
 from telemill.sources import (
     bridge, ndjson, otlp, scrapes, tables as TB, topology)
-from telemill.streaming import jobs
+from telemill.streaming import delivery, jobs
 
 WIDTH = "hour"
 BAND_WIDTH = "day"
@@ -1018,6 +1018,18 @@ def stream_ingest(spark, sf):
                                             "service_name", "signal", "rows")
 
 
+@query
+def stream_totals(spark, sf):
+    """What the stream counted of itself over several batches: its last tick."""
+    root = _folder(spark)
+    bridge.signal_lines(spark, sf).select("value").repartition(3).write.text(f"{root}/in")
+    jobs.stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", once=True, max_files=1).awaitTermination()
+    ticks = delivery.read_stream_ticks(spark, f"{root}/out")
+    names = ["ingested", "accepted", "rejected", "flushes", "export_errors",
+             *(f"{n}_{x}" for x in C.SIGNAL_LANES for n in ("in", "rj"))]
+    return ticks.groupBy("instance").agg(*[F.max_by(n, "scrape_ts").cast("long").alias(n) for n in names])
+
+
 @query
 def live_partition_refusal(spark, sf):
     """What the ledger says about a range that reaches the newest day."""

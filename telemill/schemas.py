@@ -91,6 +91,13 @@ PARTIAL_DDL = {
 }
 LOOKUP_DDL = {
     "trace_id_ts": "TraceId string, Start timestamp, End timestamp, event_date date"}
+# What each batch of a stream did, beside who ran it and when it ended: deltas, so that a replayed batch replaces its row.
+TICK_DDL = {
+    "stream_ticks": (
+        "instance string, scrape_ts timestamp, batch bigint, logs bigint, trace bigint, metrics bigint, unread bigint,"
+        "rejected_logs bigint, rejected_trace bigint, rejected_metrics bigint, persisted bigint, failed bigint,"
+        "seconds double, event_date date"),
+}
 EDGE_DDL = ("window_start timestamp, src_service string, dst_service string, spans bigint,"
             "errors bigint, event_date date")
 LEDGER_DDL = (

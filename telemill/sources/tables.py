@@ -48,6 +48,7 @@ LAYOUT = {
     "log_traces_1m": ("window_start", "service_name"),
     "coverage_parts_1m": ("window_start", "service_name"),
     "key_sets_1m": ("window_start", "service_name", "signal"),
+    "stream_ticks": ("instance", "scrape_ts"),
 }
 # Point look-ups by id profit from a bloom filter in the footers.
 _BLOOM = {"otel_logs": "TraceId", "otel_traces": "TraceId",
@@ -60,7 +61,7 @@ def date_column(table: str) -> str:
 
 
 def table_ddl(table: str) -> str:
-    for source in (S.BRONZE_DDL, S.SILVER_DDL, S.ROLLUP_DDL, S.PARTIAL_DDL, S.LOOKUP_DDL):
+    for source in (S.BRONZE_DDL, S.SILVER_DDL, S.ROLLUP_DDL, S.PARTIAL_DDL, S.LOOKUP_DDL, S.TICK_DDL):
         if table in source:
             return source[table]
     return S.EDGE_DDL

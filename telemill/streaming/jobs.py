@@ -9,12 +9,15 @@ and nothing is lost.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill import contract as C
 from telemill.operators import edges, mapping, silver as SV, validation
 from telemill.plans import partials, rollups, views
 from telemill.sources import ndjson, tables as TB
+from telemill.streaming import delivery
 
 QUARANTINE = "quarantine"
 
@@ -58,7 +61,13 @@ def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str,
     signals = ndjson.parse_signals(reader.text(source))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, root, piece_of(batch_id, stream), policy)
+        begun, piece = time.monotonic(), piece_of(batch_id, stream)
+        try:
+            tally = write_batch(batch, root, piece, policy)
+        except Exception:
+            delivery.record_failure(batch.sparkSession, root, piece, stream, batch_id, time.monotonic() - begun)
+            raise
+        delivery.record_batch(batch.sparkSession, root, piece, stream, batch_id, tally, policy, time.monotonic() - begun)
 
     writer = signals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(
