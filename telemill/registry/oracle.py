@@ -1067,6 +1067,6 @@ O["trace_detail_all"] = O["trace_detail"].replace("HAVING count(*) FILTER (is_er
 _LANES = {"logs": "log", "trace": "span", "metrics": "metric"}
 O["stream_totals"] = parsed("""
 SELECT 'stream' AS instance, count(*) AS ingested, count(*) AS accepted, count(*) FILTER (error_code <> '') AS rejected,
-  3 AS flushes, 0 AS export_errors, """ + ", ".join(
+  2 AS flushes, 0 AS export_errors, """ + ", ".join(
     f"count(*) FILTER (kind = '{k}') AS in_{x}, count(*) FILTER (kind = '{k}' AND error_code <> '') AS rj_{x}"
     for x, k in _LANES.items()) + " FROM checked WHERE parse_error = ''")

@@ -1022,7 +1022,7 @@ def stream_ingest(spark, sf):
 def stream_totals(spark, sf):
     """What the stream counted of itself over several batches: its last tick."""
     root = _folder(spark)
-    bridge.signal_lines(spark, sf).select("value").repartition(3).write.text(f"{root}/in")
+    bridge.signal_lines(spark, sf).select("value").repartition(2).write.text(f"{root}/in")
     jobs.stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", once=True, max_files=1).awaitTermination()
     ticks = delivery.read_stream_ticks(spark, f"{root}/out")
     names = ["ingested", "accepted", "rejected", "flushes", "export_errors",
