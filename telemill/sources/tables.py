@@ -25,6 +25,8 @@ from telemill.operators import mapping
 PIECE = "piece"
 #: Seconds for which replaced pieces stay readable.
 GRACE_SECONDS = 3600
+#: Endings of swap records, and of those whose replaced pieces are deleted.
+_RECORD, _DONE = ".json", ".done.json"
 
 # Sort keys inside files, so that row-group statistics can prune.
 LAYOUT = {
@@ -119,8 +121,10 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 
 @lru_cache(maxsize=4096)
 def _record_text(spark: SparkSession, path: str) -> str:
-    """Records never change, so each is read once."""
+    """Records never change, so each is read once.  One that was marked as cleared meanwhile has another name."""
     target, fs = _path(spark, path)
+    if not fs.exists(target) and not path.endswith(_DONE):
+        return _record_text(spark, path[:-len(_RECORD)] + _DONE)
     stream = fs.open(target)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -145,9 +149,6 @@ class Swaps:
         return kept, set(self.pending) - {r["into"] for r in self.records}
 
 
-_RECORD, _DONE = ".json", ".done.json"
-
-
 def swaps(spark: SparkSession, root: str, table: str) -> Swaps:
     names = [n for n in _names(spark, f"{root}/_swaps/{table}") if n.endswith(_RECORD) and not n.startswith(".")]
     pending = [n for n in _names(spark, f"{root}/_pending/{table}") if not n.startswith(".")]

@@ -182,6 +182,11 @@ def test_a_plan_made_before_a_swap_reads_the_old_rows_once(spark, folder):
     assert TB.vacuum(spark, folder, "log_events", 0) == 1 and TB.vacuum(spark, folder, "log_events", 0) == 0
     assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == now
     assert {p for d in days for _, p in TB._stored_pieces(spark, folder, "log_events", [d])} == {"s1"}
+    # A reader that listed a record before it was marked still finds it.
+    name = TB.swaps(spark, folder, "log_events").names[0]
+    TB._record_text.cache_clear()
+    assert TB._record_text(spark, f"{folder}/_swaps/log_events/{name.replace('.done.json', '.json')}") == (
+        TB._record_text(spark, f"{folder}/_swaps/log_events/{name}"))
     TB.write_piece(a, folder, "log_events", "p1")               # a batch replayed after its files went
     assert content_checksum(TB.read_table(spark, folder, "log_events")).first() == now
 
