@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def row_hash(df: DataFrame) -> Column:
-    """64-bit hash of all columns; maps are hashed as their sorted entries."""
+def row_hash(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
+    """64-bit hash of all columns but those to ``skip``; maps are hashed as their sorted entries."""
     parts = []
-    for f in sorted(df.schema.fields, key=lambda f: f.name):
+    for f in sorted((f for f in df.schema.fields if f.name not in skip), key=lambda f: f.name):
         c = F.col(f"`{f.name}`")
         parts.append(F.sort_array(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c)
     return F.xxhash64(*parts)
 
 
-def content_checksum(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def content_checksum(df: DataFrame, by: list[str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """Row count and sum of row hashes, of the table or per group.  Empty tables hash to 0."""
-    hashed = df.select(*(by or []), row_hash(df).cast("decimal(28,0)").alias("_h"))
+    hashed = df.select(*(by or []), row_hash(df, skip).cast("decimal(28,0)").alias("_h"))
     return hashed.groupBy(*(by or [])).agg(
         F.count("*").alias("rows"),
         F.coalesce(F.sum("_h"), F.lit(0)).cast("decimal(38,0)").alias("content_hash"))

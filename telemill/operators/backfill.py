@@ -1,22 +1,21 @@
 """Rebuild whole days of silver and rollup tables from what lies below them.
 
 A range of days is one Spark job per table.  Every day is rebuilt in a staging folder,
-compared by checksum with an independently written projection, and only then replaces the
-live partition, all days of a table in one step.  Each step leaves a ledger row.
+compared with what it was built from by additive facts (``proofs``), its sources with their sealed
+checksums (``sums``), and only then replaces the live partition, all days of a table in one step.  Each step leaves a
+ledger row.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telemill import contract as C, schemas as S
-from telemill.functions.checksum import content_checksum
-from telemill.operators import silver as SV
+from telemill.operators import proofs as PR, silver as SV
 from telemill.plans import rollups
-from telemill.sources import tables as TB
+from telemill.sources import sums as SM, tables as TB
 
 LEDGER = "backfill_runs"
 PHASE_1, PHASE_2 = "phase1", "phase2"
@@ -100,135 +99,32 @@ def rollup_ready_gate(base_days: DataFrame, ledger: DataFrame,
                        .alias("missing"))
 
 
-# -- the independent formulations --------------------------------------------
-
-_DIMS = f"""
-  coalesce(try_element_at(ResourceAttributes, '{C.KEY_SCENARIO}'), '') AS scenario,
-  coalesce(try_element_at(ResourceAttributes, '{C.KEY_RUN_ID}'), '') AS run_id,
-  coalesce(try_element_at(ResourceAttributes, '{C.KEY_PROVIDER}'), '') AS cloud_provider,
-  coalesce(lower(try_element_at(ResourceAttributes, '{C.KEY_SYNTHETIC}')) = 'true', false)
-    AS is_synthetic,
-  coalesce(try_element_at(ResourceAttributes, '{C.KEY_CONTRACT_VERSION}'), '')
-    AS contract_version,
-  ServiceName AS service_name"""
-
-
-def _metric_sql(kind: str) -> str:
-    return f"""
-SELECT TimeUnix AS event_time, TimeUnixNs AS event_time_ns, StartTimeUnix AS start_time, {_DIMS},
-  coalesce(try_element_at(Attributes, '{C.KEY_COMPONENT_NAME}'), '') AS component_name,
-  coalesce(try_element_at(Attributes, '{C.KEY_COMPONENT_TYPE}'), '') AS component_type,
-  MetricName AS metric_name, '{kind}' AS metric_kind,
-  if(MetricUnit <> '', MetricUnit, coalesce(try_element_at(Attributes, 'unit'), ''))
-    AS metric_unit,
-  Value AS value, coalesce(try_element_at(Attributes, 'status'), '') AS status,
-  ResourceAttributes AS resource_attributes, Attributes AS metric_attributes,
-  TimeUnixDate AS event_date
-FROM {{otel_metrics_{kind}}}"""
-
-
-CANONICAL = {
-    "operation_executions": f"""
-SELECT Timestamp AS event_time, TimestampNs AS event_time_ns,
-  timestamp_micros((TimestampNs + Duration - pmod(TimestampNs + Duration, 1000)) div 1000)
-    AS end_time, TimestampNs + Duration AS end_time_ns, {_DIMS},
-  coalesce(try_element_at(SpanAttributes, '{C.KEY_COMPONENT_NAME}'), '') AS component_name,
-  coalesce(try_element_at(SpanAttributes, '{C.KEY_COMPONENT_TYPE}'), '') AS component_type,
-  SpanName AS operation_name, TraceId AS trace_id, SpanId AS span_id,
-  ParentSpanId AS parent_span_id, Duration AS duration_ns, Duration / 1000000.0D AS duration_ms,
-  StatusCode AS status_code, StatusCode = 'Error' AS is_error,
-  ResourceAttributes AS resource_attributes, SpanAttributes AS operation_attributes,
-  TimestampDate AS event_date
-FROM {{otel_traces}}""",
-    "log_events": f"""
-SELECT Timestamp AS event_time, TimestampNs AS event_time_ns, {_DIMS},
-  coalesce(try_element_at(LogAttributes, '{C.KEY_COMPONENT_NAME}'), '') AS component_name,
-  SeverityText AS severity_text, SeverityNumber AS severity_number,
-  SeverityNumber >= {C.ERROR_SEVERITY_NUMBER}
-    OR upper(SeverityText) IN {C.ERROR_SEVERITY_TEXTS} AS is_error,
-  Body AS body, TraceId AS trace_id, SpanId AS span_id,
-  ResourceAttributes AS resource_attributes, LogAttributes AS log_attributes,
-  TimestampDate AS event_date
-FROM {{otel_logs}}""",
-    "metric_observations": _metric_sql("gauge") + "\nUNION ALL\n" + _metric_sql("sum"),
-    "metric_stats_1m": """
-SELECT date_trunc('MINUTE', event_time) AS window_start, scenario, service_name,
-  component_name, metric_name, metric_kind, count(*) AS sample_count, sum(value) AS sum_value,
-  sum(value * value) AS sum_squares, min(value) AS min_value, max(value) AS max_value,
-  to_date(date_trunc('MINUTE', event_time)) AS event_date
-FROM {metric_observations} GROUP BY 1, 2, 3, 4, 5, 6, 12""",
-    "volume_1m": " UNION ALL ".join(f"""
-SELECT date_trunc('MINUTE', event_time) AS window_start, service_name, '{signal}' AS signal,
-  count(*) AS rows, to_date(date_trunc('MINUTE', event_time)) AS event_date
-FROM {{{table}}} GROUP BY 1, 2, 5""" for table, signal in rollups.SIGNAL_OF.items()),
-    "resource_key_presence_1m": " UNION ALL ".join(f"""
-SELECT n.window_start, n.service_name, '{signal}' AS signal, n.rows,
-  coalesce(k.key_counts, cast(map() AS map<string,bigint>)) AS key_counts,
-  to_date(n.window_start) AS event_date
-FROM (SELECT date_trunc('MINUTE', event_time) AS window_start, service_name, count(*) AS rows
-      FROM {{{table}}} GROUP BY 1, 2) n
-LEFT JOIN (SELECT window_start, service_name,
-             map_from_entries(sort_array(collect_list(struct(key, c)))) AS key_counts
-           FROM (SELECT date_trunc('MINUTE', event_time) AS window_start, service_name, key,
-                   count(*) AS c
-                 FROM {{{table}}} LATERAL VIEW explode(map_keys(resource_attributes)) x AS key
-                 GROUP BY 1, 2, 3) GROUP BY 1, 2) k
-  ON n.window_start = k.window_start AND n.service_name = k.service_name"""
-                                           for table, signal in rollups.SIGNAL_OF.items()),
-}
-_FLOAT_SUMS = ("sum_value", "sum_squares")
-
-
-def canonical(spark: SparkSession, table: str, sources: dict[str, DataFrame]) -> DataFrame:
-    used = {n: df for n, df in sources.items() if "{" + n + "}" in CANONICAL[table]}
-    return spark.sql(CANONICAL[table], **used)
-
-
 # -- the job ------------------------------------------------------------------
 
 
-def _per_day(df: DataFrame) -> dict[str, dict]:
-    """Rows, content hash and float totals per day.
-
-    A float sum depends on the order of addition, so those columns stay out of the hash and
-    are compared as totals with a relative tolerance.
-    """
-    floats = [c for c in _FLOAT_SUMS if c in df.columns]
-    day = F.col("event_date").cast("string").alias("_day")
-    digest = content_checksum(df.drop(*floats).withColumn("_day", day), ["_day"])
-    if floats:
-        digest = digest.join(df.groupBy(day).agg(*[F.sum(c).alias(c) for c in floats]), "_day")
-    return {r["_day"]: r.asDict() for r in digest.collect()}
+def _in_range(df: DataFrame, name: str, days: list[str]) -> DataFrame:
+    return df.filter(F.col(TB.date_column(name)).isin([dt.date.fromisoformat(d) for d in days]))
 
 
-_NOTHING = {"rows": 0, "content_hash": 0}
+def _shape(schema) -> list[tuple[str, str]]:
+    return sorted((f.name, f.dataType.simpleString()) for f in schema.fields)
 
 
-def _equal(actual: dict, expected: dict) -> bool:
-    return int(actual["content_hash"]) == int(expected["content_hash"]) and all(
-        math.isclose(actual[c], expected[c], rel_tol=1e-9)
-        for c in _FLOAT_SUMS if c in actual and c in expected)
+def _expected(table: str, source: dict[str, DataFrame]) -> dict[str, dict]:
+    """Facts of the sources by day, and by source what was read of it."""
+    base = table in _SOURCES
+    return {n: PR.collect(PR.bronze_facts(n, df) if base else PR.source_facts(table, n, df)) for n, df in source.items()}
 
 
-def _counts(df_by_name: dict[str, DataFrame]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for name, df in df_by_name.items():
-        day = F.col(TB.date_column(name)).cast("string")
-        for r in df.groupBy(day.alias("d")).agg(F.count("*").alias("n")).collect():
-            out[r["d"]] = out.get(r["d"], 0) + r["n"]
+def _sealed(spark, root: str, listed: dict[str, list]) -> dict[str, dict[str, tuple]]:
+    """Rows and hash by source and day, as sealed; pieces that were not are now."""
+    out = {}
+    for name, pieces in listed.items():
+        SM.seal(spark, root, name, pieces)
+        out[name] = {r["day"]: (r["rows"], int(r["content_hash"])) for r in SM.by_day(spark, root, name, pieces).collect()}
     return out
 
 
-def _in_range(df: DataFrame, name: str, days: list[str]) -> DataFrame:
-    return df.filter(F.col(TB.date_column(name)).isin([dt.date.fromisoformat(d) for d in days]))
-
-
-def same_structure(a: DataFrame, b: DataFrame) -> bool:
-    def shape(df):
-        return sorted((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    return shape(a) == shape(b)
-
-
 def _rebuild(spark, root, table, phase, run_id, days, names, build) -> None:
     """Rebuild some days of a table from exactly the source pieces that are stored now.
 
@@ -240,35 +136,40 @@ def _rebuild(spark, root, table, phase, run_id, days, names, build) -> None:
     old = TB.list_pieces(spark, root, table, days)
     listed = {n: TB.list_pieces(spark, root, n, days) for n in names}
     sources = {n: TB.read_pieces(spark, root, n, listed[n]) for n in names}
-    before = _counts({n: _in_range(sources[n], n, days) for n in names})
+    seals = _sealed(spark, root, listed)
+    before = {d: sum(own.get(d, (0, 0))[0] for own in seals.values()) for d in days}
     common = {"run_id": run_id, "phase": phase, "target_table": table}
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     _record(spark, root, [{**common, "partition_id": d, "status": "running",
-                           "bronze_rows_before": before.get(d, 0),
-                           "bronze_rows_after": before.get(d, 0)} for d in days])
+                           "bronze_rows_before": before[d],
+                           "bronze_rows_after": before[d]} for d in days])
     source = {n: _in_range(df, n, days) for n, df in sources.items()}
     staging = f"{root}/_staging/{table}-{run_id}"
     build(source).write.mode("overwrite").parquet(staging)
     staged = spark.read.schema(TB.table_ddl(table)).parquet(staging)
-    expected_rows = canonical(spark, table, source)
-    target = TB.read_table(spark, root, table)
-    if not (same_structure(spark.read.parquet(staging), target)
-            and same_structure(expected_rows, target)):
+    if _shape(spark.read.parquet(staging).schema) != _shape(TB.read_table(spark, root, table).schema):
         _record(spark, root, [{**common, "partition_id": d, "status": "failed"} for d in days])
         raise BackfillFailed(f"staging structure differs for {table}")
-    actual, expected = _per_day(staged), _per_day(expected_rows)
-    after = _counts({n: _in_range(sources[n], n, days) for n in names})
+    parts = _expected(table, source)
+    expected = PR.added(list(parts.values()))
+    actual = PR.collect(PR.silver_facts(table, staged, names) if table in _SOURCES else PR.rollup_facts(table, staged))
 
     done, bad, ledger = [], [], []
     for d in days:
-        have, wanted = actual.get(d, _NOTHING), expected.get(d, _NOTHING)
-        good = _equal(have, wanted) and before.get(d, 0) == after.get(d, 0)
-        (done if good else bad).append(d)
-        ledger.append({**common, "partition_id": d, "bronze_rows_before": before.get(d, 0),
-                       "bronze_rows_after": after.get(d, 0), "silver_rows_written": have["rows"],
-                       "content_hash": int(have["content_hash"]),
-                       "expected_hash": int(wanted["content_hash"]), "started_at": started,
-                       "status": "ok" if good else "failed"})
+        have, wanted = actual.get(d, {}), expected.get(d, {})
+        off = PR.differences(have, wanted)
+        for n, own in parts.items():
+            read = own.get(d, {})
+            if (read.get("source_rows", 0), int(read.get("source_hash", 0))) != seals[n].get(d, (0, 0)):
+                off.append(f"{n} as sealed")
+        if off:
+            bad.append(f"{d} ({', '.join(off)})")
+        else:
+            done.append(d)
+        ledger.append({**common, "partition_id": d, "bronze_rows_before": before[d],
+                       "bronze_rows_after": wanted.get("source_rows", 0), "silver_rows_written": have.get("stored_rows", 0),
+                       "content_hash": PR.fingerprint(have), "expected_hash": PR.fingerprint(wanted),
+                       "started_at": started, "status": "failed" if off else "ok"})
     if done:
         piece = f"backfill-{run_id}"
         covered = {x for part in [old, *listed.values()] for x in part
@@ -278,7 +179,7 @@ def _rebuild(spark, root, table, phase, run_id, days, names, build) -> None:
         TB.vacuum(spark, root, table)
     _record(spark, root, ledger)
     if bad:
-        raise BackfillFailed(f"{table}: days differ from the expected content: {', '.join(bad)}")
+        raise BackfillFailed(f"{table}: days differ from their sources: {', '.join(bad)}")
 
 
 def _days(present: DataFrame) -> list[str]:

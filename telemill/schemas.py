@@ -106,6 +106,9 @@ LEDGER_DDL = (
     "content_hash decimal(38,0), expected_hash decimal(38,0), started_at timestamp,"
     "finished_at timestamp, status string")
 
+# Checksums of stored pieces; ``version`` counts the marks of rewrites a piece had when it was read.
+SUMS_DDL = "piece string, rows bigint, content_hash decimal(38,0), version int, day string"
+
 # OTLP/JSON.  64-bit integers travel as strings in that encoding and as numbers from
 # some senders; both read as string here and are cast.
 _VALUE = ("struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,"

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -79,6 +80,7 @@ def write_piece(df: DataFrame, root: str, table: str, piece: str) -> None:
     """
     date = date_column(table)
     folded = folded_days(df.sparkSession, root, table, piece)
+    again = _mark_rewrite(df.sparkSession, root, table, piece)
     if folded:
         df = df.filter(~F.col(date).cast("string").isin(folded))
     writer = (
@@ -91,6 +93,28 @@ def write_piece(df: DataFrame, root: str, table: str, piece: str) -> None:
     if table in _BLOOM:
         writer = writer.option(f"parquet.bloom.filter.enabled#{_BLOOM[table]}", "true")
     writer.parquet(f"{root}/{table}")
+    if again:
+        _mark_rewrite(df.sparkSession, root, table, piece)
+
+
+def sums_path(root: str, table: str) -> str:
+    return f"{root}/_sums/{table}"
+
+
+def _mark_rewrite(spark: SparkSession, root: str, table: str, piece: str) -> bool:
+    """Note that a stored piece is written again, where checksums are kept; whether it is."""
+    if not exists(spark, sums_path(root, table)) or not any(
+            p == piece for _, p in _stored_pieces(spark, root, table, dates_of(spark, root, table))):
+        return False
+    mark, fs = _path(spark, f"{root}/_rewrites/{table}/{uuid.uuid4().hex}-{piece}")
+    fs.mkdirs(mark.getParent())
+    fs.create(mark, True).close()
+    return True
+
+
+def rewrites(spark: SparkSession, root: str, table: str) -> dict[str, int]:
+    """How often pieces were marked as written again."""
+    return dict(Counter(n.split("-", 1)[1] for n in _names(spark, f"{root}/_rewrites/{table}") if not n.startswith(".")))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -216,11 +240,12 @@ def list_pieces(spark: SparkSession, root: str, table: str,
 
 
 def read_pieces(spark: SparkSession, root: str, table: str,
-                listed: list[tuple[str, str]]) -> DataFrame:
+                listed: list[tuple[str, str]], keep_piece: bool = False) -> DataFrame:
     """Exactly the listed pieces; what arrives later is not read."""
+    own = f", {PIECE} string" if keep_piece else ""
     if not listed:
-        return spark.createDataFrame([], table_ddl(table))
-    columns = [f.split()[0] for f in _split(table_ddl(table))]
+        return spark.createDataFrame([], table_ddl(table) + own)
+    columns = [f.split()[0] for f in _split(table_ddl(table) + own)]
     rows = spark.read.schema(f"{table_ddl(table)}, {PIECE} string").parquet(f"{root}/{table}")
     wanted = spark.createDataFrame(listed, f"_day string, {PIECE} string")
     dates = sorted({day for day, _ in listed})
@@ -329,9 +354,11 @@ def apply_column_map(signals: DataFrame, kind: str, columns: dict[str, str] | No
 
 
 def compact(spark: SparkSession, root: str, table: str, compaction_id: str, dates: list[str],
-            merge=None) -> None:
+            merge=None, check=None) -> None:
     """Fold the pieces some dates have now into one, merging partial aggregates when told how.
 
+    ``check(staged, listed)`` is called before the swap and may raise.
+
     The list of pieces is stored first, then exactly these are read, staged and replaced in one
     step; a piece that arrives at any time after the listing stays.  A run that
     dies later resumes from its list and its finished staging folder.  Give every compaction an
@@ -348,8 +375,10 @@ def compact(spark: SparkSession, root: str, table: str, compaction_id: str, date
         if not exists(spark, f"{staging}/_SUCCESS"):
             rows = read_pieces(spark, root, table, listed)
             (merge(rows) if merge else rows).write.mode("overwrite").parquet(staging)
-        replace_pieces(spark.read.schema(table_ddl(table)).parquet(staging), root, table,
-                       compaction_id, listed)
+        staged = spark.read.schema(table_ddl(table)).parquet(staging)
+        if check:
+            check(staged, listed)
+        replace_pieces(staged, root, table, compaction_id, listed)
     vacuum(spark, root, table)
     unstage(spark, root, f"{table}-{compaction_id}")
     unstage(spark, root, f"{table}-{compaction_id}-pieces")
@@ -414,5 +443,7 @@ def drop_expired(spark: SparkSession, root: str, as_of,
                 path = spark._jvm.org.apache.hadoop.fs.Path(
                     f"{root}/{table}/{date_column(table)}={day}")
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                sums, fs = _path(spark, f"{sums_path(root, table)}/day={day}")
+                fs.delete(sums, True)
                 gone.append((table, day))
     return gone
