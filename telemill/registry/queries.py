@@ -17,7 +17,7 @@ from telemill.operators import (
 from telemill.plans import boards as B, delivery as D, partials as P, rollups as R, views as VW
 from telemill.session import checkpoint_root
 from telemill.sources import (
-    bridge, ndjson, otlp, scrapes, tables as TB, topology)
+    bridge, ndjson, otlp, scrapes, sums as SM, tables as TB, topology)
 from telemill.streaming import delivery, jobs
 
 WIDTH = "hour"
@@ -764,19 +764,35 @@ def model_counts(spark, sf):
 
 @query
 def content_checksum(spark, sf):
-    """Row count and text hash per table, and whether the row hash is blind to the layout."""
+    """Row count and text hash per table, and whether the sums of single days add up to the row hash of the table."""
     parts = []
     for table, df in bridge.silver(spark, sf).items():
         here = checksum.content_checksum(df)
-        moved = checksum.content_checksum(df.repartition(13))
+        days = checksum.content_checksum(df.withColumn("_day", F.col("event_date").cast("string")), ["_day"], skip=("_day",))
         text = one_value(df, checksum.text_checksum("event_time_ns", "service_name", "scenario",
                                                     "component_name"))
         parts.append(here.select(F.lit(table).alias("tbl"), "rows", (
-            F.col("content_hash") == one_value(moved, F.max("content_hash"))).alias("stable"),
+            F.col("content_hash") == one_value(days, F.sum("content_hash"))).alias("stable"),
             text.alias("text_hash")))
     return _union(parts)
 
 
+@query
+def piece_sums(spark, sf):
+    """Rows by table and day from kept checksums after a compaction, and whether the stored rows hash to them."""
+    root, parts = _folder(spark), []
+    for table, df in bridge.silver(spark, sf).items():
+        for i in range(2):
+            TB.write_piece(df.filter(F.pmod("event_time_ns", F.lit(2)) == i), root, table, f"p{i}")
+        SM.seal(spark, root, table)
+        SM.compact(spark, root, table, "c1", TB.dates_of(spark, root, table))
+        now = checksum.content_checksum(df.withColumn("_day", F.col("event_date").cast("string")), ["_day"], skip=("_day",))
+        parts.append(SM.by_day(spark, root, table).join(now.toDF("day", "_n", "_h"), "day", "full").select(
+            F.lit(table).alias("tbl"), "day", "rows", (F.col("rows").eqNullSafe(F.col("_n")) & F.col(
+                "content_hash").eqNullSafe(F.col("_h"))).alias("agrees")))
+    return _union(parts)
+
+
 # -- scrapes ------------------------------------------------------------------
 
 
