@@ -1067,6 +1067,7 @@ O["key_presence_from_sets"] = O["resource_key_presence_1m"]
 O["live_partition_refusal"] = """
 SELECT 'phase1' AS phase, 'log_events' AS target_table, strftime(max(ts), '%Y-%m-%d') AS partition_id,
   'refused' AS status FROM events"""
+O["live_counter_rate"] = O["counter_rate"]
 O["trace_detail_all"] = O["trace_detail"].replace("HAVING count(*) FILTER (is_error) > 0", "")
 _LANES = {"logs": "log", "trace": "span", "metrics": "metric"}
 O["stream_totals"] = parsed("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ from telemill.plans import boards as B, delivery as D, partials as P, rollups as
 from telemill.session import checkpoint_root
 from telemill.sources import (
     bridge, ndjson, otlp, scrapes, sums as SM, tables as TB, topology)
-from telemill.streaming import delivery, jobs
+from telemill.streaming import delivery, jobs, rates
 
 WIDTH = "hour"
 BAND_WIDTH = "day"
@@ -837,6 +838,23 @@ def counter_rate(spark, sf):
     return _round(D.counter_rate(_samples(spark, sf)), "rate")
 
 
+@query
+def live_counter_rate(spark, sf):
+    """The same from a stream that is stopped half way and started again; a last tick far ahead lets all others leave."""
+    root = _folder(spark)
+    samples = _samples(spark, sf).select(*D.SERIES, "scrape_ts", "value")
+    span = samples.agg(F.percentile_approx("scrape_ts", 0.5).alias("half"), F.max("scrape_ts").alias("last")).first()
+    end = [[("end", "end", "", span["last"] + dt.timedelta(days=2, seconds=i), 0.0)] for i in range(2)]
+    parts = [samples.where(F.col("scrape_ts") <= F.lit(span["half"])), samples.where(F.col("scrape_ts") > F.lit(span["half"])),
+             *[spark.createDataFrame(e, samples.schema) for e in end]]
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        live = rates.live_rates(spark.readStream.schema(samples.schema).parquet(f"{root}/in"), idle_seconds=30 * 86400)
+        live.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(
+            f"{root}/out").awaitTermination()
+    return _round(spark.read.schema(live.schema).parquet(f"{root}/out").where("name <> 'end'"), "rate")
+
+
 @query
 def rate_by_label(spark, sf):
     return D.rate_by_label(_samples(spark, sf), C.METRIC_INGESTED, ["signal"], 6)

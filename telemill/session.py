@@ -49,3 +49,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did; a cluster gets it installed or by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
