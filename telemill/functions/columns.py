@@ -121,7 +121,11 @@ def _strip(number: str, x: Column) -> Column:
 def _sig2(x: Column) -> Column:
     mag = F.abs(x)
     tenths = _tenths(F.when((mag >= 1) & (mag < 10), mag).otherwise(F.lit(1.0)))
-    science = F.regexp_replace(F.format_string("%.1e", x), r"\.0e", "e")
+    # Java rounds halves up; a half between two even-ended forms is all its digits, so it can be seen and cut.
+    digits = F.format_string("%.16e", x)
+    rounded = F.when(digits.rlike(r"^-?\d\.[02468]50+e"), F.regexp_replace(digits, r"50+e", "e")).otherwise(
+        F.format_string("%.1e", x))
+    science = F.regexp_replace(rounded, r"\.0e", "e")
     return (F.when(mag == 0, F.lit("0"))
             .when((mag >= 99.5) | (mag < 1e-4), science)
             .when(mag >= 10, F.bround(x, 0).cast("bigint").cast("string"))
