@@ -22,8 +22,19 @@ def content_checksum(df: DataFrame, by: list[str] | None = None, skip: tuple[str
         F.coalesce(F.sum("_h"), F.lit(0)).cast("decimal(38,0)").alias("content_hash"))
 
 
-def text_checksum(*columns: str) -> Column:
-    """Sum over rows of 32 bits of the md5 of some columns' text, which any engine can compute."""
+def checksum_by_parts(df: DataFrame, part: Column, **more: Column) -> DataFrame:
+    """Row count, sum of row hashes and sums of ``more`` per part and, with ``whole``, of the table, from one pass.
+
+    Each sum is taken of the rows; that of the table is not the sum of its parts' sums.
+    """
+    hashed = df.select(part.alias("_of"), row_hash(df).cast("decimal(28,0)").alias("_h"),
+                       *[c.alias(n) for n, c in more.items()])
+    return hashed.rollup("_of").agg(
+        (F.grouping("_of") == 1).alias("whole"), F.count("*").alias("rows"),
+        F.sum("_h").cast("decimal(38,0)").alias("content_hash"), *[F.sum(n).alias(n) for n in more])
+
+
+def text_hash(*columns: str) -> Column:
+    """32 bits of the md5 of some columns' text, which any engine can compute."""
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")),
-                      F.lit(0))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")

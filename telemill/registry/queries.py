@@ -768,13 +768,13 @@ def content_checksum(spark, sf):
     """Row count and text hash per table, and whether the sums of single days add up to the row hash of the table."""
     parts = []
     for table, df in bridge.silver(spark, sf).items():
-        here = checksum.content_checksum(df)
-        days = checksum.content_checksum(df.withColumn("_day", F.col("event_date").cast("string")), ["_day"], skip=("_day",))
-        text = one_value(df, checksum.text_checksum("event_time_ns", "service_name", "scenario",
-                                                    "component_name"))
-        parts.append(here.select(F.lit(table).alias("tbl"), "rows", (
-            F.col("content_hash") == one_value(days, F.sum("content_hash"))).alias("stable"),
-            text.alias("text_hash")))
+        sums = checksum.checksum_by_parts(df, F.col("event_date").cast("string"), text_hash=checksum.text_hash(
+            "event_time_ns", "service_name", "scenario", "component_name"))
+        here = {c: F.sum(F.when(F.col("whole"), F.col(c))) for c in ("rows", "content_hash", "text_hash")}
+        parts.append(sums.agg(
+            F.lit(table).alias("tbl"), F.coalesce(here["rows"], F.lit(0)).alias("rows"),
+            (here["content_hash"] == F.sum(F.when(~F.col("whole"), F.col("content_hash")))).alias("stable"),
+            F.coalesce(here["text_hash"], F.lit(0)).alias("text_hash")))
     return _union(parts)
 
 

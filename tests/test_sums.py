@@ -5,9 +5,10 @@ import glob
 import pytest
 from pyspark.sql import Window, functions as F
 
-from telemill.functions.checksum import content_checksum
+from telemill.functions.checksum import checksum_by_parts, content_checksum
 from telemill.operators import proofs as PR, silver as SV
 from telemill.plans import rollups as R
+from telemill.registry.queries import QUERIES
 from telemill.sources import bridge, sums as SM, tables as TB
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +124,22 @@ def test_facts_of_rollups(bronze):
     assert off(PR.rollup_facts("resource_key_presence_1m", shown), wanted) == set()
     less = shown.withColumn("key_counts", F.transform_values("key_counts", lambda k, v: v + F.lit(1).cast("long")))
     assert off(PR.rollup_facts("resource_key_presence_1m", less), wanted) == {"keys"}
+
+
+def test_a_table_is_summed_by_part_and_whole_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "day string, x int")
+    sums = checksum_by_parts(rows, F.col("day"), x=F.col("x").cast("long"))
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    got = {(r._of, r.whole): (r.rows, r.content_hash, r.x) for r in sums.collect()}
+    by = {r.day: r for r in content_checksum(rows.withColumn("_by", F.col("day")), ["_by"], skip=("_by",)).withColumnRenamed(
+        "_by", "day").collect()}
+    assert {k: v[:2] for k, v in got.items()} == {
+        **{(day, False): (r.rows, r.content_hash) for day, r in by.items()},
+        (None, True): (4, content_checksum(rows).first().content_hash)}
+    assert got[None, True][2] == 10 and got["a", False][2] == 3
+
+
+def test_the_checksum_query_reads_each_table_once(spark):
+    df = QUERIES["content_checksum"](spark, "/root/testdata/sf0.001")
+    # Spans, logs, gauge points and two kinds of sums: each is hashed once, for its days and the whole table.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 5
