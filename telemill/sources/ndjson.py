@@ -34,7 +34,7 @@ def read_signals_ndjson(spark: SparkSession, path, column: str = "value") -> Dat
 
 def _kind(field: str) -> Column:
     """JSON type of a top-level field; SQL NULL when absent."""
-    return F.try_element_at("_kinds", F.lit(field))
+    return F.col(f"_kind_{field}")
 
 
 def _all_strings(field: str) -> Column:
@@ -45,14 +45,14 @@ def _all_strings(field: str) -> Column:
 
 def _well_typed(field: str) -> Column:
     """Present and of the declared JSON type (a numeric string is not a number)."""
-    kind = F.coalesce(_kind(field), F.lit(""))
+    kind = _kind(field)
     if field in _STRINGS:
-        return kind == "STRING"
+        return kind.eqNullSafe("STRING")
     if field in _LONGS or field == "severity_number":
-        return (kind == "BIGINT") & F.col(field).isNotNull()
+        return kind.eqNullSafe("BIGINT") & F.col(field).isNotNull()
     if field == "value":
-        return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    return _all_strings(field)
+        return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+    return F.col(f"_strings_{field}")
 
 
 def parse_signals(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -68,26 +68,30 @@ def parse_signals(lines: DataFrame, column: str = "value") -> DataFrame:
     raw = raw.withColumnRenamed(column, "line")
     # Scalars come from the typed reader; types and maps from the parsed record.
     typed = raw.select("*", F.inline(F.array(F.from_json("line", _SCALARS))))
+    # Flat columns: with look-ups in a map of kinds the reasons grow beyond what the JVM compiles.
+    facts = {
+        "_is_object": F.expr("try_variant_get(_json, '$', 'map<string,variant>') is not null"),
+        **{f"_kind_{f}": F.expr(f"schema_of_variant(try_variant_get(_json, '$.{f}', 'variant'))")
+           for f in (*_STRINGS, *_LONGS, "severity_number", "value")},
+        # Lambdas keep a step out of generated code, so they are not among the reasons either.
+        **{f"_strings_{f}": _all_strings(f) for f in _MAPS},
+    }
     typed = computed_once(
-        typed,
-        _kinds=F.expr("transform_values(try_variant_get(_json, '$', 'map<string,variant>'),"
-                      " (k, v) -> schema_of_variant(v))"),
+        typed, **facts,
         **{f: F.expr(f"try_variant_get(_json, '$.{f}', 'map<string,string>')") for f in _MAPS})
 
     reasons = [
-        F.when(F.col("_kinds").isNull(), F.lit("malformed")),
+        F.when(~F.col("_is_object"), F.lit("malformed")),
         F.when(~F.coalesce(F.col("signal_type").isin(*_REQUIRED), F.lit(False))
                | (_kind("signal_type") != "STRING"), F.lit("signal_type")),
     ]
     for signal, fields in _REQUIRED.items():
-        mine = F.col("signal_type") == signal
-        for field in fields:
-            reasons.append(F.when(mine & ~_well_typed(field), F.lit(f"field:{field}")))
-        for field in _OPTIONAL_STRINGS[signal]:
-            bad = ~F.coalesce(_kind(field), F.lit("VOID")).isin("STRING", "VOID")
-            reasons.append(F.when(mine & bad, F.lit(f"field:{field}")))
+        mine = [F.when(~_well_typed(field), F.lit(f"field:{field}")) for field in fields]
+        mine += [F.when(_kind(field).isNotNull() & ~_kind(field).isin("STRING", "VOID"), F.lit(f"field:{field}"))
+                 for field in _OPTIONAL_STRINGS[signal]]
+        reasons.append(F.when(F.col("signal_type") == signal, F.coalesce(*mine)))
     reasons.append(F.when((F.col("signal_type") == "span")
                           & ~F.col("status_code").isin(*STATUS_DOMAIN), F.lit("status_code")))
     reasons.append(F.when((F.col("signal_type") == "metric")
                           & ~F.col("type").isin(*METRIC_TYPE_DOMAIN), F.lit("type")))
-    return computed_once(typed, parse_error=F.coalesce(*reasons)).drop("_json", "_kinds")
+    return computed_once(typed, parse_error=F.coalesce(*reasons)).drop("_json", *facts)

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,12 @@ def test_map_text_is_ordered(spark):
     df = spark.sql("SELECT map('b', '2', 'a', '1') AS m")
     assert df.select(map_text("m")).first()[0] == "a=1,b=2"
     assert df.filter(F.col("m").isNotNull()).count() == 1
+
+
+def test_the_reasons_are_generated_code_that_the_jvm_compiles(spark, capsys):
+    parsed = ndjson.parse_signals(spark.createDataFrame([('{"signal_type":"log"}',)], "value string"))
+    parsed.explain("codegen")
+    text = capsys.readouterr().out
+    assert "* Generate inline(array(struct(parse_error" in text or ") Generate inline(array(struct(parse_error" in text
+    # The JVM interprets methods of more than 8000 bytes.
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) <= 8000
