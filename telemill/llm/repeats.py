@@ -8,8 +8,8 @@ their suffixes one character at a time (Holt and McMillan), without sorting all
 suffixes lie in one block just if their first k characters agree, so the rounds give the common prefixes, and the
 blocks of the last round are the repeated strings; the smallest ``doc_id`` in a block owns it.
 
-Anchors of more than ``CROWD`` texts would make large groups: their strings are compared one by one, by an
-aggregate that combines before the shuffle and a join that splits hot keys.
+Anchors of more than ``CROWD`` texts would make large groups: their equal snippets are gathered before the shuffle, and
+the strings of different ones are compared one by one, by an aggregate and a join that splits hot keys.
 
 Equal texts are one text with the smallest ``doc_id``; of a later copy all bytes go.  A null text is empty, a null
 ``doc_id`` is smaller than any other, rows with the same ``doc_id`` do not remove each other.  An empty table gives none.
@@ -18,7 +18,6 @@ Equal texts are one text with the smallest ``doc_id``; of a later copy all bytes
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,9 @@ LENGTH = 50
 GRAM = 16
 CROWD = 20_000
 #: Bytes of snippets merged together, and in one shard.
-GROUP, SHARD = 1 << 18, 1 << 16
+GROUP, SHARD = 1 << 16, 1 << 14
+#: Rows of snippets looked at together, and ranges of their pieces that are compared.
+ROWS, PIECES = 1 << 15, 7
 
 _FIRST = -(1 << 63)
 
@@ -161,33 +162,31 @@ def merge(orders: list[np.ndarray], texts: list[np.ndarray], rounds: int) -> tup
     """
     symbols = np.unique(np.concatenate(texts))
     two = len(symbols) ** 2 <= 1 << 16 and rounds % 2 == 0
-    flat, marked = [], []
+    flat = []
     for order, text in zip(orders, texts):
         code = np.searchsorted(symbols, text).astype(np.uint32)
         ends = np.nonzero(text == 0)[0]
         begin = np.concatenate([[0], ends[:-1] + 1])
         back = np.concatenate([[0], np.arange(len(text) - 1)])
         back[begin] = ends  # before a string's beginning stands its own mark
-        one = code[back]
-        pair = code[back[back]] * np.uint32(len(symbols)) + one if two else one
-        ended = (one == 0) | (code[back[back]] == 0) if two else one == 0
+        pair = code[back[back]] * np.uint32(len(symbols)) + code[back] if two else code[back]
         flat.append(pair[order].astype(np.uint16))
-        marked.append(ended[order])
-    flat, marked = np.concatenate(flat), np.concatenate(marked)
-    shard = np.repeat(np.arange(len(texts)), [len(t) for t in texts]).astype(np.uint16)
+    flat = np.concatenate(flat)
+    # The characters in order are the same in every round, and so are the places where they change or hold a mark.
+    by = np.sort(flat, kind="stable")
+    alone = (by % len(symbols) == 0) | (by < len(symbols)) if two else by == 0
+    fixed = alone.copy()
+    fixed[0] = True
+    fixed[1:] |= (by[1:] != by[:-1]) | alone[:-1]
+    shard = np.repeat(np.arange(len(texts)), [len(t) for t in texts]).astype(np.uint8 if len(texts) <= 256 else np.uint16)
     block = np.zeros(len(flat), np.int32)
-    char, ended = np.empty(len(flat), np.uint16), np.empty(len(flat), bool)
-    new = np.ones(len(flat), bool)
+    char = np.empty(len(flat), np.uint16)
     for _ in range(rounds // 2 if two else rounds):
-        at = np.argsort(shard, kind="stable")
-        char[at], ended[at] = flat, marked
+        char[np.argsort(shard, kind="stable")] = flat
         order = np.argsort(char, kind="stable")
-        shard, was, by = shard[order], block[order], char[order]
-        np.not_equal(was[1:], was[:-1], out=new[1:])
-        new[1:] |= by[1:] != by[:-1]
-        alone = ended[order]
-        new |= alone
-        new[1:] |= alone[:-1]
+        shard, was = shard[order], block[order]
+        new = fixed.copy()
+        new[1:] |= was[1:] != was[:-1]
         block = np.cumsum(new, dtype=np.int32)
     return np.argsort(shard, kind="stable"), block
 
@@ -233,86 +232,113 @@ def _spans(least: list[np.ndarray], kind: np.ndarray, doc: np.ndarray) -> tuple[
     return row[first], within[first], within[first] + after - first
 
 
-def _partners(rows: list[tuple], length: int, gram: int) -> list[bool]:
-    """Whether each of some different snippets of one anchor can share a string with another of them.
+def _meets(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, anchor: np.ndarray,
+           length: int, gram: int) -> np.ndarray:
+    """Whether each of some different snippets can share a string with another one of its anchor.
 
-    A string has ``length - gram`` bytes beside the anchor, so half of them or more on one side: one of the two
-    pieces of that size next to the anchor must occur in another snippet too.
+    Of the bytes that a string has beside the anchor some number stands to the left.  The numbers are parted into
+    ``PIECES`` ranges: snippets that share a string with a number in a range share the piece from its least number of bytes to
+    the left to what the greatest leaves to the right.  Pieces are compared by hashes, so some may seem to be shared.
     """
-    reach = -(-(length - gram) // 2)
-    sides = []
-    for place, snippet in rows:
-        left = snippet[place - reach:place] if place >= reach else None
-        right = snippet[place + gram:place + gram + reach]
-        sides.append((left, right if len(right) == reach else None))
-    seen = [Counter(s[i] for s in sides) for i in (0, 1)]
-    return [any(s[i] is not None and seen[i][s[i]] > 1 for i in (0, 1)) for s in sides]
+    beside = length - gram
+    bounds = np.linspace(0, beside + 1, PIECES + 1).astype(int)
+    met = np.zeros(len(begin), bool)
+    for left, after in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        right = beside - after + 1
+        at = np.nonzero((place >= left) & (place + gram + right <= size))[0]
+        hashes = anchor[at].astype(np.uint64)
+        first = begin[at] + place[at] - left
+        for k in range(left + gram + right):
+            hashes = (hashes ^ data[first + k]) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        order = np.argsort(hashes)
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        met[at[order[1:][same]]] = True
+        met[at[order[:-1][same]]] = True
+    return met
 
 
 def _merged(length: int, gram: int, group: int, shard: int):
     schema = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
 
-    def solve(kinds: list[tuple[bytes, int, list]]) -> list[tuple]:
-        """Spans of snippets ``(snippet, smallest owner, rows)`` that need the merge."""
-        if not kinds:
-            return []
-        snippets = [k[0] for k in kinds]
-        counts = np.array([len(s) - length + 1 for s in snippets], np.int64)
-        least = earlier(snippets, counts, np.array([k[1] for k in kinds], np.int64), length, shard)
-        rows = [(doc, version, start, i) for i, k in enumerate(kinds) for doc, version, start in k[2]]
-        doc, version, start, kind = (np.array(c, np.int64) for c in zip(*rows))
-        row, first, after = _spans(least, kind, doc)
-        return list(zip(doc[row].tolist(), version[row].tolist(), (start[row] + first).tolist(),
-                        (start[row] + after - 1 + length).tolist()))
-
-    def batch_of(spans: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*spans)) if spans else [[]] * 4
+    def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    def close(rows: list[tuple], waiting: list) -> tuple[list[tuple], int]:
-        """Rows of one anchor: equal snippets are one; what cannot meet another is settled at once."""
-        kinds: dict[tuple[int, bytes], list] = {}
-        for _, doc, version, start, place, snippet in rows:
-            own = kinds.setdefault((place, snippet), [snippet, doc, []])
-            own[1] = min(own[1], doc)
-            own[2].append((doc, version, start))
-        spans, size = [], 0
-        meets = _partners(list(kinds), length, gram) if len(kinds) > 1 else [False]
-        for own, more in zip(kinds.values(), meets):
-            if more:
-                waiting.append(own)
-                size += len(own[0])
-            else:
-                spans += [(doc, version, start, start + len(own[0])) for doc, version, start in own[2] if own[1] < doc]
-        return spans, size
+    def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Spans of the rows of whole anchors: equal snippets are one kind; what cannot meet another is settled at once.
+
+        Of a kind's rows all but those of the smallest id are copies of that id's, so only these go to the merge.
+        """
+        anchor, doc, version, start, place = (rows.column(c).to_numpy() for c in ("anchor", "doc", "version", "start", "place"))
+        coded = rows.column("snippet").cast(pa.large_binary()).combine_chunks().dictionary_encode()
+        code, kinds = coded.indices.to_numpy(), coded.dictionary
+        offsets = np.frombuffer(kinds.buffers()[1], np.int64)[kinds.offset:kinds.offset + len(kinds) + 1]
+        begin, size = offsets[:-1], np.diff(offsets)
+        owner = np.full(len(kinds), np.iinfo(np.int64).max)
+        np.minimum.at(owner, code, doc)
+        copy = np.nonzero(owner[code] < doc)[0]
+        yield batch_of(doc[copy], version[copy], start[copy], start[copy] + size[code[copy]])
+        first = np.empty(len(kinds), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]  # a kind's first row; kinds are in order of their anchors
+        by = anchor[first]
+        several = np.r_[False, by[1:] == by[:-1]]
+        several[:-1] |= several[1:]
+        some = np.nonzero(several)[0]
+        met = some[_meets(np.frombuffer(kinds.buffers()[2], np.uint8), begin[some], size[some], place[first][some],
+                          by[some], length, gram)] if len(some) else some
+        if not len(met):
+            return
+        name = np.full(len(kinds), -1)
+        name[met] = np.arange(len(met))
+        own = np.nonzero((name[code] >= 0) & (owner[code] == doc))[0]
+        kind = name[code[own]]
+        # Some anchors at a time: those that begin in the same ``group`` bytes.
+        head = np.r_[True, by[met][1:] != by[met][:-1]]
+        ahead = np.maximum.accumulate(np.where(head, np.cumsum(size[met]) - size[met], 0)) // group
+        cuts = np.nonzero(np.r_[True, ahead[1:] != ahead[:-1]])[0].tolist()
+        snippets, owners = kinds.take(pa.array(met)).to_pylist(), owner[met]
+        counts = size[met] - length + 1
+        for low, high in zip(cuts, [*cuts[1:], len(met)]):
+            least = earlier(snippets[low:high], counts[low:high], owners[low:high], length, shard)
+            at = own[(kind >= low) & (kind < high)]
+            row, since, after = _spans(least, name[code[at]] - low, doc[at])
+            yield batch_of(doc[at][row], version[at][row], start[at][row] + since, start[at][row] + after - 1 + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        waiting: list = []
-        spans: list[tuple] = []
-        held = 0
+        rows: list[pa.RecordBatch] = []
+        held, wanted = 0, ROWS
+        for batch in batches:
+            rows.append(batch)
+            held += len(batch)
+            if held >= wanted:
+                table = pa.Table.from_batches(rows)
+                anchors = table.column("anchor").to_numpy()
+                whole_ones = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
+                if whole_ones:
+                    yield from close(table.slice(0, whole_ones))
+                rows = table.slice(whole_ones).to_batches()
+                held = table.num_rows - whole_ones
+                wanted = held + ROWS
+        if held:
+            yield from close(pa.Table.from_batches(rows))
+
+    return run
 
-        def finish() -> int:
-            found, size = close(rows, waiting)
-            spans.extend(found)
-            rows.clear()
-            return size
 
+def _spread(length: int):
+    """Spans of the rows ``own`` of a snippet: all of it for copies, the strings at ``places`` for the smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and row[0] != rows[-1][0]:
-                    held += finish()
-                    if held >= group:
-                        spans.extend(solve(waiting))
-                        waiting.clear()
-                        held = 0
-                rows.append(row)
-            if spans:
-                yield batch_of(spans)
-                spans = []
-        if rows:
-            finish()
-        yield batch_of(spans + solve(waiting))
+            spans = []
+            for own, least, places, size in zip(*(batch.column(c).to_pylist() for c in ("own", "least", "places", "size"))):
+                for r in own:
+                    if r["doc"] > least:
+                        spans.append((r["doc"], r["version"], r["start"], r["start"] + size))
+                    else:
+                        spans += [(r["doc"], r["version"], r["start"] + p, r["start"] + p + length) for p in places or []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*spans) if spans else [[]] * 4)],
+                                             names=["doc", "version", "from", "to"])
 
     return run
 
@@ -358,13 +384,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     few = pieces.where(~F.col("crowded")).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").select(
         "anchor", "doc", "version", F.col("start").cast("long").alias("start"), F.col("place").cast("long").alias("place"), "snippet")
     spans = few.mapInArrow(_merged(length, gram, GROUP, SHARD), "doc long, version long, `from` long, `to` long")
-    many = pieces.where("crowded").select("doc", "version", F.explode(F.transform(
-        F.sequence(F.lit(0), F.octet_length("snippet") - length), lambda i: F.struct(
-            (F.col("start") + i).alias("from"), F.substring(F.col("snippet"), i + 1, F.lit(length)).alias("string")))).alias(
-        "w")).select("doc", "version", "w.from", "w.string")
-    least = many.groupBy("string").agg(F.min("doc").alias("least"))
-    hot = many.join(least, "string").where("least < doc").select(
-        "doc", "version", F.col("from").cast("long").alias("from"), (F.col("from") + length).cast("long").alias("to"))
+    # Rows of crowded anchors are gathered by snippet, some 2^14 rows of a task at a time, so common snippets are few rows in the joins.
+    # All but those of a snippet's smallest id are copies of it; only that one's strings meet those of other snippets.
+    many = stage(pieces.where("crowded").groupBy("snippet", F.shiftright(F.monotonically_increasing_id(), 14).alias("part")).agg(
+        F.min("doc").alias("least"), F.collect_list(F.struct("doc", "version", F.col("start").cast("long").alias("start"))).alias("own")),
+        "crowds")
+    kinds = stage(many.groupBy("snippet").agg(F.min("least").alias("least")), "crowd-kinds")
+    windows = kinds.select("snippet", F.col("least").alias("doc"), F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.octet_length("snippet") - (length - 1)), lambda i: F.substring(
+            F.col("snippet"), i, F.lit(length)))).alias("at", "string"))
+    first_in = windows.groupBy("string").agg(F.min("doc").alias("earliest"))
+    # The places of a snippet whose strings stand in one of a smaller id.
+    before = windows.join(first_in, "string").where("earliest < doc").groupBy("snippet").agg(F.collect_list("at").alias("places"))
+    hot = many.drop("least").join(kinds.join(before, "snippet", "left"), "snippet").select(
+        "own", "least", "places", F.octet_length("snippet").cast("long").alias("size")).mapInArrow(
+        _spread(length), "doc long, version long, `from` long, `to` long")
     return spans.union(hot)
 
 

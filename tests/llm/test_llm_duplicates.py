@@ -276,6 +276,22 @@ def test_repeats_against_brute_force(documents, texts, edge, none):
     assert found_repeats(none) == []
 
 
+def test_crowded_snippets_are_gathered(spark, monkeypatch):
+    """A passage that all texts share is a few rows in the joins, whatever the number of texts."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    common = " ".join(word() for _ in range(30))
+    other = common[:120] + "#" + common[121:]
+    rows = [(i, f"{' '.join(word() for _ in range(4))} {[common, other][i % 3 == 2]} {' '.join(word() for _ in range(4))}")
+            for i in range(300)]
+    staged, real = {}, RP.stage
+    monkeypatch.setattr(RP, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert found_repeats(docs, crowd=50) == brute_repeats([(n, t.encode()) for n, t in rows])
+    crowded = staged["snippets"].where("crowded")
+    assert crowded.count() > 2000 and staged["crowds"].count() < crowded.count() / 4
+
+
 def test_merge_of_transforms():
     draw = random.Random(4)
     for alphabet in (b"ab", b"abcdefgh", bytes(range(256))):
