@@ -1,6 +1,7 @@
 """SimHash, fuzzy lines, repeated strings, decontamination: each against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -235,6 +236,23 @@ def test_lines_by_similarity_alone(spark):
     assert sorted(r.text for r in LN.keep_first(twice, None).collect()) == ["a b c d e f"] * 2 + ["end"]
 
 
+def test_similar_lines_are_staged_once(spark, monkeypatch):
+    """No staged table repeats the facts of a line for each of its keys, and hubs do not change the groups."""
+    draw = random.Random(6)
+    base = [[f"w{draw.randrange(400)}" for _ in range(30)] for _ in range(40)]
+    rows = [(i, " ".join(f"v{draw.randrange(400)}" if draw.random() < 0.08 else w for w in base[i % 40])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    staged, real = {}, LN.stage
+    monkeypatch.setattr(LN, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    assert {r.doc_id: r.text for r in LN.keep_first(docs, None).collect()} == brute_similar(rows)
+    assert not staged["lines"].inputFiles() or not os.path.exists(staged.pop("lines").inputFiles()[0].replace("file://", ""))
+    assert all(df.count() <= 200 for name, df in staged.items() if "n" in df.columns or "key" in df.columns)
+    monkeypatch.setattr(LN, "stage", real)
+    names = LN.line_nodes(LN.stage(LN.plain_occurrences(docs), "lines"))
+    wanted = {(r.id, r.component) for r in LN.similar_groups(docs, names).collect()}
+    assert wanted and wanted == {(r.id, r.component) for r in LN.similar_groups(docs, names, crowd=2).collect()}
+
+
 def test_line_simhash_equals_brute_force(spark):
     draw = random.Random(1)
     rows = [(i, " ".join(f"x{draw.randrange(50)}" for _ in range(n))) for i, n in enumerate((1, 2, 3, 40, 127, 128, 300, 16383, 16384))]
