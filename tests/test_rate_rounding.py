@@ -15,7 +15,7 @@ def plain(rows):
     return sorted((tuple(v.replace(tzinfo=None) if isinstance(v, dt.datetime) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["counter_rate"])
+@pytest.mark.parametrize("name", ["counter_rate", "live_counter_rate"])
 def test_large_rates_equal_those_of_the_sql(spark, tmp_path, name):
     # After the reset 2558 * 360000 / 0.100105 s: 9199140902.052845 by its decimals, 9199140902.052847 by the product.
     rows = [(4999, T0, 0, "view", 1.5, "{}"), (7558, T0 + dt.timedelta(microseconds=100105), 0, "view", 1.5, "{}")]
