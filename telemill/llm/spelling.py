@@ -8,6 +8,9 @@ end of half its length is whole too, and the join takes that piece along.  A gro
 characters, which bounds its size by the alphabet, not by the number of words.  Grams that no chunk reaches within shift
 one are not sent.  Candidates are verified by edit distance; a pair that meets several times counts where it meets first.
 
+No table is broadcast: a staged file is several times smaller than its rows, and Spark does not count what an explode adds, so
+it would take millions of grams for a table small enough.
+
 Words are the maximal runs of Latin letters of whole texts, A-Z lower-cased.  Null and empty texts have none; a null id
 reads as the empty text; repeated rows count again.  Extra columns are ignored.
 """
@@ -86,7 +89,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
 
     met = [prefix(f"{q} + {r}"), f"{prefix(q)} AND {suffix(r)}", f"{suffix(q)} AND {prefix(r)}", suffix(f"{q} + {r}")]
     first = "CASE " + " ".join(f"WHEN {m} THEN {k}" for k, m in enumerate(met)) + " END"
-    return chunks.join(grams, "_key").where(
+    return chunks.join(grams.hint("merge"), "_key").where(
         "(_la = _lb AND a < b OR _la = _lb + 1)").where(f"_k = {first}").where("levenshtein(a, b, 1) = 1").select("a", "n", "b", "m")
 
 
@@ -98,7 +101,7 @@ def forms(vocabulary: DataFrame) -> DataFrame:
     best = both.groupBy("word").agg(
         F.count("*").alias("_near"), F.min(F.struct((-F.col("to_n")).alias("n"), F.col("to").alias("to"))).alias("_best"))
     clear = -F.col("_best.n") >= FACTOR * F.col("n")
-    return vocabulary.join(best, "word", "left").select(
+    return vocabulary.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(clear, F.col("_best.to")).alias("form"), F.when(clear, -F.col("_best.n")).cast("long").alias("form_n"))
 
@@ -109,12 +112,12 @@ def roots(named: DataFrame) -> DataFrame:
     for _ in range(_ROUNDS):
         # Many words may share a form, so its own link is looked up once and the few forms that move are joined back.
         moves = links.select("_to").distinct().join(
-            links.select(F.col("_w").alias("_to"), F.col("_to").alias("_next")), "_to")
+            links.select(F.col("_w").alias("_to"), F.col("_to").alias("_next")).hint("merge"), "_to")
         moves = stage(moves, "moves")
         if moves.isEmpty():
             break
-        links = stage(links.join(moves, "_to", "left").select("_w", F.coalesce("_next", "_to").alias("_to")), "forms")
-    return named.join(links, F.col("word") == F.col("_w"), "left").select(
+        links = stage(links.join(moves.hint("merge"), "_to", "left").select("_w", F.coalesce("_next", "_to").alias("_to")), "forms")
+    return named.join(links.hint("merge"), F.col("word") == F.col("_w"), "left").select(
         *named.columns, F.coalesce("_to", "word").alias("root"))
 
 
