@@ -149,23 +149,23 @@ def _extremes(groups: DataFrame) -> DataFrame:
 
 def source_facts(table: str, name: str, rows: DataFrame) -> DataFrame:
     """What one silver table says about a rollup, a row a day."""
-    size = rows.groupBy(_day(name)).agg(*_own_size(rows))
     given = rows.withColumn("signal", F.lit(SIGNAL_OF[name])).withColumn("minute", _minute("event_time"))
-    own = _day(name)
-    h = _digest(F.col("minute"), *(F.col(k) for k in KEYS[table]))
+    own, keys = _day(name), [F.col("minute"), *(F.col(k) for k in KEYS[table])]
+    sizes = [F.count("*").alias("source_rows"), F.sum("source_hash").alias("source_hash")]
+    seen = [own, _digest(*keys).alias("h"), row_hash(rows).cast("decimal(28,0)").alias("source_hash")]
     if table == "metric_stats_1m":
         value = F.col("value")
-        facts = given.select(own, h.alias("h"), "value").groupBy("day").agg(
+        facts = given.select(*seen, "value").groupBy("day").agg(
             *_weighted(F.col("h"), F.lit(1).cast("long"), value, value * value),
-            F.sum((F.col("h") / float(1 << BITS) + 1) * F.abs(value)).alias("size_value"))
+            F.sum((F.col("h") / float(1 << BITS) + 1) * F.abs(value)).alias("size_value"), *sizes)
         groups = given.groupBy(own, "minute", *KEYS[table]).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        return facts.join(_extremes(groups), "day").join(size, "day")
-    facts = given.select(own, h.alias("h")).groupBy("day").agg(F.count("*").alias("rows"), F.sum("h").alias("groups"))
+        return facts.join(_extremes(groups), "day")
+    sums = [F.count("*").alias("rows"), F.sum("h").alias("groups"), *sizes]
     if table == "resource_key_presence_1m":
-        spread = given.select(own, "minute", *KEYS[table], F.explode(F.map_keys(_R)).alias("key")).select(
-            "day", _digest(F.col("minute"), *(F.col(k) for k in KEYS[table]), F.col("key")).alias("h"))
-        facts = facts.join(spread.groupBy("day").agg(F.sum("h").alias("keys")), "day", "left")
-    return facts.join(size, "day")
+        # Summed within the row: a second reading of the table for its keys costs more.
+        seen.append(F.aggregate(F.map_keys(_R), F.lit(0).cast("long"), lambda acc, key: acc + _digest(*keys, key)).alias("keys"))
+        sums.append(F.sum("keys").alias("keys"))
+    return given.select(*seen).groupBy("day").agg(*sums)
 
 
 def rollup_facts(table: str, rows: DataFrame) -> DataFrame:
